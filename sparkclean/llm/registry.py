@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import table
-from . import licenses, packing, quality, simhash
+from . import licenses, packing, pii, quality, simhash
 
 
 def vocabulary() -> str:
@@ -32,6 +32,14 @@ def op6_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+#: The query's key; a user keeps an own secret.
+PII_KEY = b"registered query"
+
+
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_quality": op4_line_quality,
     "op5_mixture_packing": op5_mixture_packing,
     "op6_license_sentences": op6_license_sentences,
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
