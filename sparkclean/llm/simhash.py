@@ -160,6 +160,13 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _classes(rows: DataFrame, least: Column, limit: int) -> DataFrame:
+    """``(fp, least, component)`` for each distinct fingerprint of ``rows``."""
+    classes = stage(rows.groupBy("fp").agg(least.alias("least")), "classes")
+    members = connected_components(links(classes.select("fp"), limit)).withColumnRenamed("node", "fp")
+    return classes.join(members, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, limit: int = 3) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs`` (``doc_id``, ``text``).
 
@@ -169,9 +176,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, limit: int = 3) -> DataFram
     Other columns are ignored; an empty table gives an empty result.
     """
     rows = stage(fingerprints(docs.select("doc_id", "text"), words).select("doc_id", "fp"), "fingerprints")
-    classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    members = connected_components(links(classes.select("fp"), limit)).withColumnRenamed("node", "fp")
-    joined = classes.join(members, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    joined = _classes(rows, F.min("doc_id"), limit)
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     found = stage(joined.join(least, "component").select("fp", "component_id"), "members")
     return rows.join(found, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, limit: int = 3) -> DataFrame:
+    """The rows of ``docs`` with one row of each component: that of the smallest doc_id, ids before null.
+
+    All columns are kept; of repeated rows one stays.
+    """
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    rows = stage(fingerprints(whole, words).select("doc", "fp").withColumn("row", F.monotonically_increasing_id()), "rows")
+    order = F.min(F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("doc_id"), "row"))
+    first = _classes(rows, order, limit).groupBy("component").agg(F.min("least").alias("first"))
+    return rows.join(first.select("first.row"), "row", "left_semi").select("doc.*")

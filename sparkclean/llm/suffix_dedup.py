@@ -9,7 +9,6 @@ yields the common prefix lengths by increasing value and stops at ``length``: wh
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,16 +157,17 @@ _SPANS = "array<struct<a: int, b: int>>"
 _ARROW_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """``(row, doc_id, z)``: each document's bytes, compressed, under a number of its own."""
+def _packed(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """``(row, rest, z)``: each document's bytes, compressed, under a number of its own, and its ``carried`` columns."""
+    docs = docs.select(F.struct(*carried).alias("rest"), F.col("text").cast("string").alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             z = [press.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(z, pa.binary())], ["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(z, pa.binary())], ["rest", "z"])
 
-    packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, "doc_id long, z binary")
+    packed = docs.mapInArrow(pack, f"rest {docs.schema['rest'].dataType.simpleString()}, z binary")
     return stage(packed.withColumn("row", F.monotonically_increasing_id()), "packed")
 
 
@@ -285,40 +285,59 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     return simple.union(others).where(F.size("s") > 0).groupBy("row").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """Remove from each row of ``docs`` (``doc_id``, ``text``) every byte of strings that start twice or more.
-
-    Columns: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary``: the UTF-8 bytes, how many are
-    removed in how many runs, and what remains. Strings are ``length`` bytes, inside one text, and judged on the input;
-    two starts in one document count too, and so do two equal rows. A null text is empty; texts shorter than
-    ``length`` are kept whole; null ids are kept; an empty table gives an empty result; other columns are ignored.
-    """
+def _removed(docs: DataFrame, carried: list[str], length: int, gram: int, group: int) -> DataFrame:
+    """``(rest, n_bytes, n_removed, n_spans, kept)`` for each row."""
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
-            sizes, removed, runs, digests, kept = [], [], [], [], []
+            sizes, removed, runs, kept = [], [], [], []
             for z, spans in zip(batch.column("z").to_pylist(), batch.column("spans").to_pylist()):
                 text = press.decompress(z)
-                out, last, gone, n = [], 0, 0, 0
-                end = -1
+                out, last, n, end = [], 0, 0, -1
                 for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
                     if a > end:
                         out.append(text[last:a])
                         n += 1
-                        gone += b - a
-                    else:
-                        gone += max(0, b - end)
                     end = last = max(end, b)
                 rest = b"".join([*out, text[last:]])
                 sizes.append(len(text))
-                removed.append(gone)
+                removed.append(len(text) - len(rest))
                 runs.append(n)
-                digests.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest)
             columns = [pa.array(x, pa.int64()) for x in (sizes, removed, runs)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array(digests, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), *columns, pa.array(kept, pa.binary())], ["rest", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    rows = _packed(docs)
+    rows = _packed(docs, carried)
     spans = repeated_spans(rows, length, gram, group)
-    return rows.join(spans, "row", "left").select("doc_id", "z", "spans").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    kind = rows.schema["rest"].dataType.simpleString()
+    return rows.join(spans, "row", "left").select("rest", "z", "spans").mapInArrow(remove, f"rest {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """Remove from each row of ``docs`` (``doc_id``, ``text``) every byte of strings that start twice or more.
+
+    Columns: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary``: the UTF-8 bytes, how many are
+    removed in how many runs, and what remains. Strings are ``length`` bytes, inside one text, and judged on the input;
+    two starts in one document count too, and so do two equal rows. A null text is empty; texts shorter than
+    ``length`` are kept whole; null ids are kept; an empty table gives an empty result; other columns are ignored.
+    """
+    found = _removed(docs, ["doc_id"], length, gram, group)
+    return found.select("rest.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "kept")
+
+
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """``docs`` with what remains of each text in its place; a character of which a byte is removed goes whole.
+
+    All columns and rows are kept; a null text becomes an empty one.
+    """
+    found = _removed(docs, [c for c in docs.columns if c != "text"] or ["text"], length, gram, group)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string())], ["rest", "text"])
+
+    kind = found.schema["rest"].dataType.simpleString()
+    texts = found.select("rest", "kept").mapInArrow(whole, f"rest {kind}, text string")
+    return texts.select(*["text" if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
