@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import table
-from . import licenses, packing, pii, quality, simhash, suffix_dedup
+from . import context_mixing, licenses, packing, pii, quality, simhash, suffix_dedup
 
 
 def vocabulary() -> str:
@@ -22,6 +22,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality(docs, table(spark, sf_dir, "labels")).drop("text")
@@ -50,6 +54,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op3_context_mixing": op3_context_mixing,
     "op4_line_quality": op4_line_quality,
     "op5_mixture_packing": op5_mixture_packing,
     "op6_license_sentences": op6_license_sentences,
