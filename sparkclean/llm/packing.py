@@ -8,7 +8,8 @@ sequential pass. The served documents, in order of round, source and queue, form
 
 from __future__ import annotations
 
-import re
+import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,70 +23,56 @@ WINDOW = 2048
 END_ID = 1
 #: Rounds whose documents are ordered together, and groups of rounds that are summed together.
 ROUNDS, FAN = 64, 4096
-#: Texts between blanks whose ids one process remembers.
-REMEMBERED = 400_000
-
-_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿĀ-ſ", r".,!?;:%$&#*|"
-_UNITS = re.compile(rf"[ \n]*[{_LETTERS}]+(?=[{_MARKS} \n'0-9]|\Z)|[ \n]*[{_MARKS}]+(?=[{_LETTERS}0-9 \n]|\Z)|[ \n]*[^ \n]+|[ \n]+").findall
-_OTHER_SPACE = re.compile(r"[^\S \n]").search
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, unit by unit.
+    """Ids of texts by a byte-level vocabulary of `tokenizers`.
 
-    The byte-level pre-tokenizer always ends a token before white space that follows something else, after all letters
-    of a run, and after all marks of a run, and it never looks back. So the ids of a text are those of units that end at
-    such places, one after the other. Texts with other white space, or with the name of a special token, go to the
-    tokenizer whole.
+    ``ranks`` names the same vocabulary as a file of ranks, by which `tiktoken` gives the same ids in less than half the
+    time; texts that hold the name of a special token, and all texts without such a file, go to the tokenizer itself.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, vocabulary: str, ranks: str | None = None) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(vocabulary)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.fast = None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+            with open(ranks, "rb") as lines:
+                known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
 
-    def ids(self, text: str) -> bytes:
-        if _OTHER_SPACE(text) or any(s in text for s in self.special):
-            return self._encode([text])[0]
-        units = _UNITS(text)
-        new = list(set(units).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set(units))
-        if new:
-            self.known.update(zip(new, self._encode(new)))
-        return b"".join(map(self.known.__getitem__, units))
+    def ids(self, text: str) -> list[int]:
+        if self.fast is None or any(s in text for s in self.special):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(vocabulary: str, ranks: str | None = None) -> Encoder:
     """One encoder for each Python process and vocabulary."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (vocabulary, ranks) not in _encoders:
+        _encoders[vocabulary, ranks] = Encoder(vocabulary, ranks)
+    return _encoders[vocabulary, ranks]
 
 
-def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
+def tokenized(docs: DataFrame, vocabulary: str, ranks: str | None = None, end_id: int = END_ID) -> DataFrame:
     """``docs`` (``doc_id``, ``source``, ``text``) as ``(doc_id, source, doc_tokens, ids)``; ids are 16-bit, ends with ``end_id``."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = encoder(vocabulary, ranks)
         if own.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits; this vocabulary has more")
         end = np.array([end_id], dtype="<u2").tobytes()
         for batch in batches:
-            ids = [np.frombuffer(own.ids(t or ""), "<u4").astype("<u2").tobytes() + end for t in batch.column("text").to_pylist()]
+            ids = [np.array(own.ids(t or ""), "<u2").tobytes() + end for t in batch.column("text").to_pylist()]
             sizes = pa.array([len(x) // 2 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), sizes, pa.array(ids, pa.binary())], ["doc_id", "source", "doc_tokens", "ids"])
 
@@ -139,7 +126,7 @@ def schedule(rows: DataFrame, window: int = WINDOW, targets: dict[str, float] |
     return placed.join(before, "group").select("row", (F.col("before") + F.col("inner")).alias("begin"))
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, targets: dict[str, float] | None = None, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, window: int = WINDOW, targets: dict[str, float] | None = None, end_id: int = END_ID) -> DataFrame:
     """One row for each piece of a document in a window, with its ids.
 
     Columns: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids``; ``ids`` holds unsigned little-endian 32-bit
@@ -164,7 +151,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, targets: dict[s
             columns = [batch.column("doc_id").take(pa.array(of)), pa.array(start), pa.array(length, pa.int64()), batch.column("doc_tokens").take(pa.array(of))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(place // window), pa.array(place % window), pa.array(ids, pa.binary())], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    rows = stage(tokenized(docs, vocabulary, end_id).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    rows = stage(tokenized(docs, vocabulary, ranks, end_id).withColumn("row", F.monotonically_increasing_id()), "tokens")
     begins = schedule(rows.select("row", "source", "doc_tokens"), window, targets)
     placed = rows.join(begins, "row").select("doc_id", "doc_tokens", "begin", "ids")
     return placed.mapInArrow(pieces, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -11,11 +11,11 @@ from ..storage import table
 from . import context_mixing, licenses, packing, pii, quality, simhash, suffix_dedup
 
 
-def vocabulary() -> str:
-    """The public byte-level vocabulary that the packing query reads."""
+def vocabulary() -> tuple[str, str]:
+    """The public byte-level vocabulary that the packing query reads, and the same one as ranks."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+    pieces = packing.pack(table(spark, sf_dir, "documents"), *vocabulary())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
