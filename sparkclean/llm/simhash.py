@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..components import connected_components
+from ..operators.components import connected_components
 from ..storage import stage
 
 BITS = 64
