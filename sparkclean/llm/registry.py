@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import table
-from . import context_mixing, licenses, packing, pii, quality, simhash, suffix_dedup
+from . import context_mixing, licenses, packing, permutation_index, pii, quality, simhash, suffix_dedup
 
 
 def vocabulary() -> tuple[str, str]:
@@ -48,6 +48,10 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixture_packing": op5_mixture_packing,
     "op6_license_sentences": op6_license_sentences,
     "op7_pii_surrogates": op7_pii_surrogates,
+    "op8_permutation_index": op8_permutation_index,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
