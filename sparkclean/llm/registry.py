@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import table
-from . import context_mixing, licenses, packing, permutation_index, pii, quality, simhash, suffix_dedup
+from . import context_mixing, html_text, licenses, packing, permutation_index, pii, quality, simhash, suffix_dedup
 
 
 def vocabulary() -> tuple[str, str]:
@@ -22,6 +22,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.score(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_html_text": op2_html_text,
     "op3_context_mixing": op3_context_mixing,
     "op4_line_quality": op4_line_quality,
     "op5_mixture_packing": op5_mixture_packing,
