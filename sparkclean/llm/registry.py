@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import table
-from . import context_mixing, html_text, licenses, packing, permutation_index, pii, quality, simhash, suffix_dedup
+from . import context_mixing, html_text, licenses, packing, permutation_index, piece_scan, pii, quality, simhash, suffix_dedup
 
 
 def vocabulary() -> tuple[str, str]:
@@ -60,6 +60,23 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op10_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: its parts, ids and decoded characters, with digests that do not depend on the parts' order."""
+    path = piece_model()
+    parts = piece_scan.decoded(piece_scan.encoded(table(spark, sf_dir, "documents"), path), path)
+    sums = parts.groupBy("row", "doc_id").agg(
+        F.count("*").alias("n_parts"), F.sum(F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.sum(F.length("text")).cast("long").alias("n_chars"),
+        F.bit_xor(F.xxhash64("part", "ids")).alias("ids_digest"), F.bit_xor(F.xxhash64("part", "text")).alias("text_digest"),
+    )
+    return sums.drop("row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_html_text": op2_html_text,
@@ -69,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_license_sentences": op6_license_sentences,
     "op7_pii_surrogates": op7_pii_surrogates,
     "op8_permutation_index": op8_permutation_index,
+    "op10_piece_scan": op10_piece_scan,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
