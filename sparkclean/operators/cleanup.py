@@ -99,6 +99,7 @@ def prune(groups: DataFrame, members: DataFrame, deleted: DataFrame, item: str =
     A group of fewer than two dissolves. A user's keep stays if it is alive; a recommended keep that is gone gives way
     to the first member by position; the keep is not selected.
     """
+    columns = groups.columns
     alive = members.join(deleted.select(F.col("item_id").alias(item)), item, "left_anti")
     facts = alive.groupBy("group_id").agg(F.count("*").alias("_n"), F.min(F.struct("member_pos", F.col(item).alias("item")))["item"].alias("_first")).where("_n > 1")
     groups = groups.join(facts, "group_id")
@@ -108,7 +109,7 @@ def prune(groups: DataFrame, members: DataFrame, deleted: DataFrame, item: str =
     keep = F.coalesce("user_keep", recommended) if "user_keep" in groups.columns else F.col(recommended)
     keeps = groups.select("group_id", keep.alias("_keep"))
     members = alive.join(keeps, "group_id").withColumn("selected", F.col("selected") & (F.col(item) != F.col("_keep"))).drop("_keep")
-    return groups.drop("_n", "_first"), members
+    return groups.select(*columns), members
 
 
 def run_cleanup(selection: DataFrame, live: DataFrame, grants: DataFrame, outcomes: DataFrame, capacity: DataFrame, confirmed: bool) -> dict[str, DataFrame]:

@@ -231,7 +231,7 @@ def e5(spark, d):
     return exact.exact_duplicates(v.assets(spark, d)).select("group_id", "recommended_keep").distinct()
 
 
-@query("e6_member_sizes", sql("exact_members", "SELECT group_id, CAST(sum(byte_size) AS BIGINT) AS bytes, 1.0 AS confidence, 'exactDuplicate' AS kind FROM exact_members GROUP BY 1"))
+@query("e6_member_sizes", sql("exact_members", "SELECT group_id, CAST(sum(byte_size) AS BIGINT) AS bytes, CAST(1.0 AS DOUBLE) AS confidence, 'exactDuplicate' AS kind FROM exact_members GROUP BY 1"))
 def e6(spark, d):
     return exact.exact_duplicates(v.assets(spark, d)).groupBy("group_id").agg(F.sum("byte_size").alias("bytes"), F.max("confidence").alias("confidence"), F.max("kind").alias("kind"))
 

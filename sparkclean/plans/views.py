@@ -181,7 +181,7 @@ SQL = {
     "contact_links": "SELECT u, v, true AS exact FROM exact_edges UNION ALL SELECT u, v, false FROM probable_edges",
     "contact_reach": "SELECT u AS node, u AS other FROM contact_links UNION SELECT v, v FROM contact_links UNION SELECT r.node, CASE WHEN l.u = r.other THEN l.v ELSE l.u END FROM contact_reach r JOIN contact_links l ON l.u = r.other OR l.v = r.other",
     "contact_members": "SELECT node AS contact_id, min(other) AS group_id FROM contact_reach GROUP BY 1",
-    "contact_groups": """SELECT group_id, CASE WHEN n <= 8 AND exact THEN 'exact' ELSE 'probable' END AS tier, CASE WHEN n > 8 THEN 0.375 WHEN exact THEN 1.0 ELSE 0.75 END AS confidence,
+    "contact_groups": """SELECT group_id, CASE WHEN n <= 8 AND exact THEN 'exact' ELSE 'probable' END AS tier, CAST(CASE WHEN n > 8 THEN 0.375 WHEN exact THEN 1.0 ELSE 0.75 END AS DOUBLE) AS confidence,
  CASE WHEN n > 8 THEN 'Large group of ' || n || ' — shared contact info may indicate a shared line, not duplicate people. Review carefully.' WHEN exact THEN 'Same phone number or email address' ELSE 'Similar name with a related phone number or email' END AS match_reason,
  primary_id AS recommended_primary, n AS n_members FROM (SELECT group_id, count(*) AS n, arg_min(contact_id, -field_count * 1e12 + CAST(contact_id AS BIGINT)) AS primary_id FROM contact_members JOIN contacts USING (contact_id) GROUP BY 1)
  JOIN (SELECT group_id, bool_or(exact) AS exact FROM contact_links JOIN contact_members ON u = contact_id GROUP BY 1) USING (group_id)""",
