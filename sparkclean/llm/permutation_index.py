@@ -127,6 +127,6 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, by_root: float = P
     if not short.isEmpty():
         one = lambda r: r.select(F.lit(0).alias("file"), "vec_id", "v", "o")
         rest = _meet(one(ordered), one(short), k, n, prefix, 1.0)
-        found = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest)
+        found = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest.distinct())
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

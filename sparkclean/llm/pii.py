@@ -38,7 +38,7 @@ _GENDER = {name: (g, script) for (g, script), names in GIVEN.items() for name in
 _TITLE = {name: g for g, names in TITLES.items() for name in names}
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 #: What a text must hold to be looked through at all; it must cover every pattern below.
-MAYBE = r"@|[0-9][0-9 .()/-]{5,}[0-9]|[0-9A-Fa-f]{32}|AKIA[0-9A-Z]{16}|gh[pousr]_|sk-[A-Za-z0-9]{20}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|\b(?:" + "|".join([*_TITLE, *_GENDER]) + r")\b"
+MAYBE = r"@|[0-9][0-9 .()/-]{5,}[0-9]|[0-9A-Fa-f]{32}|AKIA[0-9A-Z]{16}|gh[pousr]_|sk-[A-Za-z0-9]{20}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|\b(?=\p{Lu})(?:" + "|".join([*_TITLE, *_GENDER]) + r")\b"
 _PATTERNS = {
     "email": r"[^\W_][\w.%+'-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
