@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.images import hamming
+from ..storage import stage
 from .components import connected_components
 from .scoring import scored, weighted
 from .sessions import sessions_of_two
@@ -65,11 +66,11 @@ def hash_groups(hashed: DataFrame, keys: list[str], limit: int = 5) -> DataFrame
 
     Confidence is one minus the mean distance over all linked pairs, equal ones at 0, divided by 64.
     """
-    own = hashed.where("phash is not null").select(*keys, "asset_id", "phash")
-    heads = own.groupBy(*keys, "phash").agg(F.min("asset_id").alias("head"), F.count("*").alias("n"))
+    own = stage(hashed.where("phash is not null").select(*keys, "asset_id", "phash"), "hashes")  # read by every join below
+    heads = stage(own.groupBy(*keys, "phash").agg(F.min("asset_id").alias("head"), F.count("*").alias("n")), "heads")
     close = close_hashes(own, keys, limit)
     head_of = lambda c: heads.select(*keys, F.col("phash").alias(c), F.col("head").alias(f"{c}_head"))
-    linked = close.join(head_of("a"), [*keys, "a"]).join(head_of("b"), [*keys, "b"])
+    linked = stage(close.join(head_of("a"), [*keys, "a"]).join(head_of("b"), [*keys, "b"]), "linked")
     alone = heads.where("n > 1").select(F.col("head").alias("u"), F.col("head").alias("v"))
     nodes = connected_components(linked.select(F.col("a_head").alias("u"), F.col("b_head").alias("v")).union(alone))
     grouped = heads.join(nodes, F.col("head") == F.col("node")).select(*keys, "phash", "head", "n", F.col("component").alias("group_id"))
@@ -87,5 +88,5 @@ def similar_groups(assets: DataFrame, hashes: DataFrame, signals: DataFrame, exa
     """
     placed = sessions_of_two(similarity_candidates(assets, exact_members).select("library_id", "asset_id", "creation_ts"), "creation_ts", ["library_id"], gap_s)
     groups = hash_groups(placed.join(hashes, "asset_id"), ["library_id", "session_start"], limit)
-    judged = scored(weighted(groups.join(signals, "asset_id")))
+    judged = scored(stage(weighted(stage(groups, "groups").join(signals, "asset_id")), "scores"))
     return judged.select("group_id", "asset_id", "confidence", F.lit("similar").alias("kind"), "total", "reason", "recommended_keep")
