@@ -138,9 +138,9 @@ def escaped(text: str | None) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def words(text: str) -> Iterator[tuple[int, int]]:
-    """Begin and end of each word with the marks before it; marks at the end are a word too."""
-    begin, n = 0, len(text)
+def words(text: str, begin: int = 0) -> Iterator[tuple[int, int]]:
+    """Begin and end of each word with the marks before it, from ``begin`` on; marks at the end are a word too."""
+    n = len(text)
     while begin < n:
         end = begin
         while end < n and text[end] == SPACE:
@@ -201,20 +201,17 @@ class Chunk:
             if before:
                 starts_word = text[j] == SPACE and (j == 0 or text[j - 1] != SPACE) or self.first and j == 0
                 if starts_word and furthest <= j:
-                    whole = np.max([scores[p] for p in before], axis=0)
-                    stop = j
-                    while stop < len(text) and text[stop] == SPACE:
-                        stop += 1
-                    stop = text.find(SPACE, stop)
-                    stop = len(text) if stop < 0 else stop
-                    if stop < self.end:
+                    stop, total = j, 0.0
+                    for a, b in words(text, j):  # whole words are one step, however many there are
+                        if b >= self.end:
+                            break
+                        known = model.words.get(text[a:b]) or model.word(text[a:b])
+                        stop, total = b, total + known[0]
+                    if stop > j:
                         key = (j, stop)
-                        scores[key] = whole + model.word(text[j:stop])[0]
+                        scores[key] = np.max([scores[p] for p in before], axis=0) + total
                         came[key] = max(before, key=lambda p: scores[p].max())
                         ending[stop] = [key]
-                        for p in before:
-                            if p not in entries and len(entries) > 1:
-                                scores.pop(p, None)
                         j = furthest = stop
                         continue
                 for i in range(j + 1, min(len(text), j + model.longest) + 1):
@@ -256,7 +253,7 @@ class Chunk:
         out = []
         for j, i in reversed(path):
             piece = self.text[j:i]
-            out.append(np.array(self.model.numbers([piece]), "<i4").tobytes() if self.model.is_piece(piece) else self.model.word(piece)[1])
+            out.append(np.array(self.model.numbers([piece]), "<i4").tobytes() if self.model.is_piece(piece) else encode(piece, self.model))
         return b"".join(out)
 
 
