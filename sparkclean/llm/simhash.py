@@ -25,21 +25,28 @@ BITS = 64
 PIECE = 512
 
 
-def fingerprint_of(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """The signed 64-bit fingerprint of one text; 0 for a text without words."""
+def shingle_hashes(text: str | None, words: int = 3, seed: int = 42) -> np.ndarray:
+    """The hashes of all word shingles of a text in its order; a shorter text is one shingle, one without words none."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(tokens)
     n = max(1, len(tokens) - words + 1)
     if n == 1:
-        hashes = np.array([xxhash.xxh64_intdigest(line, seed)], dtype=np.uint64)
-    else:
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[:n].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter([digest(line[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64, n)
+        return np.array([xxhash.xxh64_intdigest(line, seed)], dtype=np.uint64)
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[:n].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter([digest(line[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64, n)
+
+
+def fingerprint_of(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """The signed 64-bit fingerprint of one text; 0 for a text without words."""
+    hashes = shingle_hashes(text, words, seed)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(BITS, np.int64)
     for k in range(0, n, 16384):
         bits = np.unpackbits(hashes[k : k + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
