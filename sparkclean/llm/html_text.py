@@ -27,6 +27,8 @@ TRAINING_PAGES = 500
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("head title textarea select button object canvas svg math audio video".split())
+#: Tags that leave an open head open; any other starts the body.
+_IN_HEAD = set("base basefont bgsound head html link meta noframes title".split())
 _CLOSES_P = BLOCK - set("body html td th tr tbody thead tfoot caption option legend summary".split())
 _SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 _TOKEN = re.compile(
@@ -34,7 +36,8 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDES = re.compile(r"""\bhidden\b(?!\s*=\s*["']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _BLANKS = re.compile(r"\s+")
 
 #: Words in class names and ids, by what they tell: fixed values.
@@ -66,6 +69,20 @@ def _marks(tag: str, attributes: str) -> frozenset[int]:
     return frozenset(found)
 
 
+@lru_cache(maxsize=50_000)
+def _hides(attributes: str) -> bool:
+    """Whether a tag with these attributes is not shown."""
+    seen = set()
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in seen:  # of repeated attributes the first one counts
+            continue
+        seen.add(name)
+        if name == "hidden" and not value.lower().startswith(("false", "until")) or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 def leaf_blocks(page: str) -> list[tuple[str, frozenset[int], int]]:
     """``(text, ancestor marks, characters in links)`` of each leaf block in page order; blank blocks are left out."""
     stack: list[tuple[str, frozenset[int], bool]] = []  # tag, marks of it and all above, hidden
@@ -87,8 +104,13 @@ def leaf_blocks(page: str) -> list[tuple[str, frozenset[int], int]]:
             links -= tag == "a"
         del stack[k:]
 
+    def in_head() -> bool:
+        return bool(stack) and stack[-1][0] == "head"
+
     last = 0
     for m in _TOKEN.finditer(page):
+        if m.start() > last and in_head() and not page[last : m.start()].isspace():
+            pop_to(len(stack) - 1)
         if m.start() > last and not (stack and stack[-1][2]):
             text = html.unescape(page[last : m.start()])
             parts.append(text)
@@ -98,6 +120,8 @@ def leaf_blocks(page: str) -> list[tuple[str, frozenset[int], int]]:
         if not tag:
             continue
         if m[2] or m[5]:
+            if in_head() and tag in ("body", "html", "br"):
+                pop_to(len(stack) - 1)
             if tag in BLOCK:
                 close_block()
             at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
@@ -105,6 +129,10 @@ def leaf_blocks(page: str) -> list[tuple[str, frozenset[int], int]]:
                 pop_to(at)
             continue
         attributes = m[4] or m[7] or ""
+        if tag == "head" and any(t != "html" for t, *_ in stack):
+            continue
+        if in_head() and tag not in _IN_HEAD:
+            pop_to(len(stack) - 1)
         if tag in BLOCK or tag in HIDDEN:
             close_block()
             if tag in _CLOSES_P:
@@ -123,8 +151,10 @@ def leaf_blocks(page: str) -> list[tuple[str, frozenset[int], int]]:
         if tag in VOID or attributes.endswith("/") and tag in ("svg", "path", "g"):
             continue
         above = stack[-1] if stack else ("", nothing, False)
-        stack.append((tag, above[1] | _marks(tag, attributes), above[2] or tag in HIDDEN or bool(attributes and _HIDES.search(attributes))))
+        stack.append((tag, above[1] | _marks(tag, attributes), above[2] or tag in HIDDEN or bool(attributes) and _hides(attributes)))
         links += tag == "a"
+    if last < len(page) and in_head() and not page[last:].isspace():
+        pop_to(len(stack) - 1)
     if last < len(page) and not (stack and stack[-1][2]):
         parts.append(html.unescape(page[last:]))
     close_block()
