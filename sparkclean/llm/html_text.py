@@ -169,9 +169,10 @@ def block_features(blocks: list[tuple[str, frozenset[int], int]]) -> np.ndarray:
         out[k, list(marks)] = 1
         n, words = len(text), text.count(" ") + 1
         share = linked / n
+        digits = sum(map(text.count, "0123456789")) if text.isascii() else sum(map(str.isdigit, text))
         out[k, base:] = (
             1, min(math.log1p(words), 6) / 3, words < 4, words < 10, words > 25, share, share > 0.6, text[-1] in ".!?…\"”»。", "©" in text or "all rights" in text.lower(),
-            min(1, sum(map(text.count, ",;")) / words * 5), min(1, sum(map(str.isdigit, text[:400])) / min(n, 400) * 4), text.isupper() and n > 3, k == 0, k == len(blocks) - 1,
+            min(1, sum(map(text.count, ",;")) / words * 5), min(1, digits / n * 4), text.isupper() and n > 3, k == 0, k == len(blocks) - 1,
         )
     return out
 

@@ -29,3 +29,9 @@ def test_text_and_a_second_head():
     assert texts("<head><title>T</title><head></head><body><p>One.</p>") == ["One."]
     assert texts("<html><head><title>T</title></head><body><p>One.</p></body></html>") == ["One."]
     assert texts("<head><title>T</title>Last") == ["Last"]
+
+
+@pytest.mark.parametrize("letters", ["a", "é"])
+def test_digits_of_a_whole_block_count(letters):
+    few, late, early = (html_text.block_features([(t, frozenset(), 0)])[0] for t in (letters * 1000, letters * 900 + "1" * 100, "1" * 100 + letters * 900))
+    assert (late == early).all() and [(a, b) for a, b in zip(few, late) if a != b] == [(0, 0.4)]
