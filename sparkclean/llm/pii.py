@@ -11,6 +11,7 @@ import hmac
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import TypeVar
 
 import pandas as pd
 import pyarrow as pa
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ..storage import stage
 
+T = TypeVar("T")
+
 #: Given names by gender and script, and titles that go before a name: fixed values.
 GIVEN = {
     ("f", "latin"): "Alice Amelia Anna Barbara Carmen Caroline Charlotte Claudia Clara Diana Elena Elisabeth Emily Emma Eva Hannah Helen Ingrid Isabel Jane Jennifer Julia Karin Laura Lucia Margaret Maria Marie Martha Mary Monika Olivia Patricia Petra Rachel Rosa Sabine Sarah Sofia Sophie Susan Teresa Ursula Victoria".split(),
@@ -34,11 +37,32 @@ SYLLABLES = {
     "cyrillic": "ба бе ва ве га да де жи за ка ко ла ле ли ло ма ми мо на не ни ра ре ри ро са се та те то ха".split(),
     "greek": "βα γα δε δη κα κο λα λε μα μη νι νο πα πο ρα ρι σα σε τα το".split(),
 }
+#: Titles whose capitals are also other words, and words in lower case inside a name: fixed values.
+_NO_CAPITALS = set("Ms Miss Don Sir Madame".split())
+PARTICLES = "af al av bin da das de del della den der di do dos du e el ibn la las le los of ten ter van vom von y zu zum zur".split()
+ALPHABET = {"latin": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "cyrillic": "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ", "greek": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}
+
+
+def _bare(word: str) -> str:
+    """A word without accents."""
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
+def _with_capitals(words: dict[str, T]) -> dict[str, T]:
+    """Also what the words mean in capitals, with accents or without."""
+    return {f(w.upper()): x for w, x in words.items() for f in (_bare, str)} | words
+
+
+_NAMED = _with_capitals({name: name for names in GIVEN.values() for name in names})
 _GENDER = {name: (g, script) for (g, script), names in GIVEN.items() for name in names}
 _TITLE = {name: g for g, names in TITLES.items() for name in names}
+_TITLE = _with_capitals({name: g for name, g in _TITLE.items() if name not in _NO_CAPITALS}) | _TITLE
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
+_UPPER = "[" + "".join(c for c in map(chr, range(0x2C00)) if c.isupper() and c.isalpha()) + "]"
+#: Further words of a name: initials with a dot, or a word with a capital, also after d' or l'; particles before them.
+_FURTHER = rf"(?:[ \u00a0]+(?:(?:{'|'.join(PARTICLES)})[ \u00a0]+)*(?:(?:{_UPPER}\.-?)+(?:{_UPPER}{_WORD})?|(?:[dl]['’])?(?={_UPPER}){_WORD}))"
 #: What a text must hold to be looked through at all; it must cover every pattern below.
-MAYBE = r"@|[0-9][0-9 .()/-]{5,}[0-9]|[0-9A-Fa-f]{32}|AKIA[0-9A-Z]{16}|gh[pousr]_|sk-[A-Za-z0-9]{20}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|\b(?=\p{Lu})(?:" + "|".join([*_TITLE, *_GENDER]) + r")\b"
+MAYBE = r"@|[0-9][0-9 .()/-]{5,}[0-9]|[0-9A-Fa-f]{32}|AKIA[0-9A-Z]{16}|gh[pousr]_|sk-[A-Za-z0-9]{20}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|\b(?=\p{Lu})(?:" + "|".join([*_TITLE, *_NAMED]) + r")\b"
 _PATTERNS = {
     "email": r"[^\W_][\w.%+'-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -47,7 +71,7 @@ _PATTERNS = {
     "card": r"(?<![\w+])[0-9](?:[ -]?[0-9]){12,18}(?!\w)",
     "phone": r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?!\w)",
     "secret": r"(?<!\w)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?!\w)",
-    "person": rf"(?:\b(?:{'|'.join(_TITLE)})\.? )+{_WORD}(?: {_WORD})?|\b(?:{'|'.join(_GENDER)})\b(?: {_WORD})?",
+    "person": rf"\b(?:{'|'.join(_TITLE)})\.?(?:[ \u00a0]+(?:{'|'.join(_TITLE)})\b\.?)*{_FURTHER}+|\b(?:{'|'.join(_NAMED)})\b(?:-(?={_UPPER}){_WORD})?{_FURTHER}*",
 }
 _FIND = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in _PATTERNS.items()))
 
@@ -66,26 +90,32 @@ def _script(word: str) -> str:
     return "cyrillic" if name.startswith("CYRILLIC") else "greek" if name.startswith("GREEK") else "latin"
 
 
+def _name(word: str) -> tuple[str, str]:
+    """Kind and canonical form of a word of a name."""
+    if word in _NAMED:
+        g, script = _GENDER[_NAMED[word]]
+        return f"given {g} {script}", _NAMED[word]
+    script = _script(word)
+    return (f"initial {script}", _bare(word).upper()) if len(word) == 1 else (f"surname {script}", word.lower())
+
+
 def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
     """``(begin, end, kind, canonical form)`` of each entity, left to right; equal forms are one entity."""
     for m in _FIND.finditer(text):
         kind, found, begin = m.lastgroup, m[0], m.start()
         digits = re.sub(r"[^0-9]", "", found)
         if kind == "person":
-            gender, before = "", ""
+            named = False
             for w in re.finditer(_WORD, found):
-                word = w[0]
-                if word in _TITLE and not before:
-                    gender = _TITLE[word] or gender
+                if not named and w[0] in _TITLE or w[0] in PARTICLES:
                     continue
-                if not word[0].isupper():
-                    break
-                if word in _GENDER:
-                    g, script = _GENDER[word]
-                    yield begin + w.start(), begin + w.end(), f"given {g} {script}", word
-                elif before != "surname":
-                    yield begin + w.start(), begin + w.end(), f"surname {_script(word)}", word.lower()
-                    before = "surname"
+                named = True
+                parts = list(re.finditer(r"[^-]+", w[0])) if "-" in w[0] else []
+                if not any(p[0] in _NAMED for p in parts):
+                    parts = [re.search(r"(?![dl]['’]).+", w[0])]
+                for p in parts:
+                    at = begin + w.start()
+                    yield at + p.start(), at + p.end(), *_name(p[0])
             continue
         if kind == "card" and not _luhn(digits):
             continue
@@ -136,6 +166,9 @@ def surrogate(kind: str, form: str, key: bytes, attempt: int = 0) -> str:
         names = GIVEN[gender, script]
         order = sorted(names, key=lambda n: hmac.new(key, f"{gender}{n}".encode(), hashlib.sha256).digest())
         return order[(order.index(form) + 1 + attempt) % len(order)]  # one keyed cycle: names never meet
+    if kind.startswith("initial "):
+        order = sorted(ALPHABET[kind.split()[1]], key=lambda c: hmac.new(key, c.encode(), hashlib.sha256).digest())
+        return order[(order.index(form) + 1) % len(order)] if form in order else order[0]
     if kind.startswith("surname "):
         syllables = SYLLABLES[kind.split()[1]]
         return "".join(syllables[draw.below(len(syllables))] for _ in range(min(6, 3 + len(form) // 5)))
@@ -182,7 +215,7 @@ def render(kind: str, mention: str, new: str) -> str:
     if kind == "iban":
         rest = iter(new)
         return "".join(c if c == " " else next(rest) for c in mention)
-    if kind.startswith(("given", "surname")):
+    if kind.startswith(("given", "initial", "surname")):
         return new.upper() if mention.isupper() and len(mention) > 1 else new[:1].upper() + new[1:]
     if kind == "email" and len(mention) == len(new):
         return "".join(b.upper() if a.isupper() else b for a, b in zip(mention, new))
@@ -193,7 +226,7 @@ def settle(entities: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
     """``(kind, form, new)`` for distinct ``(kind, form)``: surrogates that differ from each other and from every form.
 
     Of entities that drew one surrogate the smallest form keeps it; the others draw again. Given names come from one
-    keyed cycle of a closed list and need no check.
+    keyed cycle of a closed list, initials from one of the alphabet, and need no check.
     """
 
     def drawn(rows: DataFrame, attempt: int) -> DataFrame:
@@ -204,7 +237,7 @@ def settle(entities: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
         return rows.withColumn("new", draw("kind", "form"))
 
     entities = stage(entities.select("kind", "form").distinct(), "entities")
-    given = F.col("kind").startswith("given ")
+    given = F.col("kind").rlike("^(given|initial) ")
     done = drawn(entities.where(given), 0)
     pending = entities.where(~given)
     taken = entities.where(~given).select("kind", F.col("form").alias("new"))
