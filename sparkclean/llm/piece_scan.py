@@ -2,18 +2,19 @@
 
 A segmentation is the encoder's own exactly if each two adjacent pieces are what it makes of the two put together. So
 the encoder is a shortest-path problem over pieces: a path scores the sum of its pieces and may only join compatible
-neighbours. Where no piece can reach over a word start, the path breaks into words, whose segmentations are remembered.
+neighbours. Where no piece can reach over a word start, the path breaks into words, whose ids are remembered.
 A giant document is split into chunks; the states at a chunk's border are the pieces that begin before it and end at or
 after it. Each chunk gives a max-plus matrix from its entry to its exit states, matrices are combined associatively
-in blocks and over blocks, and each chunk, told its entry and exit, traces its own pieces back.
+in blocks and over blocks, and each chunk, told its entry and exit, traces its own pieces back. The words that lie
+whole inside a chunk are one factor of its matrix; only the pieces around its borders are searched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ CHUNK, FAN = 1 << 14, 64
 SPACE = "▁"
 #: Words and pairs of pieces that one process remembers.
 REMEMBERED = 400_000
+#: A word with the blanks before it, or blanks at the end.
+_WORD = re.compile(r" *[^ ]+| +")
 
 
 class Pieces:
@@ -46,7 +49,8 @@ class Pieces:
             raise ValueError("a piece of this model reaches over a word start")
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
-        self.words: dict[str, tuple[float, bytes]] = {}
+        self.words: dict[str, bytes] = {}
+        self.score_of = np.array([model.get_score(k) for k in range(size)])
 
     def merged(self, text: str) -> list[str]:
         """The encoder's pieces of a short text by its own rule: join the best-scored neighbours, leftmost first."""
@@ -98,30 +102,16 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
-    def word(self, text: str) -> tuple[float, bytes]:
-        """Score and ids (little-endian 32-bit) of the one path over a word, found forward and traced back."""
-        known = self.words.get(text)
-        if known is not None:
-            return known
-        last: list[str | None] = [""]
-        total = [0.0]
-        for i in range(1, len(text) + 1):
-            found = None
-            for j in range(max(0, i - self.longest), i):
-                piece, before = text[j:i], last[j]
-                if before is not None and self.is_piece(piece) and (not before or self.fits(before, piece)):
-                    found = piece
-                    break
-            last.append(found)
-            total.append(total[i - len(found)] + self.score(found) if found else -np.inf)
-        pieces, i = [], len(text)
-        while i:
-            pieces.append(last[i])
-            i -= len(last[i])
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        known = self.words[text] = (total[-1], np.array(self.numbers(pieces[::-1]), "<i4").tobytes())
-        return known
+    def encode(self, texts: list[list[str]]) -> list[bytes]:
+        """Ids (little-endian 32-bit) of texts given as words with the blanks before them; words are encoded once."""
+        known = self.words
+        new = list({w for words in texts for w in words}.difference(known))
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = list({w for words in texts for w in words})
+        for w, ids in zip(new, self.model.encode([w[1:] for w in new], num_threads=1)):  # the encoder adds the first blank
+            known[w] = np.array(ids if w != " " else self.numbers([SPACE]), "<i4").tobytes()
+        return [b"".join(map(known.__getitem__, words)) for words in texts]
 
 
 _loaded: dict[str, Pieces] = {}
@@ -138,34 +128,40 @@ def escaped(text: str | None) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def words(text: str, begin: int = 0) -> Iterator[tuple[int, int]]:
-    """Begin and end of each word with the marks before it, from ``begin`` on; marks at the end are a word too."""
-    n = len(text)
-    while begin < n:
-        end = begin
-        while end < n and text[end] == SPACE:
-            end += 1
-        end = text.find(SPACE, end)
-        end = n if end < 0 else end
-        yield begin, end
-        begin = end
+def words(text: str) -> list[str]:
+    """The words of an escaped text, each with the marks before it as blanks; marks at the end are a word too."""
+    return _WORD.findall(text.replace(SPACE, " "))
 
 
 def encode(text: str, model: Pieces) -> bytes:
     """Ids of a whole escaped text, word by word."""
-    get, out = model.words.get, []
-    for a, b in words(text):
-        known = get(text[a:b])
-        out.append(known[1] if known is not None else model.word(text[a:b])[1])
-    return b"".join(out)
+    return model.encode([words(text)])[0]
 
 
 class Chunk:
     """Positions ``begin`` to ``end`` of an escaped text, of which ``text`` holds these and a piece's length around."""
 
-    def __init__(self, text: str, offset: int, begin: int, end: int, n: int, model: Pieces) -> None:
-        self.text, self.begin, self.end, self.model = text, begin - offset, end - offset, model
-        self.first, self.last = begin == 0, end == n
+    def __init__(self, text: str, begin: int, end: int, first: bool, last: bool, model: Pieces) -> None:
+        self.text, self.begin, self.end, self.first, self.last, self.model = text, begin, end, first, last, model
+
+    def starts_word(self, at: int) -> bool:
+        return self.text[at] == SPACE and (at == 0 or self.text[at - 1] != SPACE)
+
+    def inside(self) -> tuple[int, int]:
+        """From the first to the last word start in the chunk; no piece crosses either. Twice the same place if there are none."""
+        text, a = self.text, self.begin
+        while (a := text.find(SPACE, a, self.end)) >= 0 and not self.starts_word(a):
+            a += 1
+        if a < 0:
+            return self.begin, self.begin
+        b = self.end
+        while not self.starts_word(b := text.rfind(SPACE, a, b)):
+            pass
+        return a, b
+
+    def without(self, a: int, b: int) -> Chunk:
+        """The chunk with ``a`` to ``b`` taken out, which are word starts."""
+        return Chunk(self.text[:a] + self.text[b:], self.begin, self.end - (b - a), self.first, self.last, self.model)
 
     def border(self, at: int) -> list[tuple[int, int]]:
         """The pieces that begin before ``at`` and end there or later, in order."""
@@ -195,42 +191,28 @@ class Chunk:
             scores[s] = v
             came[s] = None
             ending.setdefault(s[1], []).append(s)
-        j, furthest = self.begin, max(i for _, i in entries)
-        while j < self.end:
-            before = ending.pop(j, [])
-            if before:
-                starts_word = text[j] == SPACE and (j == 0 or text[j - 1] != SPACE) or self.first and j == 0
-                if starts_word and furthest <= j:
-                    stop, total = j, 0.0
-                    for a, b in words(text, j):  # whole words are one step, however many there are
-                        if b >= self.end:
-                            break
-                        known = model.words.get(text[a:b]) or model.word(text[a:b])
-                        stop, total = b, total + known[0]
-                    if stop > j:
-                        key = (j, stop)
-                        scores[key] = np.max([scores[p] for p in before], axis=0) + total
-                        came[key] = max(before, key=lambda p: scores[p].max())
-                        ending[stop] = [key]
-                        j = furthest = stop
-                        continue
-                for i in range(j + 1, min(len(text), j + model.longest) + 1):
-                    piece = text[j:i]
-                    if not model.is_piece(piece):
-                        continue
-                    joined = [p for p in before if starts_word or self.fits(p, piece)]
-                    if joined:
-                        key = (j, i)
-                        scores[key] = np.max([scores[p] for p in joined], axis=0) + model.score(piece)
-                        came[key] = max(joined, key=lambda p: scores[p].max())
-                        ending.setdefault(i, []).append(key)
-                        furthest = max(furthest, i)
-            j += 1
+        for j in range(self.begin, self.end):
+            before = ending.pop(j, None)
+            if not before:
+                continue
+            free = self.first and j == 0 or self.starts_word(j)
+            for i in range(j + 1, min(len(text), j + model.longest) + 1):
+                if i > j + 1 and text[i - 1] == SPACE and text[i - 2] != SPACE:
+                    break  # no piece reaches over a word start
+                piece = text[j:i]
+                if not model.is_piece(piece):
+                    continue
+                joined = [p for p in before if free or self.fits(p, piece)]
+                if joined:
+                    key = (j, i)
+                    scores[key] = np.max([scores[p] for p in joined], axis=0) + model.score(piece)
+                    came[key] = max(joined, key=lambda p: scores[p].max())
+                    ending.setdefault(i, []).append(key)
         return scores, came
 
     def fits(self, before: tuple[int, int], piece: str) -> bool:
         a = self.text[before[0] : before[1]]
-        return not a or before[1] - before[0] > self.model.longest or self.model.fits(a, piece)
+        return not a or self.model.fits(a, piece)
 
     def matrix(self) -> np.ndarray:
         """The max-plus transfer matrix, entries by exits."""
@@ -242,19 +224,17 @@ class Chunk:
                 out[:, x] = scores[s]
         return out
 
-    def trace(self, entry: int, exit_: int) -> bytes:
-        """Ids of the pieces that begin inside the chunk, between the given states."""
+    def trace(self, entry: int, exit_: int, at: int = -1, ids: bytes = b"") -> bytes:
+        """Ids of the pieces that begin inside the chunk, between the given states, with ``ids`` put in at ``at``."""
         start, stop = self.entries()[entry], self.exits()[exit_]
         _, came = self.walk([start])
-        path, at = [], stop
-        while at is not None and at != start:
-            path.append(at)
-            at = came[at]
-        out = []
-        for j, i in reversed(path):
-            piece = self.text[j:i]
-            out.append(np.array(self.model.numbers([piece]), "<i4").tobytes() if self.model.is_piece(piece) else encode(piece, self.model))
-        return b"".join(out)
+        path, back = [], stop
+        while back is not None and back != start:
+            path.append(back)
+            back = came[back]
+        numbers = lambda spans: np.array(self.model.numbers([self.text[j:i] for j, i in spans]), "<i4").tobytes()
+        path.reverse()
+        return numbers(s for s in path if s[0] < at) + ids + numbers(s for s in path if s[0] >= at)
 
 
 def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -273,16 +253,42 @@ def states(matrices: list[np.ndarray], first: int, last: int) -> list[int]:
     return path[::-1]
 
 
-def _packed(m: np.ndarray) -> dict:
-    return {"rows": m.shape[0], "m": np.ascontiguousarray(m).tobytes()}
-
-
 def _unpacked(rows: int, m: bytes) -> np.ndarray:
     return np.frombuffer(m, np.float64).reshape(rows, -1)
 
 
+def _runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """The rows of ordered batches in runs of equal first ``keys`` columns."""
+    run: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if run and row[:keys] != run[0][:keys]:
+                yield run
+                run = []
+            run.append(row)
+    if run:
+        yield run
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
+
+
+_CUT = "row long, doc_id long, part long, begin int, end int, first boolean, last boolean, text string"
+_MATRIX = f"{_CUT}, at int, ids binary, rows int, m binary"
+_PRODUCT = "row long, block long, rows int, m binary"
+_BORDER = "row long, block long, entry int, exit int"
+_STATE = "row long, part long, entry int, exit int"
+_IDS = "doc_id long, row long, part long, ids binary"
+
+
 def _giants(docs: DataFrame, path: str, chunk: int) -> DataFrame:
-    """``(doc_id, part, ids)`` of documents of more than one chunk."""
+    """``(doc_id, row, part, ids)`` of documents of more than one chunk."""
     around = pieces_of(path).longest + 1
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,53 +296,61 @@ def _giants(docs: DataFrame, path: str, chunk: int) -> DataFrame:
             for row, doc_id, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 whole = escaped(text)
                 n = len(whole)
-                cuts = [(k, b, min(b + chunk, n)) for k, b in enumerate(range(0, n, chunk))]
-                rows = [(row, doc_id, k, n, max(0, b - around), b, e, whole[max(0, b - around) : e + around]) for k, b, e in cuts]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate([pa.int64()] * 7 + [pa.string()])], ["row", "doc_id", "part", "n", "offset", "begin", "end", "text"])
-
-    def chunks(batch: pa.RecordBatch) -> Iterator[Chunk]:
-        model = pieces_of(path)
-        for text, offset, begin, end, n in zip(*(batch.column(c).to_pylist() for c in ("text", "offset", "begin", "end", "n"))):
-            yield Chunk(text, offset, begin, end, n, model)
+                cuts = [(k, b, min(b + chunk, n), max(0, b - around)) for k, b in enumerate(range(0, n, chunk))]
+                for at in range(0, len(cuts), FAN):
+                    yield _table([(row, doc_id, k, b - o, e - o, b == 0, e == n, whole[o : e + around]) for k, b, e, o in cuts[at : at + FAN]], _arrow(_CUT))
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces_of(path)
         for batch in batches:
-            found = [_packed(c.matrix()) for c in chunks(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("part"), pa.array([f["rows"] for f in found], pa.int32()), pa.array([f["m"] for f in found], pa.binary())], ["row", "part", "rows", "m"])
-
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        whole = None
-        for rows, m in zip(pdf["rows"], pdf["m"]):
-            m = _unpacked(rows, m)
-            whole = m if whole is None else combined(whole, m)
-        return pd.DataFrame([{"row": pdf["row"].iloc[0], "block": pdf["block"].iloc[0], **_packed(whole)}])
-
-    def over_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        matrices = [_unpacked(r, m) for r, m in zip(pdf["rows"], pdf["m"])]
-        ends = np.zeros(1)
-        for m in matrices:
-            ends = (ends[:, None] + m).max(axis=0)
-        path = states(matrices, 0, int(ends.argmax()))
-        return pd.DataFrame({"row": pdf["row"], "block": pdf["block"], "entry": path[:-1], "exit": path[1:]})
-
-    def inside(parts: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        parts = parts.sort_values("part")
-        path = states([_unpacked(r, m) for r, m in zip(parts["rows"], parts["m"])], int(block["entry"].iloc[0]), int(block["exit"].iloc[0]))
-        return pd.DataFrame({"row": parts["row"], "part": parts["part"], "entry": path[:-1], "exit": path[1:]})
+            out = []
+            for row, doc_id, part, begin, end, first, last, text in zip(*(c.to_pylist() for c in batch.columns)):
+                own = Chunk(text, begin, end, first, last, model)
+                a, b = own.inside()
+                ids = encode(text[a:b], model)
+                own = own.without(a, b)
+                m = own.matrix() + model.score_of[np.frombuffer(ids, "<i4")].sum()
+                out.append((row, doc_id, part, own.begin, own.end, first, last, own.text, a, ids, len(m), m.tobytes()))
+            yield _table(out, _arrow(_MATRIX))
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, 2):
+            whole = None
+            for *_, rows, m in run:
+                whole = _unpacked(rows, m) if whole is None else combined(whole, _unpacked(rows, m))
+            yield _table([(*run[0][:2], len(whole), np.ascontiguousarray(whole).tobytes())], _arrow(_PRODUCT))
+
+    def over_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, 1):
+            matrices = [_unpacked(rows, m) for *_, rows, m in run]
+            ends = np.zeros(1)
+            for m in matrices:
+                ends = (ends[:, None] + m).max(axis=0)
+            at = states(matrices, 0, int(ends.argmax()))
+            yield _table([(*r[:2], a, b) for r, a, b in zip(run, at, at[1:])], _arrow(_BORDER))
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, 2):
+            at = states([_unpacked(r[3], r[4]) for r in run], *run[0][5:])
+            yield _table([(r[0], r[2], a, b) for r, a, b in zip(run, at, at[1:])], _arrow(_STATE))
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces_of(path)
         for batch in batches:
-            ids = [c.trace(a, b) for c, a, b in zip(chunks(batch), batch.column("entry").to_pylist(), batch.column("exit").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("part"), pa.array(ids, pa.binary())], ["doc_id", "row", "part", "ids"])
-
-    parts = stage(docs.mapInArrow(split, "row long, doc_id long, part long, n long, offset long, begin long, end long, text string"), "parts")
-    matrices = stage(parts.repartition("row", "part").mapInArrow(transfer, "row long, part long, rows int, m binary").withColumn("block", F.floor(F.col("part") / FAN)), "matrices")
-    blocks = matrices.groupBy("row", "block").applyInPandas(product, "row long, block long, rows int, m binary")
-    borders = blocks.groupBy("row").applyInPandas(over_blocks, "row long, block long, entry int, exit int")
-    own = matrices.groupBy("row", "block").cogroup(stage(borders, "borders").groupBy("row", "block")).applyInPandas(lambda a, b: inside(a, b), "row long, part long, entry int, exit int")
-    return parts.join(own, ["row", "part"]).mapInArrow(trace, "doc_id long, row long, part long, ids binary")
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            out = [(doc_id, row, part, Chunk(text, begin, end, first, last, model).trace(a, b, at, ids)) for row, doc_id, part, begin, end, first, last, text, at, ids, a, b in rows]
+            yield _table(out, _arrow(_IDS))
+
+    # counts are given, as small matrices would else be put into one task
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda rows, *keys: rows.repartition(tasks, *keys)
+    matrices = stage(dealt(docs.mapInArrow(split, _CUT), "row", "part").mapInArrow(transfer, _MATRIX).withColumn("block", F.floor(F.col("part") / FAN)), "matrices")
+    slim = matrices.select("row", "block", "part", "rows", "m")
+    blocks = dealt(slim, "row", "block").sortWithinPartitions("row", "block", "part").drop("part").mapInArrow(product, _PRODUCT)
+    borders = stage(dealt(blocks, "row").sortWithinPartitions("row", "block").mapInArrow(over_blocks, _BORDER), "borders")
+    told = dealt(slim.join(borders, ["row", "block"]), "row", "block").sortWithinPartitions("row", "block", "part")
+    own = told.mapInArrow(inside, _STATE)
+    return matrices.drop("block", "rows", "m").join(own, ["row", "part"]).select("row", "doc_id", "part", "begin", "end", "first", "last", "text", "at", "ids", "entry", "exit").mapInArrow(trace, _IDS)
 
 
 def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
@@ -350,25 +364,31 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces_of(path)
         for batch in batches:
-            ids = [encode(escaped(t), model) for t in batch.column("text").to_pylist()]
+            ids = model.encode([words(escaped(t)) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(np.zeros(len(ids), np.int64)), pa.array(ids, pa.binary())], ["doc_id", "row", "part", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
     giant = F.coalesce(F.length("text") >= chunk, F.lit(False))
-    return rows.where(~giant).mapInArrow(direct, "doc_id long, row long, part long, ids binary").unionByName(_giants(rows.where(giant), path, chunk))
+    return rows.where(~giant).mapInArrow(direct, _IDS).unionByName(_giants(rows.where(giant), path, chunk))
 
 
 def decoded(parts: DataFrame, path: str) -> DataFrame:
-    """``parts`` with ``text``: what the ids of each part stand for, the blank before the first part removed."""
+    """``parts`` with ``numbers``, their ids as an array, and ``text``: what these stand for, without the blank before the first part.
+
+    An id that stands for no text, as unknown, gives what the model's own decoder gives.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces_of(path)
         texts = {k: p.replace(SPACE, " ").encode() for p, k in model.ids.items()} | {k: bytes([b]) for b, k in enumerate(model.bytes) if k != model.unknown}
+        texts[model.unknown] = model.model.decode([model.unknown]).encode()
         for batch in batches:
-            out = []
-            for part, ids in zip(batch.column("part").to_pylist(), batch.column("ids").to_pylist()):
+            out, all_ids = [], batch.column("ids").to_pylist()
+            for part, ids in zip(batch.column("part").to_pylist(), all_ids):
                 text = b"".join(map(texts.__getitem__, np.frombuffer(ids, "<i4").tolist())).decode("utf-8", "replace")
                 out.append(text[1:] if part == 0 else text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "text"])
+            ends = np.cumsum([0, *map(len, all_ids)]) // 4
+            numbers = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(all_ids), "<i4")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, numbers, pa.array(out, pa.string())], [*batch.schema.names, "numbers", "text"])
 
-    return parts.mapInArrow(decode, "doc_id long, row long, part long, ids binary, text string")
+    return parts.mapInArrow(decode, f"{_IDS}, numbers array<int>, text string")

@@ -379,18 +379,23 @@ def test_chunks_of_any_size():
     model = piece_scan.pieces_of(path)
     rng = random.Random(5)
     parts = [*"abcde  \n\t19.,é日x▁=-aaaa", "the ", "ing", "tion", "    "]
-    for _ in range(150):
+    for trial in range(200):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 90)))
+        t = t.replace(" ", "") if trial % 4 == 0 else t  # also chunks without a word start
         whole, size, around = piece_scan.escaped(t), rng.choice([1, 2, 5, 17]), model.longest + 1
         n = len(whole)
-        chunks = [piece_scan.Chunk(whole[max(0, b - around) : min(b + size, n) + around], max(0, b - around), b, min(b + size, n), n, model) for b in range(0, n, size)]
+        starts = [(b, max(0, b - around), min(b + size, n)) for b in range(0, n, size)]
+        chunks = [piece_scan.Chunk(whole[o : e + around], b - o, e - o, b == 0, e == n, model) for b, o, e in starts]
+        middles = [(*span, piece_scan.encode(c.text[slice(*span)], model)) for c in chunks for span in [c.inside()]]
+        chunks = [c.without(a, b) for c, (a, b, _) in zip(chunks, middles)]
         matrices = [c.matrix() for c in chunks]
         total = matrices[0]
         for m in matrices[1:]:
             total = piece_scan.combined(total, m)
         path_ = piece_scan.states(matrices, 0, int(total[0].argmax()))
-        assert np.frombuffer(b"".join(c.trace(a, b) for c, a, b in zip(chunks, path_, path_[1:])), "<i4").tolist() == model.model.encode(t)
-    assert piece_scan.encode("", model) == b""
+        assert np.frombuffer(b"".join(c.trace(a, b, at, ids) for c, a, b, (at, _, ids) in zip(chunks, path_, path_[1:], middles)), "<i4").tolist() == model.model.encode(t)
+    for t in ("", " ", "  ", " lead", "trail ", "\n", " \n\t ", "é日本 x", "a  b", "▁", "a▁b"):
+        assert np.frombuffer(piece_scan.encode(piece_scan.escaped(t), model), "<i4").tolist() == model.model.encode(t)
 
 
 # --- pipeline ---
