@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stage
+from .batches import sliced
 
 #: Characters of a chunk; documents of more are split. Chunks whose matrices are combined in one group.
 CHUNK, FAN = 1 << 14, 64
 SPACE = "▁"
 #: Words and pairs of pieces that one process remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: A word with the blanks before it, or blanks at the end.
 _WORD = re.compile(r" *[^ ]+| +")
 
@@ -302,7 +303,7 @@ def _giants(docs: DataFrame, path: str, chunk: int) -> DataFrame:
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces_of(path)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             out = []
             for row, doc_id, part, begin, end, first, last, text in zip(*(c.to_pylist() for c in batch.columns)):
                 own = Chunk(text, begin, end, first, last, model)
@@ -336,7 +337,7 @@ def _giants(docs: DataFrame, path: str, chunk: int) -> DataFrame:
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces_of(path)
-        for batch in batches:
+        for batch in sliced(batches, "ids"):
             rows = zip(*(c.to_pylist() for c in batch.columns))
             out = [(doc_id, row, part, Chunk(text, begin, end, first, last, model).trace(a, b, at, ids)) for row, doc_id, part, begin, end, first, last, text, at, ids, a, b in rows]
             yield _table(out, _arrow(_IDS))
@@ -363,7 +364,7 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces_of(path)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             ids = model.encode([words(escaped(t)) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(np.zeros(len(ids), np.int64)), pa.array(ids, pa.binary())], ["doc_id", "row", "part", "ids"])
 
@@ -382,7 +383,7 @@ def decoded(parts: DataFrame, path: str) -> DataFrame:
         model = pieces_of(path)
         texts = {k: p.replace(SPACE, " ").encode() for p, k in model.ids.items()} | {k: bytes([b]) for b, k in enumerate(model.bytes) if k != model.unknown}
         texts[model.unknown] = model.model.decode([model.unknown]).encode()
-        for batch in batches:
+        for batch in sliced(batches, "ids"):
             out, all_ids = [], batch.column("ids").to_pylist()
             for part, ids in zip(batch.column("part").to_pylist(), all_ids):
                 text = b"".join(map(texts.__getitem__, np.frombuffer(ids, "<i4").tolist())).decode("utf-8", "replace")
