@@ -182,19 +182,43 @@ def test_packing(docs, corpus, targets):
     for s in windows.values():
         assert [o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 2048
     assert sum(sum(n for _, n in s) < 2048 for s in windows.values()) <= 1
-    whole: dict = {}
-    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
-        if r.start == 0:
-            whole.setdefault(r.doc_id, []).append([])
-    pieces = Counter()
-    stream = np.concatenate([np.frombuffer(r.ids, "<u4") for r in sorted(got, key=lambda r: (r.sequence_id, r.offset))])
-    ends = np.flatnonzero(stream == 1)
-    order = [r.doc_id for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
-    at = 0
-    for doc_id, end in zip(order, ends):
-        pieces[doc_id, tuple(stream[at : end + 1].tolist())] += 1
-        at = end + 1
-    assert pieces == want
+    copies, ids_of, covered = Counter(i for i, _ in want.elements()), dict(want), {}
+    for r in got:
+        covered.setdefault((r.doc_id, r.doc_tokens), Counter()).update(zip(range(r.start, r.start + r.length), np.frombuffer(r.ids, "<u4").tolist()))
+    assert covered == {(i, len(ids)): Counter({x: copies[i] for x in enumerate(ids)}) for i, ids in ids_of}
+
+
+@pytest.mark.parametrize("targets", [None, {"a": 5, "b": 3, "c": 1, "d": 1, None: 2}])
+def test_windows_hold_their_shares(spark, targets):
+    """Few long, many short and rare sources: each window is within a token of every target while all queues last."""
+    rng = random.Random(12)
+    sizes = {"a": (4, 3000), "b": (400, 30), "c": (60, 90), "d": (30, 60), None: (20, 200)}
+    rows = [(None, text(rng, rng.randint(1, 2 * n)), None, s, None) for s, (k, n) in sizes.items() for _ in range(k)]
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(3), *registry.vocabulary(), window=256, targets=targets).collect()
+    of = {s: sum(r.length for r in got if r.source == s) for s in sizes}
+    weights = targets or of
+    shares: dict = {}
+    for r in got:
+        shares.setdefault(r.sequence_id, Counter())[r.source] += r.length
+    assert sorted(shares) == list(range(len(shares))) and all(sum(w.values()) == 256 for k, w in shares.items() if k < len(shares) - 1)
+    quanta = {s: 256 * w / sum(weights.values()) for s, w in weights.items()}
+    lasting = int(min(of[s] / quanta[s] for s in sizes)) - 1
+    assert lasting >= 40
+    served = Counter()
+    for k in range(lasting):
+        served.update(shares[k])
+        assert all(abs(shares[k][s] - q) < 2 and abs(served[s] - (k + 1) * q) < 1 for s, q in quanta.items())
+
+
+def test_rare_sources_share_a_queue(spark):
+    rng = random.Random(13)
+    rows = [(k, text(rng, 60), None, f"rare{k}" if k % 3 == 0 else "a", None) for k in range(600)]
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA), *registry.vocabulary(), window=256).collect()
+    total, rare = (sum(r.length for r in got if f(r)) for f in (lambda r: True, lambda r: r.source != "a"))
+    windows: dict = {}
+    for r in got:
+        windows.setdefault(r.sequence_id, Counter())[r.source != "a"] += r.length
+    assert all(abs(w[True] - 256 * rare / total) < 2 for k, w in windows.items() if k < len(windows) - 2)
 
 
 def test_encoder_gives_the_tokenizers_ids():
@@ -206,6 +230,14 @@ def test_encoder_gives_the_tokenizers_ids():
         assert list(own.ids(t)) == own.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_gives_the_tokenizers_ids_of_long_texts(corpus):
+    own = packing.Encoder(*registry.vocabulary())
+    rng = random.Random(4)
+    long = "".join(chr(rng.choice([rng.randint(32, 126), rng.randint(160, 0x2FFF), 10, 32, 32])) for _ in range(30_000))
+    for t in [long, " ".join(t or "" for _, t, *_ in corpus), "ab" * 20_000, " " * 5000 + "x" + "\n" * 3000]:
+        assert list(own.ids(t)) == own.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_packing_of_nothing(docs):
     assert packing.pack(docs.limit(0), *registry.vocabulary()).count() == 0
 
