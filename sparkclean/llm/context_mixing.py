@@ -2,10 +2,12 @@
 
 A text is modelled as its lower-cased words, each followed by a blank, the last by an end byte. Every bit of it is
 predicted from five contexts (the last one to four bytes, and the letters of the word so far); each predictor is a
-hashed slot with counts of zeros and ones over all training texts, for the last one over their most frequent words. A
-mixer adds the predictors' log odds with weights that a gate chooses by bit position and by how well the two longest
-contexts are known; it learns online over the training texts of each task, its weights are averaged over tasks, and an
-adaptive table refines its output.
+hashed slot with counts of zeros and ones over all training texts. A mixer adds the predictors' log odds with weights
+that a gate chooses by bit position and by how well the two longest contexts are known, and an adaptive table refines
+its output. Mixer and table learn online: texts are dealt by a hash of their own into shards, and in each shard scored
+in a fixed order, lump by lump, each lump of training bits being learnt right after it was predicted. So a score depends
+on the table, not on how it is cut. A training text's bits are predicted from the counts without themselves, so that
+its score compares with that of a text that was not learnt.
 """
 
 from __future__ import annotations
@@ -18,22 +20,22 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stage
+from .batches import sliced
 
 #: Hashed slots of each predictor, as powers of two: the model's size, whatever the corpus has.
-SLOT_BITS = (16, 18, 21, 22, 23)
+SLOT_BITS = (17, 19, 22, 23, 23)
 #: Most words whose counts every task holds; the counts of all others are joined.
-COMMON_WORDS = 1 << 18
+COMMON_WORDS = 1 << 17
 CONTEXTS, BINS, END = len(SLOT_BITS), 32, 0xFF
 FIRST = [sum(1 << b for b in SLOT_BITS[:k]) for k in range(CONTEXTS + 1)]
-#: Bytes of normal text whose distinct byte-in-context pairs are worked out together.
-BLOCK = 1 << 20
-#: Bits of the map that tells whether the letters of a word so far begin a frequent word.
-MAP_BITS = 26
+#: Bytes of normal text that are scored together, pairs of a byte and its contexts in a lump, and training tokens to a shard.
+BLOCK, LUMP, SHARD = 1 << 21, 1 << 13, 2_500_000
+#: Most tasks that shards are dealt over; beyond, a task has several shards.
+MOST_TASKS = 100_000
 PRIOR = 0.05
 LEVELS = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -48,6 +50,19 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def units(words: list[bytes]) -> list[bytes]:
+    """Each word with the blank or end after it, behind the four bytes before it; an empty text is its end alone.
+
+    All contexts of a word's bytes lie in its unit, so equal units are predicted alike.
+    """
+    data = bytes([END] * 4) + b" ".join(words) + bytes([END])
+    out, at = [], 0
+    for w in words or [b""]:
+        out.append(data[at : at + len(w) + 5])
+        at += len(w) + 1
+    return out
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x * _ODD
     x ^= x >> np.uint64(32)
@@ -55,24 +70,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The texts with end bytes between, the positions of their bytes and ends, and their sizes with the end."""
-    gap = bytes([END]) * 6
-    data = np.frombuffer(gap + b"".join(t + gap for t in texts), np.uint8)
-    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    starts = 6 + np.concatenate([[0], np.cumsum(sizes + 5)[:-1]])
-    return data, np.arange(sizes.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes), sizes
-
-
-def _grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The four bytes before each position, the last one lowest, and above them the byte itself."""
-    wide = data.astype(np.uint64)
-    gram = wide[4:] << np.uint64(32)
-    for k in range(1, 5):
-        gram |= wide[4 - k : len(wide) - k] << np.uint64(8 * (k - 1))
-    return gram[at - 4]
-
-
 @lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of an odd number and of its inverse, modulo 2^64."""
@@ -80,194 +77,158 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(x))])) for x in (base, pow(base, -1, 1 << 64)))
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, the place of one of each, each key's number among them, and their counts."""
+def contexts(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte of the units to predict: the four bytes before it with itself above them, and a hash of the word's letters so far; the units' sizes."""
+    data = np.frombuffer(b"".join(found), np.uint8)
+    whole = np.fromiter(map(len, found), np.int64, len(found))
+    sizes = whole - 4
+    word = np.repeat(np.cumsum(whole) - sizes, sizes)  # where the byte's word begins
+    at = word + np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    grams = data[at].astype(np.uint64) << np.uint64(32)
+    for k in range(1, 5):
+        grams |= data[at - k].astype(np.uint64) << np.uint64(8 * (k - 1))
+    powers, inverse = _powers(1 << max(16, len(data).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)])])
+    return grams, _mixed((sums[at] - sums[word]) * inverse[word]), sizes
+
+
+def lines(grams: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
+    """The first slot of each context's 16 slots for a byte's high four bits, and for its low ones: ``(2, CONTEXTS, n)``."""
+    high = (grams >> np.uint64(36)) + np.uint64(1)
+    one = (grams & np.uint64(0xFF)) * np.uint64(32)
+    out = np.empty((2, CONTEXTS, len(grams)), np.int64)
+    out[0, 0], out[1, 0] = one, one + high  # one byte before: every context has slots of its own
+    salt = high * np.uint64(0xC2B2AE3D27D4EB4F)
+    for k in range(1, CONTEXTS):
+        context = grams & np.uint64((1 << 8 * (k + 1)) - 1) if k < 4 else prefixes
+        h = _mixed(context ^ (np.uint64(k + 1) << np.uint64(56)))
+        for half, x in enumerate((h, (h ^ salt) * _ODD)):
+            out[half, k] = x >> np.uint64(68 - SLOT_BITS[k])
+    return out * 16 + np.array(FIRST[:-1])[None, :, None]
+
+
+def bits(grams: np.ndarray, prefixes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each bit of the bytes, high to low: the node reached in the byte, the slots of the predictors, the bit."""
+    byte = (grams >> np.uint64(32)).astype(np.int64)
+    at = lines(grams, prefixes)
+    for j in range(8):
+        node = (1 << j) | (byte >> (8 - j))
+        half = 1 << j % 4
+        yield node, at[j // 4] + (half | node & (half - 1)), byte >> (7 - j) & 1
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each of the distinct keys, in their order, and each key's number among them."""
     order = np.argsort(keys)
     ordered = keys[order]
     fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    heads = np.flatnonzero(fresh)
-    pair = np.empty(len(keys), np.int32)
-    pair[order] = np.cumsum(fresh, dtype=np.int32) - 1
-    return ordered[heads], order[heads], pair, np.diff(np.append(heads, len(keys)))
-
-
-def _prefixes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of the letters since the last blank or end before each position."""
-    n = len(data)
-    powers, inverse = _powers(1 << max(16, n.bit_length()))
-    word = np.maximum.accumulate(np.where((data == 32) | (data == END), np.arange(1, n + 1, dtype=np.int32), 0))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
-    return _mixed(((sums[1:n] - sums[word[:-1]]) * inverse[word[:-1]])[at - 1])
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return order[fresh], number
 
 
-def _spread(grams: np.ndarray, prefixes: np.ndarray) -> list[np.ndarray]:
-    """A hash of each context."""
-    seeds = np.arange(1, CONTEXTS + 1, dtype=np.uint64) << np.uint64(56)
-    orders = [grams & np.uint64((1 << 8 * k) - 1) for k in range(1, 5)]
-    return [_mixed(c ^ seed) for c, seed in zip([*orders, prefixes], seeds)]
+class Pairs:
+    """The distinct pairs of a byte and its contexts in some units, and how often training texts have each.
 
+    ``training`` counts the units of training texts; ``others`` are units of texts that are not learnt, whose pairs are
+    apart and have ``times`` 0.
+    """
 
-def _bits(contexts: list[np.ndarray], byte: np.ndarray, predictors: range = range(CONTEXTS)) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each bit of the bytes, high to low: the node reached in the byte, the slots of the predictors, the bit."""
-    for j in range(8):
-        node = (1 << j) | (byte >> (8 - j))
-        salt = node.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        slots = [(((contexts[k] ^ salt) * _ODD) >> np.uint64(64 - SLOT_BITS[k])).astype(np.int64) + FIRST[k] for k in predictors]
-        yield node, np.stack(slots), byte >> (7 - j) & 1
-
-
-def known_prefixes(words: list[bytes]) -> np.ndarray:
-    """A map of bits: those of the beginnings of ``words``, whole words included, are set."""
-    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    for a in range(0, len(words), 10_000):
-        data, at, _ = _laid_out([w + b" " for w in words[a : a + 10_000]])
-        bit = _prefixes(data, at) >> np.uint64(64 - MAP_BITS)
-        np.bitwise_or.at(out, (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
-    return out
+    def __init__(self, training: Counter[bytes], others: list[bytes] = ()) -> None:
+        grams, prefixes, self.sizes = contexts([*training, *others])
+        times = np.repeat(np.array([*training.values(), *[0] * len(others)], np.float64), self.sizes)
+        one, self.number = distinct(_mixed(grams ^ (times > 0).astype(np.uint64) << np.uint64(63)) ^ prefixes)
+        self.grams, self.prefixes, self.times = grams[one], prefixes[one], np.bincount(self.number, times, len(one))
 
+    def by_unit(self, costs: np.ndarray) -> np.ndarray:
+        """The sums of the pairs' costs over each unit."""
+        return np.add.reduceat(costs[self.number], np.cumsum(self.sizes) - self.sizes)
 
-class Block:
-    """The distinct pairs of a byte and its contexts in some texts, and where the texts have them.
 
-    Letters that begin no frequent word are one context, which the word predictor knows nothing of.
-    """
+#: What a slot tells of a count: one of 256 codes, exact below 32, within a tenth above.
+_STEP = 0.11
+_COUNTS = np.concatenate([np.arange(32.0), 32 * np.exp(_STEP * (np.arange(224) + 0.5))])
 
-    def __init__(self, texts: list[bytes], known: np.ndarray) -> None:
-        data, at, self.sizes = _laid_out(texts)
-        grams, prefixes = _grams(data, at), _prefixes(data, at)
-        bit = prefixes >> np.uint64(64 - MAP_BITS)
-        prefixes *= (known[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(np.uint64)
-        self.keys, one, self.pair, self.times = _distinct(_mixed(grams) ^ prefixes)
-        self.grams, self.prefixes = grams[one], prefixes[one]
-
-
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[list[bytes]]:
-    """Normal texts in lists of about ``BLOCK`` bytes; one longer text is a list of its own."""
-    held, size = [], 0
-    for batch in batches:
-        for text in batch.column(column).to_pylist():
-            held.append(b" ".join(tokens(text)))
-            size += len(held[-1])
-            if size >= BLOCK:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
-def _sum_up(parts: DataFrame, wanted: int, kind: type = np.float64) -> dict[int, np.ndarray]:
-    """The sums of equal-sized float arrays ``(part, salt, z)`` by ``part``: added in two rounds, ``wanted`` arrays in all."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for part, z in zip(batch.column("part").to_pylist(), batch.column("z").to_pylist()):
-                new = np.frombuffer(unpack.decompress(z), np.float64)
-                totals[part] = totals[part] + new if part in totals else new
-        yield _arrays(totals)
-
-    once = parts.repartition("part", "salt").mapInArrow(add, "part int, z binary")
-    twice = once.repartition("part").mapInArrow(add, "part int, z binary")
-    found = {r["part"]: np.frombuffer(zstandard.ZstdDecompressor().decompress(r["z"]), np.float64).astype(kind) for r in twice.collect()}
-    if len(found) > wanted:
-        raise ValueError("more arrays than the model has")
-    return found
 
+def codes(counts: np.ndarray) -> np.ndarray:
+    return np.where(counts < 32, counts, np.minimum(255, 32 + np.log(np.maximum(counts, 32) / 32) / _STEP)).astype(np.uint8)
 
-def _arrays(arrays: dict[int, np.ndarray]) -> pa.RecordBatch:
-    press = zstandard.ZstdCompressor(level=1)
-    z = [press.compress(np.ascontiguousarray(a, np.float64).tobytes()) for a in arrays.values()]
-    return pa.RecordBatch.from_arrays([pa.array(list(arrays), pa.int32()), pa.array(z, pa.binary())], ["part", "z"])
 
+def _by_code() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log odds and levels of the two gating contexts by a slot's code; then the same without one zero, and without one one."""
+    zeros, ones = np.tile(_COUNTS, 256), np.repeat(_COUNTS, 256)
+    less = [(zeros, ones), (np.maximum(zeros - 1, 0), ones), (zeros, np.maximum(ones - 1, 0))]
+    odds = np.concatenate([np.log(b + PRIOR) - np.log(a + PRIOR) for a, b in less]).astype(np.float32)
+    total = np.concatenate([a + b for a, b in less])
+    return odds, *(sum((total > edge).astype(np.int8) for edge in edges) for edges in ((0.5, 7.5, 127.5), (0.5, 15.5, 511.5)))
 
-def _add_bits(out: np.ndarray, contexts: list[np.ndarray], byte: np.ndarray, times: np.ndarray, predictors: range) -> None:
-    """Add to ``out``, zeros and ones by slot, what pairs of contexts and a byte count."""
-    for _, at, bit in _bits(contexts, byte, predictors):
-        for slots in at:
-            for b in (0, 1):
-                np.add.at(out[b], slots[bit == b], times[bit == b])
 
+_ODDS, _ORDER, _WORD = _by_code()
 
 #: Slots of one array that is summed over tasks.
 _SPAN = 1 << 16
+_SPANS = -(-FIRST[-1] // _SPAN)
+
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Counter[bytes]]:
+    """The units of texts, counted over about ``BLOCK`` bytes at a time."""
+    found: Counter[bytes] = Counter()
+    size = 0
+    for batch in sliced(batches, "text"):
+        for text in batch.column("text").to_pylist():
+            found.update(units(tokens(text)))
+            size += len(text or "")
+        if size >= BLOCK:
+            yield found
+            found, size = Counter(), 0
+    if found:
+        yield found
 
-def learn_slots(training: DataFrame, words: dict[bytes, int]) -> np.ndarray:
-    """For each slot log(1 + count) of zeros (low half) and of ones (high half), over every bit of every training text.
 
-    The byte contexts are counted over the texts. The word context is counted over ``words``, the most frequent
-    words of all training texts with their counts, each followed by a blank.
+def learn_slots(training: DataFrame) -> np.ndarray:
+    """For each slot the codes of its zeros (low byte) and ones (high byte), over every bit of every training text.
+
+    Tasks count in arrays of the model's size; equal parts of these are summed in two rounds, and only the codes of the
+    sums, two bytes to a slot, come to the driver.
     """
-    counted = FIRST[CONTEXTS - 1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, -(-counted // _SPAN) * _SPAN), np.uint32)
-
-        def add(grams: np.ndarray, times: np.ndarray) -> None:
-            _add_bits(total, _spread(grams, grams), (grams >> np.uint64(32)).astype(np.int64), times.astype(np.uint32), range(CONTEXTS - 1))
-
-        grams, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for texts in blocks(batches):
-            new, n = np.unique(_grams(*_laid_out(texts)[:2]), return_counts=True)
-            grams, where = np.unique(np.concatenate([grams, new]), return_inverse=True)
-            times = np.bincount(where, np.concatenate([times, n])).astype(np.int64)
-            if len(grams) > 1 << 21:
-                add(grams, times)
-                grams, times = grams[:0], times[:0]
-        add(grams, times)
-        yield _arrays({i: a for i, a in enumerate(total.reshape(-1, _SPAN)) if a.any()})
+        total = np.zeros((2, _SPANS * _SPAN), np.uint32)
+        for found in blocks(batches):
+            own = Pairs(found)
+            times = own.times.astype(np.uint32)
+            for a in range(0, len(times), LUMP):
+                lump = slice(a, a + LUMP)
+                for _, slots, bit in bits(own.grams[lump], own.prefixes[lump]):
+                    for b in (0, 1):
+                        on = bit == b
+                        np.add.at(total[b], slots[:, on].ravel(), np.tile(times[lump][on], CONTEXTS))
+        yield _arrays({i: a.astype(np.uint64) for i, a in enumerate(total.reshape(-1, _SPAN)) if a.any()})
+
+    def summed(last: bool) -> object:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals: dict[int, np.ndarray] = {}
+            unpack = zstandard.ZstdDecompressor()
+            for batch in batches:
+                for part, z in zip(batch.column("part").to_pylist(), batch.column("z").to_pylist()):
+                    new = np.frombuffer(unpack.decompress(z), np.uint64)
+                    totals[part] = totals[part] + new if part in totals else new
+            yield _arrays({k: codes(a) for k, a in totals.items()} if last else totals)
+
+        return add
 
     parts = training.select("text").mapInArrow(count, "part int, z binary").withColumn("salt", F.spark_partition_id() % 64)
-    spans = -(-counted // _SPAN)
-    found = _sum_up(parts, 2 * spans, np.float32)
-    out = np.zeros((2, FIRST[-1]), np.float32)
-    while found:
-        i, a = found.popitem()
-        at = i % spans * _SPAN
-        out[i // spans, at : min(at + _SPAN, counted)] = a[: min(_SPAN, counted - at)]
-    held = [w for w in words if w]
-    for a in range(0, len(held), 10_000):
-        part = held[a : a + 10_000]
-        data, at, sizes = _laid_out([w + b" " for w in part])
-        times = np.repeat(np.array([words[w] for w in part], np.float32), sizes)
-        times[np.cumsum(sizes) - 1] = 0  # the ends of these words are no ends of texts
-        grams = _grams(data, at)
-        _add_bits(out, _spread(grams, _prefixes(data, at)), (grams >> np.uint64(32)).astype(np.int64), times, range(CONTEXTS - 1, CONTEXTS))
-    both = np.empty(FIRST[-1], np.uint32)
-    for a in range(0, len(both), 1 << 20):  # piece by piece, to keep the driver small
-        logs = np.log1p(out[:, a : a + (1 << 20)]).astype(np.float16).view(np.uint16).astype(np.uint32)
-        both[a : a + (1 << 20)] = logs[0] | logs[1] << np.uint32(16)
-    return both
-
-
-#: By the 16 bits of a slot's half: the count, the log of the smoothed count, and the same with one less.
-_COUNT = np.expm1(np.nan_to_num(np.arange(1 << 16, dtype=np.uint16).view(np.float16).astype(np.float64), nan=0, posinf=11, neginf=0).clip(0, 30))
-_COUNT = np.where(_COUNT < 200, np.rint(_COUNT), _COUNT)
-_LOG, _LOG_LESS = (np.log(np.maximum(_COUNT - less, 0) + PRIOR).astype(np.float32) for less in (0, 1))
-_COUNT = _COUNT.astype(np.float32)
-
-
-def _odds(slots: np.ndarray, at: np.ndarray, lost: np.ndarray, j: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The predictors' log odds and the gates of bit ``j``; with ``own`` bits, as if each had not been counted.
-
-    The word predictor knows nothing of ``lost`` letters, which begin no frequent word.
-    """
-    both = slots[at]
-    both[-1, lost] = 0
-    low, high = both & np.uint32(0xFFFF), both >> np.uint32(16)
-    if own is None:
-        odds = _LOG[high] - _LOG[low]
-    else:
-        odds = np.where(own, _LOG_LESS[high], _LOG[high]) - np.where(own, _LOG[low], _LOG_LESS[low])
-    n = _COUNT[high[-2:]] + _COUNT[low[-2:]] - (own is not None)
-    order, word = n
-    known = (order > 0.5).astype(np.int64) + (order > 7.5) + (order > 127.5)
-    return odds, (j * LEVELS + known) * LEVELS + (word > 0.5) + (word > 15.5) + (word > 511.5)
+    once = parts.repartition("part", "salt").mapInArrow(summed(False), "part int, z binary")
+    both = np.zeros((2 * _SPANS, _SPAN), np.uint8)
+    for r in once.repartition("part").mapInArrow(summed(True), "part int, z binary").collect():  # 2 bytes a slot at most
+        both[r["part"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["z"]), np.uint8)
+    low, high = both.reshape(2, -1)
+    return low.astype(np.uint16) | high.astype(np.uint16) << np.uint16(8)
 
 
-GATES = 8 * LEVELS * LEVELS
+def _arrays(arrays: dict[int, np.ndarray]) -> pa.RecordBatch:
+    press = zstandard.ZstdCompressor(level=1)
+    return pa.RecordBatch.from_arrays([pa.array(list(arrays), pa.int32()), pa.array([press.compress(a.tobytes()) for a in arrays.values()], pa.binary())], ["part", "z"])
 
 
 def _bin(x: np.ndarray) -> np.ndarray:
@@ -275,103 +236,42 @@ def _bin(x: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Gated weights and the refining table."""
-
-    def __init__(self, weights: np.ndarray | None = None, refine: np.ndarray | None = None) -> None:
-        self.weights = np.full((GATES, CONTEXTS), 0.35) if weights is None else weights
-        self.refine = np.zeros((2, 256 * BINS)) if refine is None else refine
-        self.square = np.full((GATES, CONTEXTS), 1e-3)
-
-    def mix(self, odds: np.ndarray, gates: np.ndarray) -> np.ndarray:
-        """The mixed log odds."""
-        return np.clip(np.einsum("km,mk->m", odds, self.weights.astype(np.float32)[gates]), -11, 11)
-
-    def refined(self, x: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Probability of a one: the mean of the mixer's and of the table's at the mixed odds."""
+    """Gated weights and the refining table, learning online."""
+
+    def __init__(self, slots: np.ndarray) -> None:
+        self.slots = slots
+        self.weights = np.full((8, LEVELS**2, CONTEXTS), 0.35)
+        self.square = np.full((8, LEVELS**2, CONTEXTS), 1e-3)
+        self.refine = np.zeros((256 * BINS, 2))
+
+    def run(self, pairs: Pairs) -> np.ndarray:
+        """Bits of each pair, in lumps; each lump is learnt after it was predicted."""
+        cost = np.zeros(len(pairs.times))
+        for a in range(0, len(cost), LUMP):
+            lump = slice(a, a + LUMP)
+            times = pairs.times[lump]
+            for j, (node, at, bit) in enumerate(bits(pairs.grams[lump], pairs.prefixes[lump])):
+                cost[lump] += self._bit(j, node, self.slots[at], bit, times)
+        return cost
+
+    def _bit(self, j: int, node: np.ndarray, code: np.ndarray, bit: np.ndarray, times: np.ndarray) -> np.ndarray:
+        n = len(bit)
+        code = code + np.where(times > 0, (bit + 1) << 16, 0)  # without the bit's own count, if it was counted
+        odds = _ODDS[code].astype(np.float64)
+        gate = _ORDER[code[-2]].astype(np.int64) * LEVELS + _WORD[code[-1]]
+        here = np.arange(n), gate
+        x = np.clip((odds.T @ self.weights[j].T)[here], -11, 11)
         p = 1 / (1 + np.exp(-x))
-        at = node * BINS + _bin(x)
-        table = (self.refine[1, at] + 4 * p) / (self.refine.sum(axis=0)[at] + 4)
-        return np.clip((p + table) / 2, 1e-6, 1 - 1e-6)
-
-    def learn(self, odds: np.ndarray, gates: np.ndarray, x: np.ndarray, node: np.ndarray, bit: np.ndarray, times: np.ndarray) -> None:
-        error = (bit - 1 / (1 + np.exp(-x))) * times
-        whole = np.maximum(1, np.bincount(gates, times, GATES))
-        slope = np.stack([np.bincount(gates, error * o, GATES) for o in odds], axis=1) / whole[:, None]
-        self.square += slope * slope
-        self.weights += 0.05 * slope / np.sqrt(self.square)
-        self.refine += np.bincount(2 * (node * BINS + _bin(x)) + bit, times, 512 * BINS).reshape(-1, 2).T
-
-
-def _together(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grams, prefixes and times of the distinct pairs of several blocks."""
-    keys, one, where, _ = _distinct(np.concatenate([h[0] for h in held]))
-    times = np.bincount(where, np.concatenate([h[3] for h in held]), len(keys))
-    return np.concatenate([h[1] for h in held])[one], np.concatenate([h[2] for h in held])[one], times
-
-
-def learn_mixer(training: DataFrame, slots: Broadcast, step: int = 1 << 12) -> Mixer:
-    """Train a mixer online in each task over its training texts and average; a text's own counts are left out."""
-
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, seen = Mixer(), 0
-        packed, known = slots.value
-
-        def learn(grams: np.ndarray, prefixes: np.ndarray, times: np.ndarray) -> None:
-            for a in range(0, len(grams), step):
-                own = slice(a, a + step)
-                for j, (node, at, bit) in enumerate(_bits(_spread(grams[own], prefixes[own]), (grams[own] >> np.uint64(32)).astype(np.int64))):
-                    odds, gates = _odds(packed, at, prefixes[own] == 0, j, bit.astype(bool))
-                    mixer.learn(odds, gates, mixer.mix(odds, gates), node, bit, times[own])
-
-        held: list[tuple] = []
-        for texts in blocks(batches):
-            block = Block(texts, known)
-            seen += int(block.times.sum())
-            held.append((block.keys, block.grams, block.prefixes, block.times))
-            if sum(len(h[0]) for h in held) > 1 << 20:
-                learn(*_together(held))
-                held = []
-        if held:
-            learn(*_together(held))
-        if seen:
-            yield _arrays({0: np.append(mixer.weights.ravel() * seen, seen), 1: mixer.refine.ravel()})
-
-    parts = training.select("text").mapInArrow(train, "part int, z binary").withColumn("salt", F.spark_partition_id() % 64)
-    found = _sum_up(parts, 2)
-    if not found:
-        return Mixer()
-    return Mixer((found[0][:-1] / found[0][-1]).reshape(GATES, CONTEXTS), found[1].reshape(2, 256 * BINS))
-
-
-class Costs:
-    """Bits of texts under a trained model; pairs that occurred before are remembered."""
-
-    def __init__(self, slots: np.ndarray, known: np.ndarray, mixer: Mixer, most: int = 1 << 20) -> None:
-        self.slots, self.known, self.mixer, self.most = slots, known, mixer, most
-        self.keys, self.costs = np.zeros(0, np.uint64), np.zeros(0)
-
-    def of(self, texts: list[bytes], step: int = 1 << 15) -> np.ndarray:
-        """Bits of each normal text, its end included."""
-        block = Block(texts, self.known)
-        place = np.searchsorted(self.keys, block.keys)
-        there = place < len(self.keys)
-        there[there] = self.keys[place[there]] == block.keys[there]
-        cost = np.zeros(len(block.keys))
-        cost[there] = self.costs[place[there]]
-        new = np.flatnonzero(~there)
-        for a in range(0, len(new), step):
-            own = new[a : a + step]
-            grams, prefixes = block.grams[own], block.prefixes[own]
-            for j, (node, at, bit) in enumerate(_bits(_spread(grams, prefixes), (grams >> np.uint64(32)).astype(np.int64))):
-                x = self.mixer.mix(*_odds(self.slots, at, prefixes == 0, j))
-                p = self.mixer.refined(x, node)
-                cost[own] -= np.log2(np.where(bit == 1, p, 1 - p))
-        if len(self.keys) > self.most:
-            self.keys, self.costs = block.keys, cost
-        else:
-            keys, one = np.unique(np.concatenate([self.keys, block.keys[new]]), return_index=True)
-            self.keys, self.costs = keys, np.concatenate([self.costs, cost[new]])[one]
-        return np.add.reduceat(cost[block.pair], np.concatenate([[0], np.cumsum(block.sizes)[:-1]]))
+        cell = node * BINS + _bin(x)
+        seen = self.refine[cell]
+        q = np.clip((p + (seen[:, 1] + 4 * p) / (seen[:, 0] + seen[:, 1] + 4)) / 2, 1e-6, 1 - 1e-6)  # the mean of mixer and table
+        error = np.zeros((n, LEVELS**2))
+        error[here] = (bit - p) * times
+        slope = (odds @ error).T / np.maximum(1, np.bincount(gate, times, LEVELS**2))[:, None]
+        self.square[j] += slope * slope
+        self.weights[j] += 0.05 * slope / np.sqrt(self.square[j])
+        self.refine += np.bincount(2 * cell + bit, times, 512 * BINS).reshape(-1, 2)
+        return -np.log2(np.where(bit == 1, q, 1 - q))
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -383,7 +283,7 @@ def word_counts(training: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
 
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             for text in batch.column("text").to_pylist():
                 found.update(tokens(text))
                 found[b""] += 1
@@ -403,54 +303,65 @@ def _common(counts: DataFrame, most: int) -> dict[bytes, int]:
     return {} if least is None else {bytes(r["word"]): r["c"] for r in counts.where(F.col("c") >= least).collect()}
 
 
-def score(docs: DataFrame, common: int = COMMON_WORDS) -> DataFrame:
+def score(docs: DataFrame, common: int = COMMON_WORDS, shard: int = SHARD) -> DataFrame:
     """Score every row of ``docs`` (``doc_id``, ``text``) by models of the rows that are not held out.
 
     Columns: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte``. The
     base is a smoothed unigram over lower-cased words and text ends; ``score`` is the log10 probability of the same
-    sequence, blanks and end included, under the mixed model. A null text is empty and has only its end; a null doc_id
-    counts as an empty one and is held out; repeated rows are learnt as often as they occur; with nothing to learn
-    from, counts are zero and N = V = 0. Other columns are ignored; an empty table gives an empty result.
+    sequence, blanks and end included, under the mixed model. A shard has about ``shard`` training tokens. A null text
+    is empty and has only its end; a null doc_id counts as an empty one and is held out; repeated rows are learnt as
+    often as they occur; with nothing to learn from, counts are zero and N = V = 0. Other columns are ignored; an empty
+    table gives an empty result.
     """
-    docs = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     training = docs.where(~F.col("held_out"))
     context = docs.sparkSession.sparkContext
     counts = stage(word_counts(training), "words")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     scale = total["n"] + 0.1 * (total["v"] + 1)
-    words = _common(counts, common)
-    frequent = context.broadcast({w: math.log10((c + 0.1) / scale) for w, c in words.items()})
-    slots = context.broadcast((learn_slots(training, words), known_prefixes([w for w in words if w])))
-    mixer = learn_mixer(training, slots)
-    weights, refine = mixer.weights, mixer.refine
+    frequent = context.broadcast({w: math.log10((c + 0.1) / scale) for w, c in _common(counts, common).items()})
+    slots = context.broadcast(learn_slots(training))
+    shards = max(1, math.ceil(total["n"] / shard))
+
+    def scored(mixer: Mixer, held: list[tuple], warm: bool) -> pa.RecordBatch:
+        known = frequent.value
+        training = Counter(u for _, apart, _, own in held if not apart for u in own)
+        others = list({u for _, apart, _, own in held if apart for u in own})
+        pairs = Pairs(training, others)
+        if warm:
+            mixer.run(pairs)
+        costs = pairs.by_unit(mixer.run(pairs)).tolist()
+        cost = dict(zip(training, costs)), dict(zip(others, costs[len(training) :]))
+        rows = []
+        for doc_id, apart, words, own in held:
+            bits_of = math.fsum(map(cost[apart].__getitem__, own))
+            found = [known.get(w) for w in (*words, b"")]
+            rest = Counter(w for w, f in zip((*words, b""), found) if f is None) if None in found else {}
+            base = math.fsum(f for f in found if f is not None)
+            size = sum(map(len, words)) + max(1, len(words))
+            rows.append((doc_id, apart, len(found), len(found) - sum(rest.values()), base, -bits_of * math.log10(2), size, bits_of / size, [{"word": w, "k": k} for w, k in rest.items()]))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_KINDS)], _NAMES)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        costs, known = Costs(*slots.value, Mixer(weights, refine)), frequent.value
-
-        def out(held: list[tuple]) -> pa.RecordBatch:
-            bits = costs.of([b" ".join(words) for _, _, words in held])
-            rows = []
-            for (doc_id, apart, words), own in zip(held, bits):
-                found = [known.get(w) for w in (*words, b"")]
-                rest = Counter(w for w, f in zip((*words, b""), found) if f is None) if None in found else {}
-                base = math.fsum(f for f in found if f is not None)
-                size = sum(map(len, words)) + max(1, len(words))
-                rows.append((doc_id, apart, len(found), len(found) - sum(rest.values()), base, -float(own) * math.log10(2), size, float(own) / size, [{"word": w, "k": k} for w, k in rest.items()]))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_KINDS)], _NAMES)
-
-        held, size = [], 0
-        for batch in batches:
-            for row in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text").to_pylist()):
-                held.append((row[0], row[1], tokens(row[2])))
-                size += len(row[2] or "")
-                if size >= BLOCK:
-                    yield out(held)
-                    held, size = [], 0
+        held, size, at, mixer, warm = [], 0, None, None, True
+        for batch in sliced(batches, "text"):
+            for number, *row, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "held_out", "text"))):
+                if held and (size >= BLOCK or number != at):
+                    yield scored(mixer, held, warm)
+                    held, size, warm = [], 0, False
+                if number != at:
+                    at, mixer, warm = number, Mixer(slots.value), True
+                words = tokens(text)
+                held.append((*row, words, units(words)))
+                size += len(text or "")
         if held:
-            yield out(held)
+            yield scored(mixer, held, warm)
 
+    own = F.xxhash64("doc_id", "text")
+    dealt = docs.withColumns({"shard": F.pmod(own, F.lit(shards)).cast("int"), "order": F.xxhash64(own, F.lit(1))})
+    dealt = dealt.repartitionById(min(shards, MOST_TASKS), F.col("shard") % min(shards, MOST_TASKS)).sortWithinPartitions("shard", "order")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, bits_per_byte double, rest array<struct<word: binary, k: long>>"
-    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(judge, schema)
+    rows = dealt.mapInArrow(judge, schema)
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.k").join(counts, "word", "left")
     rare = rare.groupBy("row").agg(

@@ -130,6 +130,83 @@ def test_context_mixing(docs, corpus):
     assert context_mixing.score(docs.limit(0)).count() == 0
 
 
+def test_context_mixing_does_not_see_the_cut(docs):
+    one, six = (sorted(((r.doc_id, r.score) for r in context_mixing.score(docs.repartition(n), shard=1500).collect()), key=repr) for n in (1, 6))
+    assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9) for a, b in zip(one, six))
+
+
+def plain_bits(train, held, lump, rounds):
+    """Bits of each text by loops over single bits: counts, gates, online weights and the refining table."""
+    m = context_mixing
+    count = lambda n: n if n < 32 else m._COUNTS[int(m.codes(np.array([n]))[0])]
+    slots: dict = {}
+    for t in train:
+        for u in m.units(m.tokens(t)):
+            for g, p in zip(*m.contexts([u])[:2]):
+                for _, at, bit in m.bits(np.array([g]), np.array([p])):
+                    for k in at[:, 0].tolist():
+                        slots.setdefault(k, [0, 0])[int(bit[0])] += 1
+    pairs = m.Pairs(Counter(u for t in train for u in m.units(m.tokens(t))), sorted({u for t in held for u in m.units(m.tokens(t))}))
+    weights = {(j, g): [0.35] * 5 for j in range(8) for g in range(16)}
+    square = {k: [1e-3] * 5 for k in weights}
+    refine: dict = {}
+    for _ in range(rounds):
+        cost = {}
+        for a in range(0, len(pairs.times), lump):
+            lumps = list(zip(pairs.grams[a : a + lump], pairs.prefixes[a : a + lump], pairs.times[a : a + lump].tolist()))
+            steps = [list(m.bits(np.array([g]), np.array([p]))) for g, p, _ in lumps]
+            for j in range(8):
+                slope, whole, seen = {}, Counter(), []
+                for (g, p, times), step in zip(lumps, steps):
+                    node, at, bit = int(step[j][0][0]), step[j][1][:, 0].tolist(), int(step[j][2][0])
+                    odds, totals = [], []
+                    for k in at:
+                        n = [count(x) for x in slots.get(k, (0, 0))]
+                        n[bit] = max(0, n[bit] - (times > 0))
+                        odds.append(math.log(n[1] + 0.05) - math.log(n[0] + 0.05))
+                        totals.append(sum(n))
+                    gate = (j, 4 * sum(totals[3] > e for e in (0.5, 7.5, 127.5)) + sum(totals[4] > e for e in (0.5, 15.5, 511.5)))
+                    x = max(-11, min(11, sum(o * w for o, w in zip(odds, weights[gate]))))
+                    q = 1 / (1 + math.exp(-x))
+                    cell = node * 32 + max(0, min(31, math.trunc((x + 8) * 2)))
+                    zeros, ones = refine.get(cell, (0, 0))
+                    r = min(1 - 1e-6, max(1e-6, (q + (ones + 4 * q) / (zeros + ones + 4)) / 2))
+                    cost[g, p, times > 0] = cost.get((g, p, times > 0), 0) - math.log2(r if bit else 1 - r)
+                    whole[gate] += times
+                    slope[gate] = [s + (bit - q) * times * o for s, o in zip(slope.get(gate, [0] * 5), odds)]
+                    seen.append((cell, bit, times))
+                for gate, s in slope.items():
+                    for k in range(5):
+                        d = s[k] / max(1, whole[gate])
+                        square[gate][k] += d * d
+                        weights[gate][k] += 0.05 * d / math.sqrt(square[gate][k])
+                for cell, bit, times in seen:
+                    refine.setdefault(cell, [0, 0])[bit] += times
+    bits_of = lambda t, learnt: sum(cost[g, p, learnt] for u in m.units(m.tokens(t)) for g, p in zip(*m.contexts([u])[:2]))
+    return [bits_of(t, True) for t in train], [bits_of(t, False) for t in held]
+
+
+def test_scores_equal_plain_loops(spark, monkeypatch):
+    rng = random.Random(21)
+    texts = [text(rng, rng.randint(1, 40)) for _ in range(14)] + ["", None, "the the the", "Über 日本"]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    assert 0 < sum(held) < 6
+    learnt, others = ([t for t, h in zip(texts, held) if h == want] for want in (False, True))
+    got = {r.doc_id: r.score for r in context_mixing.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    a, b = plain_bits(learnt, others, context_mixing.LUMP, 2)
+    want = {False: iter(a), True: iter(b)}
+    assert all(math.isclose(got[i], -next(want[h]) * math.log10(2), rel_tol=1e-6) for i, h in enumerate(held))
+    monkeypatch.setattr(context_mixing, "LUMP", 70)
+    pairs = context_mixing.Pairs(Counter(u for t in learnt for u in context_mixing.units(context_mixing.tokens(t))))
+    table = np.zeros((2, context_mixing.FIRST[-1]), np.int64)
+    for _, at, bit in context_mixing.bits(pairs.grams, pairs.prefixes):
+        for row in at:
+            np.add.at(table, (bit, row), pairs.times.astype(np.int64))
+    codes = context_mixing.codes(table).astype(np.uint16)
+    costs = context_mixing.Mixer(codes[0] | codes[1] << np.uint16(8)).run(pairs)
+    assert math.isclose((costs * pairs.times).sum(), sum(plain_bits(learnt, [], 70, 1)[0]), rel_tol=1e-6)
+
+
 # --- 4 ---
 
 
