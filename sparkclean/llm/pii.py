@@ -40,6 +40,10 @@ SYLLABLES = {
 #: Titles whose capitals are also other words, and words in lower case inside a name: fixed values.
 _NO_CAPITALS = set("Ms Miss Don Sir Madame".split())
 PARTICLES = "af al av bin da das de del della den der di do dos du e el ibn la las le los of ten ter van vom von y zu zum zur".split()
+#: What stands before a name of two words or more, whose first word is in no list: fixed values.
+CUES = "[Nn]ame is|[Nn]ame|[Cc]ontact|[Ss]igned|[Rr]egards|[Ss]incerely|[Aa]uthor|[Aa]ttn|[Aa]ttention|[Dd]ear|[Ss]igned by|[Ww]ritten by|[Ff]rom|[Cc]c".split("|")
+#: Endings of invented given names, by gender and script: fixed values.
+ENDINGS = {("f", "latin"): "na ra lia".split(), ("m", "latin"): "no ric ton".split(), ("f", "cyrillic"): "на ра лия".split(), ("m", "cyrillic"): "н р лий".split(), ("f", "greek"): "να ρα λία".split(), ("m", "greek"): "νος ρης λιος".split()}
 ALPHABET = {"latin": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "cyrillic": "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ", "greek": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}
 
 
@@ -62,9 +66,10 @@ _UPPER = "[" + "".join(c for c in map(chr, range(0x2C00)) if c.isupper() and c.i
 #: Further words of a name: initials with a dot, or a word with a capital, also after d' or l'; particles before them.
 _FURTHER = rf"(?:[ \u00a0]+(?:(?:{'|'.join(PARTICLES)})[ \u00a0]+)*(?:(?:{_UPPER}\.-?)+(?:{_UPPER}{_WORD})?|(?:[dl]['’])?(?={_UPPER}){_WORD}))"
 #: What a text must hold to be looked through at all; it must cover every pattern below.
-MAYBE = r"@|[0-9][0-9 .()/-]{5,}[0-9]|[0-9A-Fa-f]{32}|AKIA[0-9A-Z]{16}|gh[pousr]_|sk-[A-Za-z0-9]{20}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|\b(?=\p{Lu})(?:" + "|".join([*_TITLE, *_NAMED]) + r")\b"
+MAYBE = r"@|[0-9][0-9 .()/-]{5,}[0-9]|[0-9A-Fa-f]{32}|AKIA[0-9A-Z]{16}|gh[pousr]_|sk-[A-Za-z0-9]{20}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|\b(?=\p{Lu})(?:" + "|".join([*_TITLE, *_NAMED]) + rf")\b|\b(?:{'|'.join(CUES)})[:,]?[ \u00a0\n]{{1,4}}\p{{Lu}}"
 _PATTERNS = {
-    "email": r"[^\W_][\w.%+'-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
+    # a search for an address begins at the first sign of its local part alone, so a long word is gone through once
+    "email": r"(?<![\w.%+'-])[_.%+'-]*+(?P<address>[^\W_][\w.%+'-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\w|\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
@@ -72,6 +77,7 @@ _PATTERNS = {
     "phone": r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?!\w)",
     "secret": r"(?<!\w)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?!\w)",
     "person": rf"\b(?:{'|'.join(_TITLE)})\.?(?:[ \u00a0]+(?:{'|'.join(_TITLE)})\b\.?)*{_FURTHER}+|\b(?:{'|'.join(_NAMED)})\b(?:-(?={_UPPER}){_WORD})?{_FURTHER}*",
+    "cued": rf"\b(?:{'|'.join(CUES)})[:,]?[ \u00a0\n]{{1,4}}(?P<name>(?={_UPPER}){_WORD}{_FURTHER}+)",
 }
 _FIND = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in _PATTERNS.items()))
 
@@ -102,9 +108,11 @@ def _name(word: str) -> tuple[str, str]:
 def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
     """``(begin, end, kind, canonical form)`` of each entity, left to right; equal forms are one entity."""
     for m in _FIND.finditer(text):
-        kind, found, begin = m.lastgroup, m[0], m.start()
+        kind = next(k for k in _PATTERNS if m[k] is not None)
+        inner = {"email": "address", "cued": "name"}.get(kind, kind)
+        found, begin = m[inner], m.start(inner)
         digits = re.sub(r"[^0-9]", "", found)
-        if kind == "person":
+        if kind in ("person", "cued"):
             named = False
             for w in re.finditer(_WORD, found):
                 if not named and w[0] in _TITLE or w[0] in PARTICLES:
@@ -161,24 +169,29 @@ class _Draw:
 def surrogate(kind: str, form: str, key: bytes, attempt: int = 0) -> str:
     """The replacement of an entity's canonical form: the same kind, length classes, script and gender."""
     draw = _Draw(key, kind, form, str(attempt))
+    more = attempt // 4  # who met others again and again gets a longer surrogate
     if kind.startswith("given "):
         _, gender, script = kind.split()
-        names = GIVEN[gender, script]
-        order = sorted(names, key=lambda n: hmac.new(key, f"{gender}{n}".encode(), hashlib.sha256).digest())
-        return order[(order.index(form) + 1 + attempt) % len(order)]  # one keyed cycle: names never meet
+        if attempt < 3:
+            order = sorted(GIVEN[gender, script], key=lambda n: hmac.new(key, f"{gender}{n}".encode(), hashlib.sha256).digest())
+            return order[(order.index(form) + 1 + attempt) % len(order)]
+        syllables, endings = SYLLABLES[script], ENDINGS[gender, script]
+        return "".join(syllables[draw.below(len(syllables))] for _ in range(1 + more)).capitalize() + endings[draw.below(len(endings))]
     if kind.startswith("initial "):
         order = sorted(ALPHABET[kind.split()[1]], key=lambda c: hmac.new(key, c.encode(), hashlib.sha256).digest())
         return order[(order.index(form) + 1) % len(order)] if form in order else order[0]
     if kind.startswith("surname "):
         syllables = SYLLABLES[kind.split()[1]]
-        return "".join(syllables[draw.below(len(syllables))] for _ in range(min(6, 3 + len(form) // 5)))
+        return "".join(syllables[draw.below(len(syllables))] for _ in range(min(6, 3 + len(form) // 5) + more))
     if kind == "email":
         local, _, domain = form.partition("@")
         labels = domain.split(".")
         site = _Draw(key, "domain", domain, str(attempt))  # one site stays one site
-        return draw.like(local) + "@" + ".".join([*map(site.like, labels[:-1]), labels[-1]])
+        return draw.like(local + "x" * more) + "@" + ".".join([*map(site.like, labels[:-1]), labels[-1]])
     if kind == "ip":
         octets = [int(x) for x in form.split(".")]
+        if attempt > 8 and octets[0] not in (10, 127):  # a private range of 65,536 or fewer addresses may be full
+            octets[0] = 10 if octets[0] in (172, 192) else octets[0]
         fixed = 1 if octets[0] in (10, 127) else 2 if (octets[0], octets[1]) == (192, 168) or octets[0] == 172 and 16 <= octets[1] < 32 else 0
         first = [1 + draw.below(223) for _ in range(8)]
         new = [next((x for x in first if x not in (10, 127, 172, 192)), 11), *(draw.below(256) for _ in range(2)), 1 + draw.below(254)]
@@ -222,11 +235,13 @@ def render(kind: str, mention: str, new: str) -> str:
     return new
 
 
-def settle(entities: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
+def settle(entities: DataFrame, key: bytes, rounds: int = 200) -> DataFrame:
     """``(kind, form, new)`` for distinct ``(kind, form)``: surrogates that differ from each other and from every form.
 
-    Of entities that drew one surrogate the smallest form keeps it; the others draw again. Given names come from one
-    keyed cycle of a closed list, initials from one of the alphabet, and need no check.
+    Of entities that drew one surrogate the smallest form keeps it; the others draw again, longer ones in time, so that
+    a crowded kind finds room. Kinds of a fixed length that are nearly full of real entities end in an error after
+    ``rounds`` draws. Given names are tried from a list first, then invented. Initials come from one keyed cycle of the
+    alphabet and need no check.
     """
 
     def drawn(rows: DataFrame, attempt: int) -> DataFrame:
@@ -237,15 +252,18 @@ def settle(entities: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
         return rows.withColumn("new", draw("kind", "form"))
 
     entities = stage(entities.select("kind", "form").distinct(), "entities")
-    given = F.col("kind").rlike("^(given|initial) ")
-    done = drawn(entities.where(given), 0)
-    pending = entities.where(~given)
-    taken = entities.where(~given).select("kind", F.col("form").alias("new"))
+    closed = F.col("kind").startswith("initial ")
+    done = drawn(entities.where(closed), 0)
+    pending = entities.where(~closed)
+    # names of both genders and surnames share one set of letters, so they are held apart together
+    space = lambda c: F.when(F.col(c).rlike("^(given|surname) "), F.lit("name")).otherwise(F.col(c))
+    letters = lambda c: F.when(space("kind") == "name", F.lower(c)).otherwise(F.col(c))
+    taken = pending.select(space("kind").alias("space"), letters("form").alias("letters"))
     for attempt in range(rounds):
-        tried = stage(drawn(pending, attempt), "tried")
-        first = tried.groupBy("kind", "new").agg(F.min("form").alias("form")).join(taken, ["kind", "new"], "left_anti")
-        won = stage(first.select("kind", "form", "new"), "won")
-        done, taken = done.unionByName(won), taken.unionByName(won.select("kind", "new"))
+        tried = stage(drawn(pending, attempt).withColumns({"space": space("kind"), "letters": letters("new")}), "tried")
+        first = tried.groupBy("space", "letters").agg(F.min(F.struct("form", "kind", "new")).alias("first")).join(taken, ["space", "letters"], "left_anti")
+        won = stage(first.select("space", "letters", "first.*"), "won")
+        done, taken = done.unionByName(won.select("kind", "form", "new")), taken.unionByName(won.select("space", "letters"))
         pending = stage(tried.join(won, ["kind", "form"], "left_anti").select("kind", "form"), "pending")
         if pending.isEmpty():
             return done
@@ -262,17 +280,18 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     if not key:
         raise ValueError("a key is needed")
     docs = docs.drop("n_entities")
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    maybe = F.coalesce(F.col(text).rlike(MAYBE), F.lit(False))
-    rows = stage(docs.where(maybe).select(F.struct(*names).alias("doc")).withColumn("row", F.monotonically_increasing_id()), "maybe")
+    names, quoted = docs.columns, [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    own = quoted[names.index(text)]
+    schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(quoted, docs.schema))
+    maybe = F.coalesce(F.col(own).rlike(MAYBE), F.lit(False))
+    rows = stage(docs.where(maybe).select(F.struct(*quoted).alias("doc")).withColumn("row", F.monotonically_increasing_id()), "maybe")
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(r, *x) for r, t in zip(batch.column("row").to_pylist(), batch.column("t").to_pylist()) for x in sorted({m[2:] for m in mentions(t)})]
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))], ["row", "kind", "form"])
 
-    found = stage(rows.select("row", F.col(f"doc.{text}").alias("t")).mapInArrow(seek, "row long, kind string, form string"), "found")
+    found = stage(rows.select("row", F.col(f"doc.{own}").alias("t")).mapInArrow(seek, "row long, kind string, form string"), "found")
     known = settle(found, key)
     by_row = found.join(known, ["kind", "form"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "form"), "new"))).alias("news"))
 
@@ -280,7 +299,8 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
         at = names.index(text)
         for batch in batches:
             texts, counts = [], []
-            for t, news in zip(batch.column(text).to_pylist(), batch.column("_news").to_pylist()):
+            doc = batch.column("doc").flatten()
+            for t, news in zip(doc[at].to_pylist(), batch.column("news").to_pylist()):
                 news = dict(news or [])
                 out, last, n = [], 0, 0
                 for begin, end, kind, form in mentions(t) if news else ():
@@ -288,8 +308,8 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
                     last, n = end, n + 1
                 texts.append("".join([*out, t[last:]]))
                 counts.append(n)
-            columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
+            columns = [pa.array(texts, pa.string()) if k == at else column for k, column in enumerate(doc)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*names, "n_entities"])
 
-    changed = rows.join(by_row, "row", "left").select("doc.*", F.col("news").alias("_news")).mapInArrow(apply, f"{schema}, n_entities long")
+    changed = rows.join(by_row, "row", "left").select("doc", "news").mapInArrow(apply, f"{schema}, n_entities long")
     return docs.where(~maybe).withColumn("n_entities", F.lit(0).cast("long")).unionByName(changed)
