@@ -1,7 +1,10 @@
 """Quality rules: a conditional random field marks lines as content or boilerplate, and the content share decides.
 
-The lines of a bounded sample of labelled documents carry the label of their document; the chain learns how such
-lines look and follow each other, and Viterbi decoding marks the lines of every document.
+Labels are known for documents, not for lines. Training begins with the document's label on each of its lines, repeats
+of a line being boilerplate, and then alternates: the chain is fitted (first to lines alone, without their neighbours),
+and the lines of each training document are marked anew by it, as far as the document's label allows, which bounds the
+share of content. Runs of boilerplate lines spliced
+into good documents show the chain how labels change inside a text. Viterbi decoding marks the lines of every document.
 """
 
 from __future__ import annotations
@@ -16,8 +19,10 @@ from pyspark.sql import functions as F
 
 from . import crf
 
-#: Labelled documents of each label that are trained on, and the longest of them in characters.
-SAMPLE, SAMPLE_CHARS = 800, 30_000
+#: Labelled documents of each label that are trained on, and the longest of them in characters and in lines.
+SAMPLE, SAMPLE_CHARS, SAMPLE_LINES = 800, 30_000, 200
+#: How often the lines of the training documents are marked, and steps of training on each marking.
+MARKINGS, STEPS = 3, 60
 #: Share of a text's characters in content lines from which it is kept.
 LEAST_CONTENT = 0.5
 
@@ -58,52 +63,102 @@ def base_of(text: str, words: list[bytes]) -> tuple[int, int, int, int, int, boo
     return n, chars, sum(map(text.count, _SYMBOLS)), len(lines) - len(set(lines)), repeats, n < 10 or 100 * repeats > 20 * n
 
 
-def line_features(text: str) -> tuple[np.ndarray, list[int]]:
-    """A row of features for each line with a word, and the lines' lengths in bytes."""
-    rows, sizes, seen = [], [], set()
-    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+def lines_of(text: str) -> list[bytes]:
+    """The lines with a word."""
+    return [line for line in text.encode("utf-8", "surrogatepass").split(b"\n") if line.split(None, 1)]
+
+
+def line_features(lines: list[bytes]) -> np.ndarray:
+    """A row of features for each line."""
+    rows, seen = [], set()
+    for line in lines:
         words = line.split()
-        if not words:
-            continue
         n, size = len(words), len(line)
         without = lambda drop: 1 - len(line.translate(None, drop)) / size  # noqa: B023,E731
         rows.append((
             1.0, min(n, 40) / 40, n < 4, without(b"#*$%&|<>") * 4, without(_UPPER) * 2, without(_DIGITS) * 4, without(b"!") * 8,
             line.rstrip()[-1:] in b".!?\"')", line in seen, sum(map(eq, words, words[1:])) / n, min(size / n, 30) / 10, n > 12,
         ))
-        sizes.append(size)
         seen.add(line)
-    return np.array(rows, dtype=np.float64).reshape(-1, 12), sizes
+    return np.array(rows, dtype=np.float64).reshape(-1, 12)
+
+
+def _repeats(lines: list[bytes]) -> np.ndarray:
+    first = {line: k for k, line in reversed(list(enumerate(lines)))}
+    return np.array([first[line] != k for k, line in enumerate(lines)], bool)
+
+
+def _marked(content: np.ndarray, lines: list[bytes], good: bool, least: float) -> np.ndarray:
+    """Labels of a training document's lines by their probability of ``content``, as far as its own label allows.
+
+    Lines change sides, the most probable first, while a good document's content share stays at ``least`` or more and a
+    bad one's below.
+    """
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    own = np.full(len(lines), int(good))
+    other, repeats = content > 0.5, _repeats(lines)
+    change = np.flatnonzero(~other if good else other & ~repeats)
+    change = change[np.argsort(content[change] if good else -content[change], kind="stable")]
+    most = (1 - least) * sizes.sum() if good else least * sizes.sum()
+    taken = np.cumsum(sizes[change])
+    own[change[taken <= most] if good else change[taken < most]] = int(not good)
+    if good and sizes[~repeats].sum() >= least * sizes.sum():
+        own[repeats] = 0
+    return own
+
+
+def _spliced(good: list[tuple[list[bytes], np.ndarray]], bad: list[tuple[list[bytes], np.ndarray]]) -> list[tuple[list[bytes], np.ndarray]]:
+    """Each good document with the boilerplate lines of a bad one inside, after as many of its lines as its number says."""
+    out = []
+    for k, (lines, own) in enumerate(good if bad else []):
+        run = [line for line, y in zip(*bad[k % len(bad)]) if not y]
+        at = k % (len(lines) + 1)
+        out.append((lines[:at] + run + lines[at:], np.concatenate([own[:at], np.zeros(len(run), int), own[at:]])))
+    return out
+
+
+def fitted(texts: list[tuple[str, bool]], least: float = LEAST_CONTENT, markings: int = MARKINGS, most_lines: int = SAMPLE_LINES) -> crf.Crf | None:
+    """The chain from texts and whether they are good; None if all are of one kind."""
+    documents = [(lines, good) for text, good in texts for lines in [lines_of(text)] if 0 < len(lines) <= most_lines]
+    if len({good for _, good in documents}) < 2:
+        return None
+    features = [line_features(lines) for lines, _ in documents]
+    counts = [sum(len(lines) for lines, good in documents if good == kind) for kind in (False, True)]
+    weights = [sum(counts) / counts[good] for _, good in documents]  # both kinds weigh the same
+    alone = [(x[k : k + 1], np.array([int(good and not again)]), w) for x, (lines, good), w in zip(features, documents, weights) for k, again in enumerate(_repeats(lines))]
+    model = crf.fit([(x, y) for x, y, _ in alone], rounds=STEPS, weights=[w for *_, w in alone])
+    content = [1 / (1 + np.exp(np.diff(-model.scores(x) - model.first, axis=1)[:, 0])) for x in features]
+    for _ in range(markings):
+        own = [_marked(p, lines, good, least) for p, (lines, good) in zip(content, documents)]
+        sides = [[(lines, y) for (lines, good), y in zip(documents, own) if good == kind] for kind in (False, True)]
+        spliced = _spliced(sides[True], sides[False])
+        sequences = [*zip(features, own), *((line_features(lines), y) for lines, y in spliced)]
+        model = crf.fit(sequences, rounds=STEPS, weights=weights + [1.0] * len(spliced), start=model)
+        content = [crf.marginals(model, x)[:, 1] for x in features]
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> crf.Crf | None:
     """Fit the chain on at most ``sample`` documents of each quality label, those of the smallest hashed ids.
 
-    Texts of more than ``sample_chars`` characters are not trained on. Without a labelled document of either
-    quality there is no model, and the base rules alone decide.
+    Texts of more than ``sample_chars`` characters or ``SAMPLE_LINES`` lines are not trained on. Without a labelled
+    document of either quality there is no model, and the base rules alone decide.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
     picked = F.broadcast(picked[0].union(picked[1]))  # 2 * sample ids at most
     sized = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= sample_chars))
     found = sized.join(picked, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "quality")).alias("row")).select("doc_id", "row.*").orderBy("doc_id").collect()
-    sequences = [(x, np.full(len(x), int(r["quality"] == 1))) for r in found for x in [line_features(r["text"])[0]] if len(x)]
-    if len({int(y[0]) for _, y in sequences}) < 2:
-        return None
-    share = [sum(len(y) for _, y in sequences if y[0] == q) for q in (0, 1)]
-    few = int(share[1] < share[0])  # both labels get like numbers of lines, or the chain follows the frequent one
-    copies = max(1, round(share[1 - few] / share[few]))
-    sequences += [s for s in sequences if s[1][0] == few] * (min(copies, 10) - 1)
-    return crf.fit(sequences)
+    return fitted([(r["text"], r["quality"] == 1) for r in found])
 
 
 def judge(text: str | None, model: crf.Crf | None, least: float = LEAST_CONTENT) -> tuple:
     """``(base figures..., content share, kept)`` of one text."""
     text = text or ""
     base = base_of(text, text.encode("utf-8", "surrogatepass").split())
-    features, sizes = line_features(text)
-    marks = model.decode(model.scores(features)) if model else [1] * len(sizes)
-    share = sum(s for s, m in zip(sizes, marks) if m) / max(1, sum(sizes))
+    lines = lines_of(text)
+    marks = model.decode(model.scores(line_features(lines))) if model else [1] * len(lines)
+    share = sum(len(line) for line, m in zip(lines, marks) if m) / max(1, sum(map(len, lines)))
     return *base, share, bool(not base[-1] and share >= least)
 
 

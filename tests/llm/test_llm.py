@@ -1,8 +1,10 @@
 """The operators of the pipeline against plain versions, and their edge cases."""
 
 import hashlib
+import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -224,7 +226,11 @@ def test_quality(docs, corpus, spark):
         w = (r.text or "").encode().split()
         windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
         repeated = {k for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
-        assert (r.n_words, r.n_repeat_words, r.base_failed) == (len(w), len(repeated), len(w) < 10 or 100 * len(repeated) > 20 * len(w))
+        lines = [line for line in (r.text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+        chars, symbols = len(re.sub(r"[\x20\x09-\x0D]", "", r.text or "")), len(re.findall(r"[#*$%&|<>]", r.text or ""))
+        again = sum(line in lines[:k] for k, line in enumerate(lines))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) == (len(w), chars, symbols, again)
+        assert (r.n_repeat_words, r.base_failed) == (len(repeated), len(w) < 10 or 100 * len(repeated) > 20 * len(w))
     assert shown(quality.quality(docs, labels.limit(0)).where("not base_failed and not kept"), "doc_id") == []
     assert quality.quality(docs.limit(0), labels).count() == 0
 
@@ -240,6 +246,41 @@ def test_crf_learns_a_chain():
     assert right(lambda x: np.array(model.decode(model.scores(x)))) > right(lambda x: x[:, 1] > 0.5) + 0.03 and model.decode(np.zeros((0, 2))) == []
 
 
+def test_decoding_and_marginals_equal_enumeration():
+    rng = np.random.default_rng(4)
+    for n in range(1, 7):
+        model = crf.Crf(rng.normal(size=(3, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
+        x = rng.normal(size=(n, 3))
+        e = model.scores(x)
+        paths = list(itertools.product((0, 1), repeat=n))
+        score = [model.first[y[0]] + sum(e[k, y[k]] for k in range(n)) + sum(model.transition[a, b] for a, b in zip(y, y[1:])) for y in paths]
+        assert model.decode(e) == list(paths[int(np.argmax(score))])
+        p = np.exp(score) / np.exp(score).sum()
+        want = [sum(w for w, y in zip(p, paths) if y[k]) for k in range(n)]
+        assert np.allclose(crf.marginals(model, x)[:, 1], want)
+
+
+def test_lines_of_one_document_get_both_marks():
+    """Bad texts that begin with clean lines, and a repeated line: the chain finds where the junk is, in unseen texts too."""
+    rng = random.Random(6)
+    clean = lambda: text(rng, rng.randint(8, 20)).capitalize() + "."
+    junk = lambda: rng.choice([" ".join(w + "%%%" for w in text(rng, 12).split()), text(rng, 9).upper().replace(" ", "!! "), " ".join([rng.choice(WORDS)] * 14)])
+
+    def bad():
+        k, m = rng.randint(0, 2), rng.randint(5, 8)
+        return [clean() for _ in range(k)] + [junk() for _ in range(m)], [1] * k + [0] * m
+
+    train = [("\n".join(clean() for _ in range(rng.randint(3, 9))), True) for _ in range(60)] + [("\n".join(bad()[0]), False) for _ in range(60)]
+    model = quality.fitted(train)
+    right = total = mixed = 0
+    for _ in range(40):
+        lines, want = bad()
+        got = model.decode(model.scores(quality.line_features(quality.lines_of("\n".join(lines)))))
+        right, total, mixed = right + sum(a == b for a, b in zip(got, want)), total + len(want), mixed + (len(set(got)) > 1)
+    assert right >= 0.95 * total and mixed >= 15
+    assert quality.fitted(train[:60]) is None and quality.fitted([]) is None
+
+
 # --- 5 ---
 
 
