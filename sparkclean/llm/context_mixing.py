@@ -1,7 +1,7 @@
 """Language-model scoring by online logistic context mixing over hashed-context bit predictors.
 
 A text is modelled as its lower-cased words, each followed by a blank, the last by an end byte. Every bit of it is
-predicted from five contexts (the last one to four bytes, and the letters of the word so far); each predictor is a
+predicted from five contexts (the last one to four bytes, and the word so far, eight letters of it at most); each predictor is a
 hashed slot with counts of zeros and ones over all training texts. A mixer adds the predictors' log odds with weights
 that a gate chooses by bit position and by how well the two longest contexts are known, and an adaptive table refines
 its output. Mixer and table learn online: texts are dealt by a hash of their own into shards, and in each shard scored
@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,9 @@ COMMON_WORDS = 1 << 17
 CONTEXTS, BINS, END = len(SLOT_BITS), 32, 0xFF
 FIRST = [sum(1 << b for b in SLOT_BITS[:k]) for k in range(CONTEXTS + 1)]
 #: Bytes of normal text that are scored together, pairs of a byte and its contexts in a lump, and training tokens to a shard.
-BLOCK, LUMP, SHARD = 1 << 21, 1 << 13, 2_500_000
+BLOCK, LUMP, SHARD = 1 << 22, 1 << 13, 4_000_000
+#: Lumps of a shard that are learnt once before they are scored.
+WARM = 16
 #: Most tasks that shards are dealt over; beyond, a task has several shards.
 MOST_TASKS = 100_000
 PRIOR = 0.05
@@ -50,19 +51,6 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def units(words: list[bytes]) -> list[bytes]:
-    """Each word with the blank or end after it, behind the four bytes before it; an empty text is its end alone.
-
-    All contexts of a word's bytes lie in its unit, so equal units are predicted alike.
-    """
-    data = bytes([END] * 4) + b" ".join(words) + bytes([END])
-    out, at = [], 0
-    for w in words or [b""]:
-        out.append(data[at : at + len(w) + 5])
-        at += len(w) + 1
-    return out
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x * _ODD
     x ^= x >> np.uint64(32)
@@ -70,47 +58,43 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of an odd number and of its inverse, modulo 2^64."""
-    base = 0x2545F4914F6CDD1D
-    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(x))])) for x in (base, pow(base, -1, 1 << 64)))
-
-
-def contexts(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte of the units to predict: the four bytes before it with itself above them, and a hash of the word's letters so far; the units' sizes."""
-    data = np.frombuffer(b"".join(found), np.uint8)
-    whole = np.fromiter(map(len, found), np.int64, len(found))
-    sizes = whole - 4
-    word = np.repeat(np.cumsum(whole) - sizes, sizes)  # where the byte's word begins
-    at = word + np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    grams = data[at].astype(np.uint64) << np.uint64(32)
-    for k in range(1, 5):
-        grams |= data[at - k].astype(np.uint64) << np.uint64(8 * (k - 1))
-    powers, inverse = _powers(1 << max(16, len(data).bit_length()))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)])])
-    return grams, _mixed((sums[at] - sums[word]) * inverse[word]), sizes
-
-
-def lines(grams: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
-    """The first slot of each context's 16 slots for a byte's high four bits, and for its low ones: ``(2, CONTEXTS, n)``."""
+def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte of the texts and their ends: the four bytes before it with itself above them, the last eight letters of its word so far, and the texts' sizes with their ends."""
+    gap = bytes([END]) * 8
+    data = np.frombuffer(gap + b"".join(x for t in texts for x in (t, gap)), np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    at = np.arange(sizes.sum()) + np.repeat(8 + 7 * np.arange(len(sizes)), sizes)
+    wide = data.astype(np.uint64)
+    for k in (1, 2, 4):  # the last 2, 4, 8 bytes, the last one lowest
+        wide[k:] |= wide[:-k] << np.uint64(8 * k)
+    places = np.arange(1, len(data) + 1, dtype=np.int32)
+    word = np.maximum.accumulate(np.where((data == 32) | (data == END), places, 0))  # where the word of the next byte begins
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    before = wide[at - 1]
+    grams = (before & masks[4]) | data[at].astype(np.uint64) << np.uint64(32)
+    return grams, before & masks[np.minimum(at - word[at - 1], 8)], sizes
+
+
+def lines(grams: np.ndarray, prefixes: np.ndarray, predictors: range = range(CONTEXTS)) -> np.ndarray:
+    """The first slot of each context's 16 slots for a byte's high four bits, and for its low ones: ``(2, predictors, n)``."""
     high = (grams >> np.uint64(36)) + np.uint64(1)
-    one = (grams & np.uint64(0xFF)) * np.uint64(32)
-    out = np.empty((2, CONTEXTS, len(grams)), np.int64)
-    out[0, 0], out[1, 0] = one, one + high  # one byte before: every context has slots of its own
     salt = high * np.uint64(0xC2B2AE3D27D4EB4F)
-    for k in range(1, CONTEXTS):
-        context = grams & np.uint64((1 << 8 * (k + 1)) - 1) if k < 4 else prefixes
-        h = _mixed(context ^ (np.uint64(k + 1) << np.uint64(56)))
-        for half, x in enumerate((h, (h ^ salt) * _ODD)):
-            out[half, k] = x >> np.uint64(68 - SLOT_BITS[k])
-    return out * 16 + np.array(FIRST[:-1])[None, :, None]
-
-
-def bits(grams: np.ndarray, prefixes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    out = np.empty((2, len(predictors), len(grams)), np.int64)
+    for i, k in enumerate(predictors):
+        if k == 0:  # one byte before: every context has slots of its own
+            one = (grams & np.uint64(0xFF)) * np.uint64(32)
+            out[0, i], out[1, i] = one, one + high
+        else:
+            h = _mixed((grams & np.uint64((1 << 8 * (k + 1)) - 1) if k < 4 else prefixes) ^ (np.uint64(k + 1) << np.uint64(56)))
+            for half, x in enumerate((h, (h ^ salt) * _ODD)):
+                out[half, i] = x >> np.uint64(68 - SLOT_BITS[k])
+    return out * 16 + np.array([FIRST[k] for k in predictors])[None, :, None]
+
+
+def bits(grams: np.ndarray, prefixes: np.ndarray, predictors: range = range(CONTEXTS)) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each bit of the bytes, high to low: the node reached in the byte, the slots of the predictors, the bit."""
     byte = (grams >> np.uint64(32)).astype(np.int64)
-    at = lines(grams, prefixes)
+    at = lines(grams, prefixes, predictors)
     for j in range(8):
         node = (1 << j) | (byte >> (8 - j))
         half = 1 << j % 4
@@ -118,30 +102,41 @@ def bits(grams: np.ndarray, prefixes: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The place of one of each of the distinct keys, in their order, and each key's number among them."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    number = np.empty(len(keys), np.int64)
-    number[order] = np.cumsum(fresh) - 1
-    return order[fresh], number
+    """The first place of each distinct key, in order of places, and each key's number among them.
+
+    Keys meet at the places of a table by some of their bits; those that find another key there try other bits.
+    """
+    n = len(keys)
+    first = np.arange(n)
+    size = max(10, n.bit_length())
+    table, left, shift = np.empty(1 << size, np.int64), np.arange(n), 0
+    while len(left):
+        own = keys[left]
+        spot = ((own * (_ODD + np.uint64(2 * shift))) >> np.uint64(64 - size)).astype(np.int64)
+        table[spot[::-1]] = left[::-1]  # the first one stays
+        holder = table[spot]
+        same = keys[holder] == own
+        first[left[same]] = holder[same]
+        left, shift = left[~same], shift + 1
+    heads = first == np.arange(n)
+    return np.flatnonzero(heads), (np.cumsum(heads) - 1)[first]
 
 
 class Pairs:
-    """The distinct pairs of a byte and its contexts in some units, and how often training texts have each.
+    """The distinct pairs of a byte and its contexts in some texts, in text order, and how often ``learnt`` texts have each.
 
-    ``training`` counts the units of training texts; ``others`` are units of texts that are not learnt, whose pairs are
-    apart and have ``times`` 0.
+    Pairs of texts that are not learnt are apart and have ``times`` 0.
     """
 
-    def __init__(self, training: Counter[bytes], others: list[bytes] = ()) -> None:
-        grams, prefixes, self.sizes = contexts([*training, *others])
-        times = np.repeat(np.array([*training.values(), *[0] * len(others)], np.float64), self.sizes)
-        one, self.number = distinct(_mixed(grams ^ (times > 0).astype(np.uint64) << np.uint64(63)) ^ prefixes)
-        self.grams, self.prefixes, self.times = grams[one], prefixes[one], np.bincount(self.number, times, len(one))
+    def __init__(self, texts: list[bytes], learnt: list[bool]) -> None:
+        grams, prefixes, self.sizes = contexts(texts)
+        training = np.repeat(np.array(learnt, bool), self.sizes)
+        one, self.number = distinct(_mixed(_mixed(prefixes) ^ grams ^ training.astype(np.uint64) << np.uint64(63)))
+        self.grams, self.prefixes = grams[one], prefixes[one]
+        self.times = np.where(training[one], np.bincount(self.number, minlength=len(one)), 0).astype(np.float64)
 
-    def by_unit(self, costs: np.ndarray) -> np.ndarray:
-        """The sums of the pairs' costs over each unit."""
+    def by_text(self, costs: np.ndarray) -> np.ndarray:
+        """The sums of the pairs' costs over each text."""
         return np.add.reduceat(costs[self.number], np.cumsum(self.sizes) - self.sizes)
 
 
@@ -170,41 +165,64 @@ _SPAN = 1 << 16
 _SPANS = -(-FIRST[-1] // _SPAN)
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Counter[bytes]]:
-    """The units of texts, counted over about ``BLOCK`` bytes at a time."""
-    found: Counter[bytes] = Counter()
-    size = 0
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """Normal texts, in lists of about ``BLOCK`` bytes."""
+    held, size = [], 0
     for batch in sliced(batches, "text"):
-        for text in batch.column("text").to_pylist():
-            found.update(units(tokens(text)))
-            size += len(text or "")
+        held += [b" ".join(tokens(text)) for text in batch.column("text").to_pylist()]
+        size += batch.column("text").nbytes
         if size >= BLOCK:
-            yield found
-            found, size = Counter(), 0
-    if found:
-        yield found
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
-def learn_slots(training: DataFrame) -> np.ndarray:
+def _add(total: np.ndarray, grams: np.ndarray, prefixes: np.ndarray, times: np.ndarray, predictors: range) -> None:
+    """Add to ``total``, zeros and ones by slot, what pairs of a byte and its contexts count."""
+    for a in range(0, len(times), LUMP):
+        lump = slice(a, a + LUMP)
+        for _, slots, bit in bits(grams[lump], prefixes[lump], predictors):
+            for b in (0, 1):
+                on = bit == b
+                np.add.at(total[b], slots[:, on].ravel(), np.tile(times[lump][on], len(predictors)))
+
+
+def learn_slots(training: DataFrame, counts: DataFrame) -> np.ndarray:
     """For each slot the codes of its zeros (low byte) and ones (high byte), over every bit of every training text.
 
-    Tasks count in arrays of the model's size; equal parts of these are summed in two rounds, and only the codes of the
-    sums, two bytes to a slot, come to the driver.
+    Byte contexts are counted over the texts, the word context over the table ``counts`` of all distinct words, each
+    followed by a blank, and over the texts' ends. Tasks count in arrays of the model's size; equal parts of these are
+    summed in two rounds, and only the codes of the sums, two bytes to a slot, come to the driver.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, _SPANS * _SPAN), np.uint32)
-        for found in blocks(batches):
-            own = Pairs(found)
-            times = own.times.astype(np.uint32)
-            for a in range(0, len(times), LUMP):
-                lump = slice(a, a + LUMP)
-                for _, slots, bit in bits(own.grams[lump], own.prefixes[lump]):
-                    for b in (0, 1):
-                        on = bit == b
-                        np.add.at(total[b], slots[:, on].ravel(), np.tile(times[lump][on], CONTEXTS))
+        grams, times = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        for texts in blocks(batches):
+            own, prefixes, sizes = contexts(texts)
+            ends = np.cumsum(sizes) - 1
+            _add(total, own[ends], prefixes[ends], np.ones(len(ends), np.uint32), range(4, 5))
+            new, n = np.unique(own, return_counts=True)
+            grams, where = np.unique(np.concatenate([grams, new]), return_inverse=True)
+            times = np.bincount(where, np.concatenate([times, n])).astype(np.uint32)
+            if len(grams) > 1 << 20:
+                _add(total, grams, grams, times, range(4))
+                grams, times = grams[:0], times[:0]
+        _add(total, grams, grams, times, range(4))
         yield _arrays({i: a.astype(np.uint64) for i, a in enumerate(total.reshape(-1, _SPAN)) if a.any()})
 
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, _SPANS * _SPAN), np.uint64)
+        for batch in sliced(batches, "word"):
+            found = [(w + b" ", c) for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()) if w]
+            if found:
+                grams, prefixes, sizes = contexts([w for w, _ in found])
+                on = np.ones(len(grams), bool)
+                on[np.cumsum(sizes) - 1] = False  # the ends of these are no ends of texts
+                _add(total, grams[on], prefixes[on], np.repeat(np.array([c for _, c in found], np.uint64), sizes - 1), range(4, 5))
+        yield _arrays({i: a for i, a in enumerate(total.reshape(-1, _SPAN)) if a.any()})
+
     def summed(last: bool) -> object:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             totals: dict[int, np.ndarray] = {}
@@ -217,10 +235,11 @@ def learn_slots(training: DataFrame) -> np.ndarray:
 
         return add
 
-    parts = training.select("text").mapInArrow(count, "part int, z binary").withColumn("salt", F.spark_partition_id() % 64)
-    once = parts.repartition("part", "salt").mapInArrow(summed(False), "part int, z binary")
+    kind = "part int, z binary"
+    parts = training.select("text").mapInArrow(of_texts, kind).union(counts.mapInArrow(of_words, kind)).withColumn("salt", F.spark_partition_id() % 64)
+    once = parts.repartition("part", "salt").mapInArrow(summed(False), kind)
     both = np.zeros((2 * _SPANS, _SPAN), np.uint8)
-    for r in once.repartition("part").mapInArrow(summed(True), "part int, z binary").collect():  # 2 bytes a slot at most
+    for r in once.repartition("part").mapInArrow(summed(True), kind).collect():  # 2 bytes a slot at most
         both[r["part"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["z"]), np.uint8)
     low, high = both.reshape(2, -1)
     return low.astype(np.uint16) | high.astype(np.uint16) << np.uint16(8)
@@ -244,30 +263,28 @@ class Mixer:
         self.square = np.full((8, LEVELS**2, CONTEXTS), 1e-3)
         self.refine = np.zeros((256 * BINS, 2))
 
-    def run(self, pairs: Pairs) -> np.ndarray:
-        """Bits of each pair, in lumps; each lump is learnt after it was predicted."""
+    def run(self, pairs: Pairs, lumps: int | None = None) -> np.ndarray:
+        """Bits of each pair of the first ``lumps``, or of all; each lump is learnt after it was predicted."""
         cost = np.zeros(len(pairs.times))
-        for a in range(0, len(cost), LUMP):
+        for a in range(0, len(cost) if lumps is None else min(len(cost), lumps * LUMP), LUMP):
             lump = slice(a, a + LUMP)
             times = pairs.times[lump]
             for j, (node, at, bit) in enumerate(bits(pairs.grams[lump], pairs.prefixes[lump])):
-                cost[lump] += self._bit(j, node, self.slots[at], bit, times)
+                cost[lump] += self._bit(j, node, self.slots.take(at), bit, times)
         return cost
 
     def _bit(self, j: int, node: np.ndarray, code: np.ndarray, bit: np.ndarray, times: np.ndarray) -> np.ndarray:
-        n = len(bit)
-        code = code + np.where(times > 0, (bit + 1) << 16, 0)  # without the bit's own count, if it was counted
-        odds = _ODDS[code].astype(np.float64)
-        gate = _ORDER[code[-2]].astype(np.int64) * LEVELS + _WORD[code[-1]]
-        here = np.arange(n), gate
-        x = np.clip((odds.T @ self.weights[j].T)[here], -11, 11)
+        code = code.astype(np.int32) + np.where(times > 0, (bit + 1) << 16, 0).astype(np.int32)  # without the bit's own count, if it was counted
+        odds = _ODDS.take(code)
+        gate = (_ORDER.take(code[-2]) * LEVELS + _WORD.take(code[-1])).astype(np.intp)
+        x = np.clip(np.einsum("kn,kn->n", odds, self.weights[j].T.astype(np.float32).take(gate, axis=1)), -11, 11)
         p = 1 / (1 + np.exp(-x))
         cell = node * BINS + _bin(x)
-        seen = self.refine[cell]
+        seen = self.refine.take(cell, axis=0)
         q = np.clip((p + (seen[:, 1] + 4 * p) / (seen[:, 0] + seen[:, 1] + 4)) / 2, 1e-6, 1 - 1e-6)  # the mean of mixer and table
-        error = np.zeros((n, LEVELS**2))
-        error[here] = (bit - p) * times
-        slope = (odds @ error).T / np.maximum(1, np.bincount(gate, times, LEVELS**2))[:, None]
+        error = (bit - p) * times
+        whole = np.maximum(1, np.bincount(gate, times, LEVELS**2))
+        slope = np.stack([np.bincount(gate, error * o, LEVELS**2) for o in odds], axis=1) / whole[:, None]
         self.square[j] += slope * slope
         self.weights[j] += 0.05 * slope / np.sqrt(self.square[j])
         self.refine += np.bincount(2 * cell + bit, times, 512 * BINS).reshape(-1, 2)
@@ -320,21 +337,17 @@ def score(docs: DataFrame, common: int = COMMON_WORDS, shard: int = SHARD) -> Da
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     scale = total["n"] + 0.1 * (total["v"] + 1)
     frequent = context.broadcast({w: math.log10((c + 0.1) / scale) for w, c in _common(counts, common).items()})
-    slots = context.broadcast(learn_slots(training))
+    slots = context.broadcast(learn_slots(training, counts))
     shards = max(1, math.ceil(total["n"] / shard))
 
     def scored(mixer: Mixer, held: list[tuple], warm: bool) -> pa.RecordBatch:
         known = frequent.value
-        training = Counter(u for _, apart, _, own in held if not apart for u in own)
-        others = list({u for _, apart, _, own in held if apart for u in own})
-        pairs = Pairs(training, others)
+        pairs = Pairs([b" ".join(words) for *_, words in held], [not apart for _, apart, _ in held])
         if warm:
-            mixer.run(pairs)
-        costs = pairs.by_unit(mixer.run(pairs)).tolist()
-        cost = dict(zip(training, costs)), dict(zip(others, costs[len(training) :]))
+            mixer.run(pairs, WARM)
+        costs = pairs.by_text(mixer.run(pairs)).tolist()
         rows = []
-        for doc_id, apart, words, own in held:
-            bits_of = math.fsum(map(cost[apart].__getitem__, own))
+        for (doc_id, apart, words), bits_of in zip(held, costs):
             found = [known.get(w) for w in (*words, b"")]
             rest = Counter(w for w, f in zip((*words, b""), found) if f is None) if None in found else {}
             base = math.fsum(f for f in found if f is not None)
@@ -351,8 +364,7 @@ def score(docs: DataFrame, common: int = COMMON_WORDS, shard: int = SHARD) -> Da
                     held, size, warm = [], 0, False
                 if number != at:
                     at, mixer, warm = number, Mixer(slots.value), True
-                words = tokens(text)
-                held.append((*row, words, units(words)))
+                held.append((*row, tokens(text)))
                 size += len(text or "")
         if held:
             yield scored(mixer, held, warm)

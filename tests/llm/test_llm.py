@@ -137,18 +137,28 @@ def test_context_mixing_does_not_see_the_cut(docs):
     assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9) for a, b in zip(one, six))
 
 
-def plain_bits(train, held, lump, rounds):
+def plain_bits(train, held, lump, rounds, texts=None):
     """Bits of each text by loops over single bits: counts, gates, online weights and the refining table."""
     m = context_mixing
     count = lambda n: n if n < 32 else m._COUNTS[int(m.codes(np.array([n]))[0])]
     slots: dict = {}
+    normal = lambda t: b" ".join(m.tokens(t))
+    pairs_of = lambda t: list(zip(*m.contexts([t])[:2]))
+
+    def add(g, p, predictors):
+        for _, at, bit in m.bits(np.array([g]), np.array([p]), predictors):
+            for k in at[:, 0].tolist():
+                slots.setdefault(k, [0, 0])[int(bit[0])] += 1
+
     for t in train:
-        for u in m.units(m.tokens(t)):
-            for g, p in zip(*m.contexts([u])[:2]):
-                for _, at, bit in m.bits(np.array([g]), np.array([p])):
-                    for k in at[:, 0].tolist():
-                        slots.setdefault(k, [0, 0])[int(bit[0])] += 1
-    pairs = m.Pairs(Counter(u for t in train for u in m.units(m.tokens(t))), sorted({u for t in held for u in m.units(m.tokens(t))}))
+        for g, p in pairs_of(normal(t)):
+            add(g, p, range(4))
+        add(*pairs_of(normal(t))[-1], range(4, 5))
+        for w in m.tokens(t):
+            for g, p in pairs_of(w + b" ")[:-1]:
+                add(g, p, range(4, 5))
+    texts = [normal(t) for t in (*train, *held)] if texts is None else texts
+    pairs = m.Pairs(texts, [t in map(normal, train) for t in texts])
     weights = {(j, g): [0.35] * 5 for j in range(8) for g in range(16)}
     square = {k: [1e-3] * 5 for k in weights}
     refine: dict = {}
@@ -184,8 +194,7 @@ def plain_bits(train, held, lump, rounds):
                         weights[gate][k] += 0.05 * d / math.sqrt(square[gate][k])
                 for cell, bit, times in seen:
                     refine.setdefault(cell, [0, 0])[bit] += times
-    bits_of = lambda t, learnt: sum(cost[g, p, learnt] for u in m.units(m.tokens(t)) for g, p in zip(*m.contexts([u])[:2]))
-    return [bits_of(t, True) for t in train], [bits_of(t, False) for t in held]
+    return [[sum(cost[g, p, learnt] for g, p in pairs_of(normal(t))) for t in side] for learnt, side in ((True, train), (False, held))]
 
 
 def test_scores_equal_plain_loops(spark, monkeypatch):
@@ -194,19 +203,34 @@ def test_scores_equal_plain_loops(spark, monkeypatch):
     held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
     assert 0 < sum(held) < 6
     learnt, others = ([t for t, h in zip(texts, held) if h == want] for want in (False, True))
-    got = {r.doc_id: r.score for r in context_mixing.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    a, b = plain_bits(learnt, others, context_mixing.LUMP, 2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = F.xxhash64("doc_id", "text")
+    order = [b" ".join(context_mixing.tokens(r.text)) for r in df.orderBy(F.xxhash64(own, F.lit(1))).collect()]
+    got = {r.doc_id: r.score for r in context_mixing.score(df).collect()}
+    a, b = plain_bits(learnt, others, context_mixing.LUMP, 2, order)
     want = {False: iter(a), True: iter(b)}
-    assert all(math.isclose(got[i], -next(want[h]) * math.log10(2), rel_tol=1e-6) for i, h in enumerate(held))
+    assert all(math.isclose(got[i], -next(want[h]) * math.log10(2), rel_tol=1e-4) for i, h in enumerate(held))
     monkeypatch.setattr(context_mixing, "LUMP", 70)
-    pairs = context_mixing.Pairs(Counter(u for t in learnt for u in context_mixing.units(context_mixing.tokens(t))))
-    table = np.zeros((2, context_mixing.FIRST[-1]), np.int64)
-    for _, at, bit in context_mixing.bits(pairs.grams, pairs.prefixes):
-        for row in at:
-            np.add.at(table, (bit, row), pairs.times.astype(np.int64))
+    normal = [b" ".join(context_mixing.tokens(t)) for t in learnt]
+    pairs = context_mixing.Pairs(normal, [True] * len(normal))
+    table = np.zeros((2, context_mixing.FIRST[-1]), np.uint32)
+    grams, prefixes, sizes = context_mixing.contexts(normal)
+    context_mixing._add(table, grams, prefixes, np.ones(len(grams), np.uint32), range(4))
+    ends = np.cumsum(sizes) - 1
+    context_mixing._add(table, grams[ends], prefixes[ends], np.ones(len(ends), np.uint32), range(4, 5))
+    grams, prefixes, sizes = context_mixing.contexts([w + b" " for t in learnt for w in context_mixing.tokens(t)])
+    letters = np.setdiff1d(np.arange(len(grams)), np.cumsum(sizes) - 1)
+    context_mixing._add(table, grams[letters], prefixes[letters], np.ones(len(letters), np.uint32), range(4, 5))
     codes = context_mixing.codes(table).astype(np.uint16)
     costs = context_mixing.Mixer(codes[0] | codes[1] << np.uint16(8)).run(pairs)
-    assert math.isclose((costs * pairs.times).sum(), sum(plain_bits(learnt, [], 70, 1)[0]), rel_tol=1e-6)
+    assert np.allclose(pairs.by_text(costs), plain_bits(learnt, [], 70, 1)[0], rtol=1e-4)
+
+
+def test_distinct_keys():
+    keys = np.random.default_rng(7).integers(0, 3000, 20_000).astype(np.uint64)
+    first, number = context_mixing.distinct(keys)
+    _, want = np.unique(keys, return_index=True)
+    assert first.tolist() == sorted(want.tolist()) and (keys[first][number] == keys).all() and len(context_mixing.distinct(keys[:0])[0]) == 0
 
 
 # --- 4 ---
