@@ -1,10 +1,11 @@
 """Removal of repeated byte strings through the Burrows-Wheeler transform of blocks of candidate text.
 
 Every window of ``length`` bytes names one anchor, the smallest hashed gram inside it, so equal windows name equal
-anchors at the same place. Windows of one anchor that follow each other form a stretch of text; stretches whose anchor
-occurs once hold no repeat, and equal stretches are folded into one with a count. The different stretches of one
-anchor meet in a block, whose suffix array and transform are built; breadth-first backward extension of intervals
-yields the common prefix lengths by increasing value and stops at ``length``: what has no value by then repeats.
+anchors at the same place. Windows of one anchor that follow each other form a stretch of text. Equal stretches of an
+anchor are one, which stands twice in its block if it occurs more than once. The stretches of all anchors that occur
+again meet in blocks, whose suffix array and transform are built; breadth-first backward extension of intervals yields
+the common prefix lengths by increasing value and stops at ``length``: what has no value by then repeats. An anchor of
+very many stretches is split by further anchors of its windows, each by a hash of its own, into groups of its own.
 """
 
 from __future__ import annotations
@@ -19,15 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stage
+from .batches import sliced
 
 LENGTH, GRAM = 200, 24
 #: Bytes of texts that are hashed at once, and bytes of stretches whose transform is built at once.
 CHUNK, BLOCK = 1 << 21, 1 << 20
-#: Different stretches of one anchor that meet in one block; the windows of larger groups meet by their digests.
-GROUP = 3000
+#: Different stretches of one anchor that meet in one block; larger groups are split by further anchors, so many times at
+#: most, and what is then still larger meets by digests of its windows.
+GROUP, SPLITS = 3000, 6
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+def gram_hashes(data: np.ndarray, gram: int, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of the ``gram`` bytes from each position on; ``gram`` is 3 times a power of two."""
     odd = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,18 +46,22 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     while size < gram:
         h = joined(h[:-size], h[size:])
         size *= 2
+    if seed:
+        h = (h ^ np.uint64(seed * 0x632BE59BD9B4E019 & (1 << 64) - 1)) * odd
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
     return h
 
 
-def stretches(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def stretches(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM, seed: int = 0) -> tuple[np.ndarray, ...]:
     """``(first window, last window, anchor hash)`` of each stretch of texts laid end to end in ``data``.
 
     ``ends`` are the texts' ends; no window crosses one.
     """
     if len(data) < length:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    hashes = gram_hashes(data, gram)
+    hashes = gram_hashes(data, gram, seed)
     low = np.uint64(0xFFFFFF)
     least = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)  # ties go to the left
     span, wanted = 1, length - gram + 1
@@ -77,15 +84,25 @@ def stretches(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: in
     return first, last, hashes[anchor[first]]
 
 
-def suffix_array(symbols: np.ndarray, least_symbol_of_text: int) -> np.ndarray:
-    """The suffix array of distinct end marks and text symbols, by prefix doubling of what is not yet in order."""
-    n = len(symbols)
-    rank = symbols.astype(np.int64)
-    padded = np.concatenate([rank + 1, np.zeros(4, np.int64)])
-    order = np.argsort((((padded[:n] << 16 | padded[1 : n + 1]) << 16 | padded[2 : n + 2]) << 16) | padded[3 : n + 3])
-    key = (((padded[:n] << 16 | padded[1 : n + 1]) << 16 | padded[2 : n + 2]) << 16) | padded[3 : n + 3]
-    ordered = key[order]
-    fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+def suffix_array(joined: np.ndarray, is_mark: np.ndarray) -> np.ndarray:
+    """The suffix array of texts with an end mark after each, by prefix doubling of what is not yet in order.
+
+    End marks are smaller than bytes and ordered by place. Ranks and places are sorted as one number.
+    """
+    n = len(joined)
+    shift = np.uint64(n.bit_length())
+    places = np.arange(n, dtype=np.uint64)
+    low = (np.uint64(1) << shift) - np.uint64(1)
+    byte = np.concatenate([np.where(is_mark, 0, joined.astype(np.uint64) + np.uint64(1)), np.zeros(3, np.uint64)])
+    key, ended = np.zeros(n, np.uint64), np.zeros(n, bool)
+    for k in range(4):  # what follows an end mark does not count
+        own = np.where(ended, 0, byte[k : n + k]).astype(np.uint64)
+        key = key << np.uint64(9) | own
+        ended |= own == 0
+    packed = np.sort(key << shift | places)
+    order = (packed & low).astype(np.int64)
+    key = packed >> shift
+    fresh = np.concatenate([[True], key[1:] != key[:-1]]) | ended[order]
     group = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]  # the place of the first suffix of the same rank
     rank = np.empty(n, np.int64)
     rank[order] = group
@@ -96,11 +113,13 @@ def suffix_array(symbols: np.ndarray, least_symbol_of_text: int) -> np.ndarray:
         if not len(open_):
             return order
         at = order[open_]
-        after = np.where(at + size < n, rank[np.minimum(at + size, n - 1)] + 1, 0)
-        key = group[open_] * (n + 1) + after
-        resort = np.argsort(key)
-        order[open_] = at[resort]
-        key = key[resort]
+        key = group[open_].astype(np.uint64) << shift | rank[np.minimum(at + size, n - 1)].astype(np.uint64)
+        if 3 * int(shift) <= 64:
+            packed = np.sort(key << shift | at.astype(np.uint64))
+            order[open_], key = packed & low, packed >> shift
+        else:
+            resort = np.argsort(key)
+            order[open_], key = at[resort], key[resort]
         fresh[open_] = np.concatenate([[True], key[1:] != key[:-1]])
         group = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
         rank[order[open_]] = group[open_]
@@ -112,15 +131,18 @@ def repeated_starts(texts: list[bytes], length: int = LENGTH) -> np.ndarray:
     joined = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     marks = np.cumsum(sizes + 1) - 1
+    n = len(joined)
+    is_mark = np.zeros(n, bool)
+    is_mark[marks] = True
     symbols = joined.astype(np.int64) + len(texts)
     symbols[marks] = np.arange(len(texts))
-    n = len(symbols)
-    order = suffix_array(symbols, len(texts))
+    order = suffix_array(joined, is_mark)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     step = place[order - 1]  # of the suffix that begins one symbol earlier
     before = symbols[order - 1]  # the transform
-    same = np.argsort(before, kind="stable")
+    shift = np.uint64(n.bit_length())
+    same = (np.sort(before.astype(np.uint64) << shift | np.arange(n, dtype=np.uint64)) & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
     left, right = np.full(n, -1), np.full(n, n)
     equal = before[same[1:]] == before[same[:-1]]
     left[same[1:][equal]] = same[:-1][equal]
@@ -159,7 +181,7 @@ _ARROW_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 def _packed(docs: DataFrame, carried: list[str]) -> DataFrame:
     """``(row, rest, z)``: each document's bytes, compressed, under a number of its own, and its ``carried`` columns."""
-    docs = docs.select(F.struct(*carried).alias("rest"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.struct(*[f"`{c}`" for c in carried]).alias("rest"), F.col("text").cast("string").alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
@@ -206,7 +228,7 @@ def _anchored(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``wanted`` (``row, lo, hi, anchor, stretch, n, variants``) with the stretches' bytes as ``text``."""
+    """``wanted`` (``row, lo, hi, anchor, stretch, n``) with the stretches' bytes as ``text``."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -214,18 +236,21 @@ def _texts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             out = []
             for z, asked in zip(batch.column("z").to_pylist(), batch.column("asked").to_pylist()):
                 text = press.decompress(z)
-                out += [(x["anchor"], x["stretch"], x["n"], x["variants"], text[x["lo"] : x["hi"] + length]) for x in asked]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate([pa.int64()] * 4 + [pa.binary()])], ["anchor", "stretch", "n", "variants", "text"])
+                out += [(x["anchor"], x["stretch"], x["n"], text[x["lo"] : x["hi"] + length]) for x in asked]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate([pa.int64()] * 3 + [pa.binary()])], ["anchor", "stretch", "n", "text"])
+
+    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "anchor", "stretch", "n")).alias("asked"))
+    return rows.select("row", "z").join(asked, "row").select("z", "asked").mapInArrow(fetch, _TEXTS)
 
-    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "anchor", "stretch", "n", "variants")).alias("asked"))
-    return rows.select("row", "z").join(asked, "row").select("z", "asked").mapInArrow(fetch, "anchor long, stretch long, n long, variants long, text binary")
+
+_TEXTS = "anchor long, stretch long, n long, text binary"
 
 
 def _by_transform(texts: DataFrame, length: int) -> DataFrame:
     """``(anchor, stretch, spans)``: the ranges of windows in each stretch that start elsewhere too."""
 
     def expand(held: list[tuple]) -> pa.RecordBatch:
-        repeated = repeated_starts([t for *_, t in held], length)
+        repeated = repeated_starts([t for *_, t in held] + [t for *_, n, t in held if n > 1], length)
         spans, at = [], 0
         for *_, t in held:
             spans.append([{"a": a, "b": b} for a, b in _spans(repeated[at : at + len(t) - length + 1])])
@@ -235,19 +260,60 @@ def _by_transform(texts: DataFrame, length: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for item in zip(*(batch.column(c).to_pylist() for c in ("anchor", "stretch", "text"))):
+            for item in zip(*(batch.column(c).to_pylist() for c in ("anchor", "stretch", "n", "text"))):
                 if (size >= BLOCK or len(held) >= 30_000) and item[0] != held[-1][0]:
                     yield expand(held)
                     held, size = [], 0
                 held.append(item)
-                size += len(item[2])
+                size += len(item[3]) * (2 if item[2] > 1 else 1)
         if held:
             yield expand(held)
 
-    placed = texts.select("anchor", "stretch", "text").repartition("anchor").sortWithinPartitions("anchor")
+    placed = texts.select("anchor", "stretch", "n", "text").repartition("anchor").sortWithinPartitions("anchor")
     return placed.mapInArrow(find, f"anchor long, stretch long, spans {_SPANS}")
 
 
+def _split(texts: DataFrame, length: int, gram: int, seed: int) -> DataFrame:
+    """The stretches cut where a further anchor of their windows changes: ``(up_anchor, up_stretch, shift, anchor, stretch, n, text)``.
+
+    The new anchor is a hash of the old and the further one, so that equal windows still meet; ``shift`` is the place of
+    the part's first window in the whole.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in sliced(batches, "text"):
+            texts = batch.column("text").to_pylist()
+            data = b"".join(texts)
+            ends = np.cumsum([len(t) for t in texts])
+            first, last, further = stretches(np.frombuffer(data, np.uint8), ends, length, gram, seed)
+            of = np.searchsorted(ends, first, side="right")
+            parts = [data[a : b + length] for a, b in zip(first.tolist(), last.tolist())]
+            up = [batch.column(c).take(pa.array(of)) for c in ("anchor", "stretch", "n")]
+            anchors = [digest(b"%d %d" % (a, f)) for a, f in zip(up[0].to_pylist(), further.tolist())]
+            columns = [up[0], up[1], pa.array(first - np.concatenate([[0], ends[:-1]])[of]), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (anchors, [digest(t) for t in parts])), up[2], pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["up_anchor", "up_stretch", "shift", "anchor", "stretch", "n", "text"])
+
+    return texts.select("anchor", "stretch", "n", "text").mapInArrow(cut, f"up_anchor long, up_stretch long, shift long, {_TEXTS}")
+
+
+def _marks(texts: DataFrame, length: int, gram: int, group: int, seed: int = 1) -> DataFrame:
+    """``(anchor, stretch, spans)`` of different stretches ``(anchor, stretch, n, text)``."""
+    variants = stage(texts.groupBy("anchor").agg(F.count("*").alias("variants")).where(F.col("variants") > group), "hot")
+    if variants.isEmpty():
+        return _by_transform(texts, length)
+    found = _by_transform(texts.join(variants, "anchor", "left_anti"), length)
+    hot = texts.join(variants.select("anchor"), "anchor")
+    if seed > SPLITS:
+        return found.unionByName(_by_digests(hot, length))
+    parts = stage(_split(hot, length, gram, seed), "split")
+    folded = parts.groupBy("anchor", "stretch").agg(F.sum("n").alias("n"), F.first("text").alias("text"))
+    marks = _marks(stage(folded, "parts"), length, gram, group, seed + 1)
+    moved = F.transform("spans", lambda x: F.struct((x["a"] + F.col("shift")).cast("int").alias("a"), (x["b"] + F.col("shift")).cast("int").alias("b")))
+    whole = parts.join(marks, ["anchor", "stretch"]).groupBy("up_anchor", "up_stretch").agg(F.flatten(F.collect_list(moved)).alias("spans"))
+    return found.unionByName(whole.toDF("anchor", "stretch", "spans"))
+
+
 def _by_digests(texts: DataFrame, length: int) -> DataFrame:
     """The same for anchors with very many stretches: windows meet by their digests, wherever they are."""
 
@@ -268,21 +334,13 @@ def _by_digests(texts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """``(row, spans)``: byte ranges of each row (``row``, ``z``) covered by strings that start twice or more."""
     anchors = _anchored(rows, length, gram)
-    seen = anchors.groupBy("anchor").agg(F.count("*").alias("times"), F.min("stretch").alias("x"), F.max("stretch").alias("y"))
-    seen = seen.where("times > 1").select("anchor", F.expr("x <> y").alias("mixed"))
+    seen = stage(anchors.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "seen")
     again = stage(anchors.join(seen, "anchor"), "again")
-    mixed = again.where("mixed")
-    folded = mixed.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi")).alias("first"))
-    folded = stage(folded.select("anchor", "stretch", "n", "first.*"), "folded")
-    wanted = folded.join(folded.groupBy("anchor").agg(F.count("*").alias("variants")), "anchor")
-    texts = stage(_texts(rows, wanted, length), "texts")
-    marks = _by_transform(texts.where(F.col("variants") <= group), length).unionByName(_by_digests(texts.where(F.col("variants") > group), length))
-    own = folded.join(marks, ["anchor", "stretch"], "left").select("anchor", "stretch", F.when(F.col("n") > 1, F.lit(None)).otherwise(F.coalesce("spans", F.array().cast(_SPANS))).alias("spans"), (F.col("n") > 1).alias("whole"))
-    whole = F.struct(F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
-    simple = again.where("not mixed").select("row", F.array(whole).alias("s"))
+    folded = again.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi")).alias("first"))
+    texts = stage(_texts(rows, folded.select("anchor", "stretch", "n", "first.*"), length), "texts")
+    marks = stage(_marks(texts, length, gram, group).where(F.size("spans") > 0), "marks")
     shifted = F.transform("spans", lambda s: F.struct((F.col("lo") + s["a"]).alias("a"), (F.col("lo") + s["b"] - 1 + length).alias("b")))
-    others = mixed.select("row", "lo", "hi", "anchor", "stretch").join(own, ["anchor", "stretch"]).select("row", F.when(F.col("whole"), F.array(whole)).otherwise(shifted).alias("s"))
-    return simple.union(others).where(F.size("s") > 0).groupBy("row").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    return again.join(marks, ["anchor", "stretch"]).select("row", shifted.alias("s")).groupBy("row").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
 def _removed(docs: DataFrame, carried: list[str], length: int, gram: int, group: int) -> DataFrame:

@@ -69,7 +69,7 @@ def removed(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("group", [3000, 1])
+@pytest.mark.parametrize("group", [3000, 4, 1])
 def test_suffix_dedup(docs, corpus, group):
     got = suffix_dedup.dedup(clashing(docs), group=group)
     assert shown(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed(corpus, 200)
