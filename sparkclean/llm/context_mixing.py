@@ -32,7 +32,7 @@ COMMON_WORDS = 1 << 17
 CONTEXTS, BINS, END = len(SLOT_BITS), 32, 0xFF
 FIRST = [sum(1 << b for b in SLOT_BITS[:k]) for k in range(CONTEXTS + 1)]
 #: Bytes of normal text that are scored together, pairs of a byte and its contexts in a lump, and training tokens to a shard.
-BLOCK, LUMP, SHARD = 1 << 22, 1 << 13, 4_000_000
+BLOCK, LUMP, SHARD = 3 << 20, 1 << 13, 4_000_000
 #: Lumps of a shard that are learnt once before they are scored.
 WARM = 16
 #: Most tasks that shards are dealt over; beyond, a task has several shards.
@@ -63,16 +63,19 @@ def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     gap = bytes([END]) * 8
     data = np.frombuffer(gap + b"".join(x for t in texts for x in (t, gap)), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    at = np.arange(sizes.sum()) + np.repeat(8 + 7 * np.arange(len(sizes)), sizes)
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    at = np.arange(sizes.sum(), dtype=kind) + np.repeat((8 + 7 * np.arange(len(sizes))).astype(kind), sizes)
     wide = data.astype(np.uint64)
     for k in (1, 2, 4):  # the last 2, 4, 8 bytes, the last one lowest
         wide[k:] |= wide[:-k] << np.uint64(8 * k)
-    places = np.arange(1, len(data) + 1, dtype=np.int32)
-    word = np.maximum.accumulate(np.where((data == 32) | (data == END), places, 0))  # where the word of the next byte begins
+    word = np.maximum.accumulate(np.where((data == 32) | (data == END), np.arange(1, len(data) + 1, dtype=kind), kind(0)))  # where the word of the next byte begins
     masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-    before = wide[at - 1]
-    grams = (before & masks[4]) | data[at].astype(np.uint64) << np.uint64(32)
-    return grams, before & masks[np.minimum(at - word[at - 1], 8)], sizes
+    prefixes = wide[at - 1]
+    del wide
+    grams = data[at].astype(np.uint64) << np.uint64(32)
+    grams |= prefixes & masks[4]
+    prefixes &= masks[np.minimum(at - word[at - 1], 8)]
+    return grams, prefixes, sizes
 
 
 def lines(grams: np.ndarray, prefixes: np.ndarray, predictors: range = range(CONTEXTS)) -> np.ndarray:
@@ -107,19 +110,20 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Keys meet at the places of a table by some of their bits; those that find another key there try other bits.
     """
     n = len(keys)
-    first = np.arange(n)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    first = np.arange(n, dtype=kind)
     size = max(10, n.bit_length())
-    table, left, shift = np.empty(1 << size, np.int64), np.arange(n), 0
+    table, left, shift = np.empty(1 << size, kind), first.copy(), 0
     while len(left):
         own = keys[left]
-        spot = ((own * (_ODD + np.uint64(2 * shift))) >> np.uint64(64 - size)).astype(np.int64)
+        spot = ((own * (_ODD + np.uint64(2 * shift))) >> np.uint64(64 - size)).astype(kind)
         table[spot[::-1]] = left[::-1]  # the first one stays
         holder = table[spot]
         same = keys[holder] == own
         first[left[same]] = holder[same]
         left, shift = left[~same], shift + 1
-    heads = first == np.arange(n)
-    return np.flatnonzero(heads), (np.cumsum(heads) - 1)[first]
+    heads = first == np.arange(n, dtype=kind)
+    return np.flatnonzero(heads), (np.cumsum(heads, dtype=kind) - kind(1))[first]
 
 
 class Pairs:
@@ -131,7 +135,10 @@ class Pairs:
     def __init__(self, texts: list[bytes], learnt: list[bool]) -> None:
         grams, prefixes, self.sizes = contexts(texts)
         training = np.repeat(np.array(learnt, bool), self.sizes)
-        one, self.number = distinct(_mixed(_mixed(prefixes) ^ grams ^ training.astype(np.uint64) << np.uint64(63)))
+        keys = _mixed(prefixes)
+        keys ^= grams
+        keys ^= training.astype(np.uint64) << np.uint64(63)
+        one, self.number = distinct(_mixed(keys))
         self.grams, self.prefixes = grams[one], prefixes[one]
         self.times = np.where(training[one], np.bincount(self.number, minlength=len(one)), 0).astype(np.float64)
 
