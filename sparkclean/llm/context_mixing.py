@@ -28,7 +28,7 @@ from .batches import sliced
 #: Hashed slots of each predictor, as powers of two: the model's size, whatever the corpus has.
 SLOT_BITS = (17, 19, 22, 23, 23)
 #: Most words whose counts every task holds; the counts of all others are joined.
-COMMON_WORDS = 1 << 17
+COMMON_WORDS = 1 << 18
 CONTEXTS, BINS, END = len(SLOT_BITS), 32, 0xFF
 FIRST = [sum(1 << b for b in SLOT_BITS[:k]) for k in range(CONTEXTS + 1)]
 #: Bytes of normal text that are scored together, pairs of a byte and its contexts in a lump, and training tokens to a shard.
@@ -58,13 +58,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte of the texts and their ends: the four bytes before it with itself above them, the last eight letters of its word so far, and the texts' sizes with their ends."""
+def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts with ends between, the places of their bytes and of one end after each, and their sizes with that end."""
     gap = bytes([END]) * 8
     data = np.frombuffer(gap + b"".join(x for t in texts for x in (t, gap)), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     kind = np.int32 if len(data) < 1 << 31 else np.int64
-    at = np.arange(sizes.sum(), dtype=kind) + np.repeat((8 + 7 * np.arange(len(sizes))).astype(kind), sizes)
+    return data, np.arange(sizes.sum(), dtype=kind) + np.repeat((8 + 7 * np.arange(len(sizes))).astype(kind), sizes), sizes
+
+
+def grams_of(texts: list[bytes]) -> np.ndarray:
+    """For each byte of the texts and their ends: the four bytes before it, the last one lowest, with itself above them."""
+    data, at, _ = _laid_out(texts)
+    wide = data.astype(np.uint64)
+    for k in (1, 2):
+        wide[k:] |= wide[:-k] << np.uint64(8 * k)
+    grams = wide[at - 1]
+    grams |= data[at].astype(np.uint64) << np.uint64(32)
+    return grams
+
+
+def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, with the last eight letters of each byte's word so far, and the texts' sizes with their ends."""
+    data, at, sizes = _laid_out(texts)
+    kind = at.dtype.type
     wide = data.astype(np.uint64)
     for k in (1, 2, 4):  # the last 2, 4, 8 bytes, the last one lowest
         wide[k:] |= wide[:-k] << np.uint64(8 * k)
@@ -205,18 +222,25 @@ def learn_slots(training: DataFrame, counts: DataFrame) -> np.ndarray:
 
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, _SPANS * _SPAN), np.uint32)
-        grams, times = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def add() -> None:
+            if held:
+                grams = np.concatenate([g for g, _ in held])
+                order = np.argsort(grams)
+                grams = grams[order]
+                heads = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+                _add(total, grams[heads], grams[heads], np.add.reduceat(np.concatenate([n for _, n in held])[order], heads).astype(np.uint32), range(4))
+                held.clear()
+
         for texts in blocks(batches):
-            own, prefixes, sizes = contexts(texts)
+            held.append(np.unique(grams_of(texts), return_counts=True))
+            grams, prefixes, sizes = contexts([t[t.rfind(b" ") + 1 :] for t in texts])  # the last words, for the ends
             ends = np.cumsum(sizes) - 1
-            _add(total, own[ends], prefixes[ends], np.ones(len(ends), np.uint32), range(4, 5))
-            new, n = np.unique(own, return_counts=True)
-            grams, where = np.unique(np.concatenate([grams, new]), return_inverse=True)
-            times = np.bincount(where, np.concatenate([times, n])).astype(np.uint32)
-            if len(grams) > 1 << 20:
-                _add(total, grams, grams, times, range(4))
-                grams, times = grams[:0], times[:0]
-        _add(total, grams, grams, times, range(4))
+            _add(total, grams[ends], prefixes[ends], np.ones(len(ends), np.uint32), range(4, 5))
+            if sum(len(g) for g, _ in held) > 1 << 21:
+                add()
+        add()
         yield _arrays({i: a.astype(np.uint64) for i, a in enumerate(total.reshape(-1, _SPAN)) if a.any()})
 
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,8 +281,7 @@ def _arrays(arrays: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(arrays), pa.int32()), pa.array([press.compress(a.tobytes()) for a in arrays.values()], pa.binary())], ["part", "z"])
 
 
-def _bin(x: np.ndarray) -> np.ndarray:
-    return np.clip(((x + 8) * (BINS / 16)).astype(np.int64), 0, BINS - 1)
+_ONE_OF = np.eye(LEVELS**2, dtype=np.float32)
 
 
 class Mixer:
@@ -275,27 +298,30 @@ class Mixer:
         cost = np.zeros(len(pairs.times))
         for a in range(0, len(cost) if lumps is None else min(len(cost), lumps * LUMP), LUMP):
             lump = slice(a, a + LUMP)
-            times = pairs.times[lump]
+            times = pairs.times[lump].astype(np.float32)
+            learnt = (times > 0).astype(np.int32) << 16
             for j, (node, at, bit) in enumerate(bits(pairs.grams[lump], pairs.prefixes[lump])):
-                cost[lump] += self._bit(j, node, self.slots.take(at), bit, times)
+                cost[lump] += self._bit(j, node, self.slots.take(at), bit, times, learnt)
         return cost
 
-    def _bit(self, j: int, node: np.ndarray, code: np.ndarray, bit: np.ndarray, times: np.ndarray) -> np.ndarray:
-        code = code.astype(np.int32) + np.where(times > 0, (bit + 1) << 16, 0).astype(np.int32)  # without the bit's own count, if it was counted
+    def _bit(self, j: int, node: np.ndarray, code: np.ndarray, bit: np.ndarray, times: np.ndarray, learnt: np.ndarray) -> np.ndarray:
+        code = code + learnt * (bit + 1)  # without the bit's own count, if it was counted
         odds = _ODDS.take(code)
-        gate = (_ORDER.take(code[-2]) * LEVELS + _WORD.take(code[-1])).astype(np.intp)
-        x = np.clip(np.einsum("kn,kn->n", odds, self.weights[j].T.astype(np.float32).take(gate, axis=1)), -11, 11)
+        gate = _ORDER.take(code[-2]) * LEVELS + _WORD.take(code[-1])
+        one = _ONE_OF.take(gate, axis=0)
+        x = np.einsum("kn,kn->n", odds, self.weights[j].T.astype(np.float32).take(gate, axis=1))
+        np.minimum(np.maximum(x, -11, out=x), 11, out=x)
         p = 1 / (1 + np.exp(-x))
-        cell = node * BINS + _bin(x)
+        cell = node * BINS + np.minimum(np.maximum(x * (BINS / 16) + BINS / 2, 0), BINS - 1).astype(np.int64)
         seen = self.refine.take(cell, axis=0)
-        q = np.clip((p + (seen[:, 1] + 4 * p) / (seen[:, 0] + seen[:, 1] + 4)) / 2, 1e-6, 1 - 1e-6)  # the mean of mixer and table
-        error = (bit - p) * times
-        whole = np.maximum(1, np.bincount(gate, times, LEVELS**2))
-        slope = np.stack([np.bincount(gate, error * o, LEVELS**2) for o in odds], axis=1) / whole[:, None]
+        q = (p + (seen[:, 1] + 4 * p) / (seen[:, 0] + seen[:, 1] + 4)) / 2  # the mean of mixer and table
+        np.minimum(np.maximum(q, 1e-6, out=q), 1 - 1e-6, out=q)
+        error = (bit - p).astype(np.float32) * times
+        slope = ((odds * error) @ one).T / np.maximum(1, times @ one)[:, None]
         self.square[j] += slope * slope
         self.weights[j] += 0.05 * slope / np.sqrt(self.square[j])
         self.refine += np.bincount(2 * cell + bit, times, 512 * BINS).reshape(-1, 2)
-        return -np.log2(np.where(bit == 1, q, 1 - q))
+        return -np.log2(np.abs(1 - bit - q))
 
 
 def word_counts(training: DataFrame) -> DataFrame:
