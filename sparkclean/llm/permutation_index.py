@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,21 +19,21 @@ from pyspark.sql import functions as F
 
 from ..storage import stage
 
-#: Pivots as a multiple of the square root of the vectors' number, at most; the sample is that of the smallest hashed ids.
-PIVOTS_BY_ROOT, MOST_PIVOTS = 2.26, 2048
-#: How many pivots are kept in order; in how many files a vector is posted; how many files a query reads; which share of
-#: what it reads it reranks.
-PREFIX, POSTED, READ, RERANKED = 96, 4, 96, 0.3
+#: Pivots as a multiple of the square root of the vectors' number, at most as many as 16 bits name; the sample is that of
+#: the smallest hashed ids.
+PIVOTS_BY_ROOT, MOST_PIVOTS = 2.26, 32_767
+#: How many pivots are kept in order; in how many files a vector is posted; which share of what it reads a query reranks.
+PREFIX, POSTED, RERANKED = 96, 4, 0.3
+#: How many files a query reads: this many times the pivots' number to this power, 96 of 229.
+READ, READ_POWER = 1.63, 0.75
 #: Postings and queries that meet in one piece.
 PIECE, QUERIES = 4096, 512
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows ``(vec_id, v)`` whose vector is not null, not zero, of the usual length and of finite components."""
+    """Rows ``(vec_id, v)`` whose vector is not null, not zero and of finite components."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    rows = rows.where(F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    return rows.where(F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
 
 
 def orders(pivots: np.ndarray, vectors: np.ndarray, prefix: int) -> np.ndarray:
@@ -42,9 +43,9 @@ def orders(pivots: np.ndarray, vectors: np.ndarray, prefix: int) -> np.ndarray:
     return np.take_along_axis(part, np.argsort(-np.take_along_axis(near, part, 1), axis=1, kind="stable"), 1).astype(np.int16)
 
 
-def footrule(positions: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Footrule distances of one query's pivot ``order`` to vectors given as ``positions`` of every pivot."""
-    return np.abs(positions[:, order] - np.arange(len(order), dtype=np.int8)).sum(axis=1, dtype=np.int16)
+def footrule(orders: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Footrule distances of vectors, given by their pivots in order, to a query, given by its rank of every pivot."""
+    return np.abs(rank[orders] - np.arange(orders.shape[1], dtype=np.int16)).sum(axis=1, dtype=np.int32)
 
 
 def _ordered(rows: DataFrame, pivots: np.ndarray, top: float, prefix: int) -> DataFrame:
@@ -65,7 +66,7 @@ def _ordered(rows: DataFrame, pivots: np.ndarray, top: float, prefix: int) -> Da
     return rows.mapInArrow(order, "vec_id long, v binary, o binary, files array<int>")
 
 
-def _meet(postings: DataFrame, queries: DataFrame, k: int, pivots: int, prefix: int, share: float) -> DataFrame:
+def _meet(postings: DataFrame, queries: DataFrame, k: int, pivots: int, share: float) -> DataFrame:
     """``(query_id, vec_id, score)``: each query's ``k`` best in each piece of the files it reads.
 
     ``postings`` and ``queries`` are ``(file, vec_id, v, o)``. A file is cut into pieces of about ``PIECE`` postings and
@@ -81,14 +82,15 @@ def _meet(postings: DataFrame, queries: DataFrame, k: int, pivots: int, prefix:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(own) and len(asked):
             ids, vectors = own["vec_id"].to_numpy(), np.frombuffer(b"".join(own["v"]), np.float64).reshape(len(own), -1)
-            positions = np.full((len(own), pivots), prefix, np.int8)
             places = np.frombuffer(b"".join(own["o"]), np.int16).reshape(len(own), -1)
-            np.put_along_axis(positions, places.astype(np.int64), np.arange(places.shape[1], dtype=np.int8)[None, :], 1)
             reranked = max(4 * k, math.ceil(share * len(own)))
             for query, v, order in zip(asked["vec_id"], asked["v"], asked["o"]):
                 best = np.arange(len(own))
                 if len(own) > reranked:
-                    best = np.argpartition(footrule(positions, np.frombuffer(order, np.int16)), reranked)[:reranked]
+                    order = np.frombuffer(order, np.int16)
+                    rank = np.full(pivots, len(order), np.int16)
+                    rank[order] = np.arange(len(order), dtype=np.int16)
+                    best = np.argpartition(footrule(places, rank), reranked)[:reranked]
                 best = best[ids[best] != query]
                 scores = (vectors[best] * np.frombuffer(v, np.float64)).sum(axis=1)
                 top = np.lexsort((ids[best], -scores))[:k]
@@ -101,32 +103,40 @@ def _meet(postings: DataFrame, queries: DataFrame, k: int, pivots: int, prefix:
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: search(a, b), "query_id long, vec_id long, score double")
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, by_root: float = PIVOTS_BY_ROOT, prefix: int = PREFIX, posted: int = POSTED, read: int = READ, share: float = RERANKED) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, by_root: float = PIVOTS_BY_ROOT, prefix: int = PREFIX, posted: int = POSTED, read: float = READ, share: float = RERANKED) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for rows whose id ``every`` divides, the ``k`` found of largest inner product.
 
     Every usable vector of ``vectors`` (``vec_id``, ``embedding``) is indexed; scores are exact, in double precision, ties
-    go to the smaller id, and a query is not its own neighbour. Vectors that are null, zero, of another length than most,
-    or that hold null or non-finite components take no part; equal rows count once. A query for which the files
-    hold fewer than ``k`` others is compared with all vectors. An empty table gives an empty result.
+    go to the smaller id, and a query is not its own neighbour. Vectors that are null, zero, or that hold null or
+    non-finite components take no part; vectors of one length are an index of their own, as products need equal lengths;
+    equal rows count once. A query for which the files hold fewer than ``k`` others is compared with all vectors of its
+    length. An empty table gives an empty result.
     """
     rows = stage(usable(vectors), "vectors")
+    nothing = rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
+    lengths = sorted(r["n"] for r in rows.select(F.size("v").alias("n")).distinct().collect())
+    found = [_nearest(rows.where(F.size("v") == n), k, every, by_root, prefix, posted, read, share) for n in lengths]
+    return reduce(DataFrame.unionByName, found, nothing) if len(found) != 1 else found[0]
+
+
+def _nearest(rows: DataFrame, k: int, every: int, by_root: float, prefix: int, posted: int, read: float, share: float) -> DataFrame:
+    """The same for usable vectors of one length, of which there is one at least."""
     facts = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).first()
-    top = math.sqrt(facts["square"] or 0.0)
+    top = math.sqrt(facts["square"])
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(MOST_PIVOTS, max(32, round(by_root * math.sqrt(facts["n"]))))).collect()
-    if not sample:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
     base = np.array([r["v"] for r in sample])
     pivots = np.concatenate([base, np.sqrt(np.maximum(0, top**2 - (base * base).sum(axis=1)))[:, None]], axis=1)
-    n, prefix = len(pivots), min(prefix, len(pivots), 127)
+    n, prefix = len(pivots), min(prefix, len(pivots))
+    files_read = math.ceil(read * n**READ_POWER)
     ordered = stage(_ordered(rows, pivots, top, prefix), "ordered")
-    queries = stage(ordered.where(F.col("vec_id") % every == 0), "queries")
-    files = lambda r, m: r.select(F.explode(F.slice("files", 1, min(m, prefix))).alias("file"), "vec_id", "v", "o")
-    found = stage(_meet(files(ordered, posted), files(queries, read), k, n, prefix, share).distinct(), "found")
+    queries = stage(_ordered(rows.where(F.col("vec_id") % every == 0), pivots, top, min(n, max(prefix, files_read))), "queries")
+    files = lambda r, m: r.select(F.explode(F.slice("files", 1, m)).alias("file"), "vec_id", "v", "o")
+    found = stage(_meet(files(ordered, posted), files(queries, files_read), k, n, share).distinct(), "found")
     full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
     short = stage(queries.join(full, "vec_id", "left_anti"), "short")
     if not short.isEmpty():
         one = lambda r: r.select(F.lit(0).alias("file"), "vec_id", "v", "o")
-        rest = _meet(one(ordered), one(short), k, n, prefix, 1.0)
+        rest = _meet(one(ordered), one(short), k, n, 1.0)
         found = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest.distinct())
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
