@@ -194,7 +194,7 @@ def one_of_each(docs: DataFrame, words: int = 3, limit: int = 3) -> DataFrame:
 
     All columns are kept; of repeated rows one stays.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    whole = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"), "text")
     rows = stage(fingerprints(whole, words).select("doc", "fp").withColumn("row", F.monotonically_increasing_id()), "rows")
     order = F.min(F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("doc_id"), "row"))
     first = _classes(rows, order, limit).groupBy("component").agg(F.min("least").alias("first"))

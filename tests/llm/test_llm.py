@@ -17,6 +17,8 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from sparkclean.llm import context_mixing, crf, html_text, licenses, packing, permutation_index, piece_scan, pii, quality, registry, simhash, suffix_dedup  # noqa: E402
 
+from test_near_copies import first_of_each  # noqa: E402
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and to in is that it was for on are as with they be at one have this from by hot word but what some we can out other were all there when up use your how said an each she".split()
 
@@ -55,15 +57,24 @@ def shown(df, *columns):
 # --- 1 ---
 
 
-def removed(rows, length):
+def gone_bytes(rows, length):
     texts = [(t or "").encode() for _, t, *_ in rows]
     counts = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
-    out = []
     for (doc_id, *_), t in zip(rows, texts):
         gone = np.zeros(len(t) + 1, bool)
         for i in range(len(t) - length + 1):
             if counts[t[i : i + length]] > 1:
                 gone[i : i + length] = True
+        yield doc_id, t, gone
+
+
+def remaining(rows, length):
+    return [(doc_id, bytes(b for b, g in zip(t, gone) if not g)) for doc_id, t, gone in gone_bytes(rows, length)]
+
+
+def removed(rows, length):
+    out = []
+    for doc_id, t, gone in gone_bytes(rows, length):
         runs = int((gone[:-1] & ~np.concatenate([[False], gone[:-2]])).sum()) if len(t) else 0
         out.append((doc_id, len(t), int(gone.sum()), runs, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()))
     return sorted(out, key=repr)
@@ -399,6 +410,36 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+WRAPPED = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */"""
+
+
+def test_wrapped_headers_gaps_and_more_licences(spark):
+    import textwrap
+
+    s = licenses.SENTENCES
+    wrap = lambda *parts: "\n".join("# " + line for line in textwrap.wrap(" ".join(p.capitalize() + "." for p in parts), 72))
+    apart = "Some other words stand here. " * 400
+    rows = [
+        (1, WRAPPED, "Apache-2.0"), (2, wrap(s["m03"], s["m04"], s["m05"]), "MIT"), (3, wrap(s["g02"], s["g04"], s["g05"]), "GPL-3.0-or-later"), (4, wrap(s["l01"]), "LGPL-2.1-or-later"), (5, wrap(s["i01"]), "ISC"),
+        (6, wrap(s["z01"], s["z02"], s["z03"]), "zlib"), (7, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy", "MPL-2.0"), (8, wrap(s["u01"]), "Unlicense"), (9, wrap(s["l03"]), "AGPL-3.0-or-later"),
+        (10, f"{s['m03']}.\n{apart}\n{s['m04']}.", ""), (11, f"{s['m03']}.\nA line. Another one.\n{s['m04']}.", "MIT"), (12, f"Short title\n{s['r01']}", "all-rights-reserved"), (13, "x" * 2_000_000 + "\n" + s["m01"], "MIT"), (14, ("word " * 9 + "\n") * 40_000, ""),
+    ]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {i: name for i, _, name in rows}
+
+
 def test_licenses_equal_sql(spark):
     import duckdb
 
@@ -453,13 +494,14 @@ def test_permutation_index(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(1500, 16)) * rng.uniform(0.5, 2, (1500, 1))
     rows = [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(base)]
-    rows += [(2000, None, 0), (2020, [0.0] * 16, 0), (2040, [float("nan")] * 16, 0), (2060, [1.0], 0), (2080, [None] * 16, 0), (2100, rows[0][1], 0), (2101, [float("inf")] * 16, 0), (None, rows[1][1], 0)]
+    rows += [(2000, None, 0), (2020, [0.0] * 16, 0), (2040, [float("nan")] * 16, 0), (2060, [1.0], 0), (2080, [None] * 16, 0), (2100, rows[0][1], 0), (2101, [float("inf")] * 16, 0), (None, rows[1][1], 0), (2061, [2.0], 0), (2063, [-1.0], 0)]
     got = permutation_index.nearest(clashing(vectors(spark, rows)))
     ok = [(i, np.array(v, np.float64)) for i, v, _ in rows if i is not None and (i < 1500 or i == 2100)]
     ids, e = np.array([i for i, _ in ok]), np.stack([v for _, v in ok])
     by_query: dict = {}
     for r in got.collect():
         by_query.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert sorted(by_query.pop(2060)) == [(1, 2061, 2.0), (2, 2063, -1.0)]  # vectors of one length are compared with each other
     hits = 0
     assert set(by_query) == {i for i in ids.tolist() if i % 20 == 0}
     for q, found in by_query.items():
@@ -587,10 +629,13 @@ def test_pipeline(spark, tmp_path):
     kept, single, cut, changed, packed = seen[1:]
     assert all(d.columns == pipeline.COLUMNS for d in (kept, single, cut, changed))
     rows = [tuple(r) for r in kept.select("doc_id", "text").collect()]
-    assert {r.doc_id for r in single.collect()} == {c for *_, c in components(rows)}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    whole = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+    model = quality.fitted([(t, labels[i] == 1) for i, t in whole if t is not None and labels.get(i) is not None and len(t) <= quality.SAMPLE_CHARS])
+    assert sorted(i for i, _ in rows) == [i for i, t in whole if quality.judge(t, model)[-1]]
+    assert sorted((r.doc_id for r in single.collect()), key=repr) == first_of_each(rows)
     before = [tuple(r) for r in single.select("doc_id", "text").collect()]
-    sizes = {d: n - g for d, n, g, *_ in removed(before, 200)}
-    assert all(sizes[r.doc_id] - 6 * 50 <= len(r.text.encode()) <= sizes[r.doc_id] for r in cut.collect()) and cut.count() == single.count()
+    assert sorted((r.doc_id, r.text) for r in cut.collect()) == sorted((i, rest.decode("utf-8", "ignore")) for i, rest in remaining(before, 200))
     assert changed.count() == cut.count() and not any("@mail" in r.text and ".example.com" in r.text for r in changed.collect())
     assert packed.agg(F.sum("length")).first()[0] == packed.where("start = 0").agg(F.sum("doc_tokens")).first()[0] and packed.select("doc_id").distinct().count() == changed.count()
     assert pipeline.run(spark, data).count() == packed.count()
