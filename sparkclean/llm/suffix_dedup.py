@@ -2,9 +2,10 @@
 
 Every window of ``length`` bytes names one anchor, the smallest hashed gram inside it, so equal windows name equal
 anchors at the same place. Windows of one anchor that follow each other form a stretch of text. Equal stretches of an
-anchor are one, which stands twice in its block if it occurs more than once. The stretches of all anchors that occur
+anchor are one, marked as doubled if it occurs more than once. The stretches of all anchors that occur
 again meet in blocks, whose suffix array and transform are built; breadth-first backward extension of intervals yields
-the common prefix lengths by increasing value and stops at ``length``: what has no value by then repeats. An anchor of
+the common prefix lengths by increasing value and stops at ``length``: what has no value by then repeats, and so does
+a suffix of a doubled stretch, whose twin would stand beside it at full length. An anchor of
 very many stretches is split by further anchors of its windows, each by a hash of its own, into groups of its own.
 """
 
@@ -126,8 +127,11 @@ def suffix_array(joined: np.ndarray, is_mark: np.ndarray) -> np.ndarray:
         size *= 2
 
 
-def repeated_starts(texts: list[bytes], length: int = LENGTH) -> np.ndarray:
-    """Marks the positions of the joined ``texts``, an end mark after each, whose ``length`` bytes start elsewhere too."""
+def repeated_starts(texts: list[bytes], length: int = LENGTH, doubled: list[bool] | None = None) -> np.ndarray:
+    """Marks the positions of the joined ``texts``, an end mark after each, whose ``length`` bytes start elsewhere too.
+
+    A ``doubled`` text counts as if it stood there twice.
+    """
     joined = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     marks = np.cumsum(sizes + 1) - 1
@@ -157,16 +161,19 @@ def repeated_starts(texts: list[bytes], length: int = LENGTH) -> np.ndarray:
     for _ in range(1, length):
         if not len(lo):
             break
-        sizes = hi - lo + 1
-        ends = np.cumsum(sizes)
-        inside = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(lo, sizes)
-        new_lo = np.sort(step[inside[left[inside] < np.repeat(lo, sizes)]])
-        new_hi = np.sort(step[inside[right[inside] > np.repeat(hi, sizes)]])
+        wide = hi - lo + 1
+        ends = np.cumsum(wide)
+        low = np.repeat(lo, wide)
+        inside = np.arange(ends[-1]) - np.repeat(ends - wide, wide) + low
+        new_lo = np.sort(step[inside[left[inside] < low]])
+        new_hi = np.sort(step[inside[right[inside] > np.repeat(hi, wide)]])
         found = unknown[new_hi + 1]
         lo, hi = new_lo[found], new_hi[found]
         unknown[hi + 1] = False
     repeated = np.zeros(n, bool)
     repeated[order] = unknown[:-1] | unknown[1:]
+    for k in np.flatnonzero(doubled) if doubled else ():  # the twin's common prefix ends with the text
+        repeated[marks[k] - sizes[k] : max(marks[k] - sizes[k], marks[k] - length + 1)] = True
     return repeated
 
 
@@ -250,7 +257,7 @@ def _by_transform(texts: DataFrame, length: int) -> DataFrame:
     """``(anchor, stretch, spans)``: the ranges of windows in each stretch that start elsewhere too."""
 
     def expand(held: list[tuple]) -> pa.RecordBatch:
-        repeated = repeated_starts([t for *_, t in held] + [t for *_, n, t in held if n > 1], length)
+        repeated = repeated_starts([t for *_, t in held], length, [n > 1 for *_, n, _ in held])
         spans, at = [], 0
         for *_, t in held:
             spans.append([{"a": a, "b": b} for a, b in _spans(repeated[at : at + len(t) - length + 1])])
@@ -265,7 +272,7 @@ def _by_transform(texts: DataFrame, length: int) -> DataFrame:
                     yield expand(held)
                     held, size = [], 0
                 held.append(item)
-                size += len(item[3]) * (2 if item[2] > 1 else 1)
+                size += len(item[3])
         if held:
             yield expand(held)
 

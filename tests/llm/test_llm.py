@@ -99,6 +99,12 @@ def test_repeated_starts():
         counts = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
         want = [counts[t[i : i + n]] > 1 if i + n <= len(t) else False for t in texts for i in range(len(t) + 1)]
         assert suffix_dedup.repeated_starts(texts, n).tolist() == want
+        twice = [rng.random() < 0.3 for _ in texts]
+        for t, d in zip(texts, twice):
+            counts.update([t[i : i + n] for i in range(len(t) - n + 1)] if d else [])
+        want = [counts[t[i : i + n]] > 1 if i + n <= len(t) else False for t in texts for i in range(len(t) + 1)]
+        both = suffix_dedup.repeated_starts(texts + [t for t, d in zip(texts, twice) if d], n)[: len(want)]
+        assert both.tolist() == want and suffix_dedup.repeated_starts(texts, n, twice).tolist() == want
 
 
 # --- 2 ---
