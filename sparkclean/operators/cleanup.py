@@ -27,7 +27,7 @@ def revalidate(selection: DataFrame, live: DataFrame) -> DataFrame:
 def permitted(selection: DataFrame, grants: DataFrame) -> DataFrame:
     """The selection with ``is_permitted``: whether its domain may be changed; a domain without a grant may not."""
     usable = grants.groupBy("domain").agg(F.bool_and("usable").alias("_usable"))
-    return selection.withColumn("domain", domain_of()).join(F.broadcast(usable), "domain", "left").withColumn("is_permitted", F.coalesce("_usable", F.lit(False))).drop("_usable")
+    return selection.withColumn("domain", domain_of()).join(usable, "domain", "left").withColumn("is_permitted", F.coalesce("_usable", F.lit(False))).drop("_usable")
 
 
 def plan(selection: DataFrame, live: DataFrame, grants: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def execute(planned: DataFrame, outcomes: DataFrame, errors: DataFrame | None =
     if errors is None:
         rows = rows.withColumn("_error", F.lit(None).cast("string"))
     else:
-        rows = rows.join(F.broadcast(errors.groupBy("domain").agg(F.min("error").alias("_error"))), "domain", "left")
+        rows = rows.join(errors.groupBy("domain").agg(F.min("error").alias("_error")), "domain", "left")
     done = F.coalesce("_said", F.lit(False)) & F.col("_error").isNull()
     return rows.select("domain", "item_id", done.alias("confirmed"), F.when(~done, "frameworkError").alias("reason"), F.when(~done, F.coalesce("_error", F.lit(NOT_CONFIRMED))).alias("detail"))
 

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import block_letter, display_name, email_local_part, field_count, name_score, normalize_email, normalize_phone, phone_last10
+from ..storage import stage
 from .components import connected_components
 
+#: What a group says of itself: fixed values.
+LARGE = "Large group of ", " — shared contact info may indicate a shared line, not duplicate people. Review carefully."
+SURE, LIKELY = "Same phone number or email address", "Similar name with a related phone number or email"
 NAME_LIMIT, TRUSTED = 0.90, 8
 
 
@@ -70,20 +74,41 @@ def probable_edges(contacts: DataFrame, name_limit: float = NAME_LIMIT) -> DataF
     return pairs.join(exact_edges(contacts), ["u", "v"], "left_anti")
 
 
+def probable_links(contacts: DataFrame, name_limit: float = NAME_LIMIT) -> DataFrame:
+    """Edges that join the same groups as the exact and the probable ones together, without listing every pair.
+
+    Contacts of one weak key, block letter and name are one class; its smallest contact is linked with the others and,
+    if the names score enough, with those of other classes of the key and letter. Where two classes have only one full
+    form between them, an exact edge joins them anyway.
+    """
+    facts = contacts.select("contact_id", display_name(F.col("given"), F.col("family")).alias("name"), block_letter(F.col("given"), F.col("family")).alias("letter"))
+    phones = contacts.select("contact_id", F.explode("phones").alias("full")).withColumn("key", phone_last10(F.col("full")))
+    emails = contacts.select("contact_id", F.explode("emails").alias("full")).withColumn("key", email_local_part(F.col("full")))
+    keyed = phones.withColumn("of", F.lit("phone")).union(emails.withColumn("of", F.lit("email"))).where("key is not null")
+    weak = keyed.groupBy("of", "key").agg(F.min("full").alias("least"), F.max("full").alias("most")).where("least <> most").select("of", "key")
+    keyed = stage(keyed.join(weak, ["of", "key"]).join(facts, "contact_id").select("of", "key", "letter", "name", "contact_id").distinct(), "weak")
+    block = ["of", "key", "letter"]
+    heads = stage(keyed.groupBy(*block, "name").agg(F.min("contact_id").alias("head")), "heads")
+    inside = keyed.join(heads, [*block, "name"]).where("contact_id <> head").select(F.col("head").alias("u"), F.col("contact_id").alias("v"))
+    others = heads.select(*block, F.col("name").alias("other_name"), F.col("head").alias("other"))
+    across = heads.join(others, block).where((F.col("name") < F.col("other_name")) & (name_score(F.col("name"), F.col("other_name")) >= name_limit) & (F.col("head") != F.col("other")))
+    return inside.union(across.select(F.least("head", "other"), F.greatest("head", "other"))).distinct()
+
+
 def link_contacts(contacts: DataFrame, name_limit: float = NAME_LIMIT, trusted: int = TRUSTED) -> tuple[DataFrame, DataFrame]:
     """Groups ``(group_id, tier, confidence, match_reason, recommended_primary, n_members)`` and ``(group_id, contact_id)``."""
-    exact = exact_edges(contacts)
-    edges = exact.withColumn("exact", F.lit(True)).union(probable_edges(contacts, name_limit).withColumn("exact", F.lit(False)))
+    edges = exact_edges(contacts).withColumn("exact", F.lit(True)).union(probable_links(contacts, name_limit).withColumn("exact", F.lit(False)))
+    edges = stage(edges, "links")
     members = connected_components(edges.select("u", "v")).select(F.col("component").alias("group_id"), F.col("node").alias("contact_id"))
     has_exact = edges.join(members, F.col("u") == F.col("contact_id")).groupBy("group_id").agg(F.bool_or("exact").alias("exact"))
     facts = members.join(contacts.select("contact_id", "field_count"), "contact_id")
     groups = facts.groupBy("group_id").agg(F.count("*").alias("n_members"), F.min(F.struct(-F.col("field_count"), F.col("contact_id").alias("item")))["item"].alias("recommended_primary"))
     groups = groups.join(has_exact, "group_id")
     large, sure = F.col("n_members") > trusted, F.col("exact")
-    shared = F.concat(F.lit("Large group of "), F.col("n_members").cast("string"), F.lit(" — shared contact info may indicate a shared line, not duplicate people. Review carefully."))
+    shared = F.concat(F.lit(LARGE[0]), F.col("n_members").cast("string"), F.lit(LARGE[1]))
     return groups.select(
         "group_id", F.when(~large & sure, "exact").otherwise("probable").alias("tier"), F.when(large, 0.375).when(sure, 1.0).otherwise(0.75).alias("confidence"),
-        F.when(large, shared).when(sure, "Same phone number or email address").otherwise("Similar name with a related phone number or email").alias("match_reason"),
+        F.when(large, shared).when(sure, SURE).otherwise(LIKELY).alias("match_reason"),
         "recommended_primary", "n_members",
     ), members
 

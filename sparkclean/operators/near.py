@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +37,15 @@ def similarity_candidates(assets: DataFrame, exact_members: DataFrame | None = N
 def close_hashes(hashes: DataFrame, keys: list[str], limit: int = 5) -> DataFrame:
     """``(keys, a, b, distance, n_a, n_b)``: pairs of different hashes within ``limit`` bits under the same keys.
 
-    Equal hashes are one row with a count before anything is compared. ``limit`` + 1 bands of bits leave at least one
-    band equal, so an equality join on a band misses no pair.
+    Equal hashes are one row with a count before anything is compared. Of ``limit`` + 2 blocks of bits at least two are
+    equal in such a pair, so an equality join on each pair of blocks misses none.
     """
     distinct = hashes.where("phash is not null").groupBy(*keys, "phash").agg(F.count("*").alias("n"))
-    edges = [round(i * 64 / (limit + 1)) for i in range(limit + 2)]
-    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("phash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
+    edges = [round(i * 64 / (limit + 2)) for i in range(limit + 3)]
+    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    both = [signed(x | y) for x, y in combinations(masks, 2)]
+    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.col("phash").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(both)])
     banded = distinct.withColumn("band", F.explode(bands))
     left = banded.select(*keys, "band", F.col("phash").alias("a"), F.col("n").alias("n_a"))
     right = banded.select(*keys, "band", F.col("phash").alias("b"), F.col("n").alias("n_b"))
@@ -48,17 +54,18 @@ def close_hashes(hashes: DataFrame, keys: list[str], limit: int = 5) -> DataFram
 
 
 def similar_pairs(hashed: DataFrame, keys: list[str], limit: int = 5) -> DataFrame:
-    """All pairs ``(left_id, right_id, distance)`` of rows within ``limit`` bits under the same keys, smaller id first.
+    """``(left_id, right_id, distance)``: links that stand for all pairs of rows within ``limit`` bits under the same keys.
 
-    This lists the pairs themselves, as many as there are; grouping uses stars of equal hashes instead.
+    Rows of an equal hash are one class, named by its smallest id: that id is linked with each other row of the class, at
+    distance 0, and with the ids of close classes. Every pair is a pair of two linked or equal classes.
     """
-    close = close_hashes(hashed, keys, limit).select(*keys, "a", "b", "distance")
-    own = hashed.where("phash is not null").select(*keys, "asset_id", "phash")
-    other = own.withColumnRenamed("asset_id", "other_id")
-    across = own.withColumnRenamed("phash", "a").join(close, [*keys, "a"]).join(other.withColumnRenamed("phash", "b"), [*keys, "b"])
-    equal = own.join(other, [*keys, "phash"]).where("asset_id < other_id").select("asset_id", "other_id", F.lit(0).alias("distance"))
-    found = across.select("asset_id", "other_id", "distance").union(equal)
-    return found.select(F.least("asset_id", "other_id").alias("left_id"), F.greatest("asset_id", "other_id").alias("right_id"), "distance")
+    own = stage(hashed.where("phash is not null").select(*keys, "asset_id", "phash"), "hashes")
+    heads = own.groupBy(*keys, "phash").agg(F.min("asset_id").alias("head"))
+    head_of = lambda c: heads.select(*keys, F.col("phash").alias(c), F.col("head").alias(f"{c}_head"))
+    close = close_hashes(own, keys, limit).join(head_of("a"), [*keys, "a"]).join(head_of("b"), [*keys, "b"])
+    across = close.select(F.least("a_head", "b_head").alias("left_id"), F.greatest("a_head", "b_head").alias("right_id"), "distance")
+    inside = own.join(heads, [*keys, "phash"]).where("asset_id <> head").select(F.col("head").alias("left_id"), F.col("asset_id").alias("right_id"), F.lit(0).alias("distance"))
+    return across.union(inside)
 
 
 def hash_groups(hashed: DataFrame, keys: list[str], limit: int = 5) -> DataFrame:
@@ -80,13 +87,16 @@ def hash_groups(hashed: DataFrame, keys: list[str], limit: int = 5) -> DataFrame
     return own.join(grouped.select(*keys, "phash", "group_id"), [*keys, "phash"]).join(sums, "group_id").select("group_id", "asset_id", "confidence")
 
 
-def similar_groups(assets: DataFrame, hashes: DataFrame, signals: DataFrame, exact_members: DataFrame | None = None, gap_s: int = 120, limit: int = 5) -> DataFrame:
+def similar_groups(assets: DataFrame, hashes: DataFrame, signals: DataFrame | Callable[[DataFrame], DataFrame], exact_members: DataFrame | None = None, gap_s: int = 120, limit: int = 5) -> DataFrame:
     """Groups of similar assets taken close together in time, with scores and the recommended keep.
 
     Columns: ``group_id, asset_id, confidence, kind, total, reason, recommended_keep``. ``hashes`` is ``(asset_id,
-    phash)``; assets without a hash drop out. Signals are read for members only.
+    phash)``; assets without a hash drop out. ``signals`` may be a function of the members' ``asset_id``s, so that
+    signals are worked out for members only.
     """
     placed = sessions_of_two(similarity_candidates(assets, exact_members).select("library_id", "asset_id", "creation_ts"), "creation_ts", ["library_id"], gap_s)
     groups = hash_groups(placed.join(hashes, "asset_id"), ["library_id", "session_start"], limit)
-    judged = scored(stage(weighted(stage(groups, "groups").join(signals, "asset_id")), "scores"))
+    groups = stage(groups, "groups")
+    known = signals(groups.select("asset_id")) if callable(signals) else signals
+    judged = scored(stage(weighted(groups.join(known, "asset_id")), "scores"))
     return judged.select("group_id", "asset_id", "confidence", F.lit("similar").alias("kind"), "total", "reason", "recommended_keep")

@@ -54,27 +54,33 @@ def replay(log: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
     """``(group_id, asset_id, selected)`` after a log of ``(seq, group_id, item_id, op)``.
 
     ``select_all`` and ``deselect_all`` reset a group, ``set_keep`` makes a member the keep and clears it, ``toggle``
-    flips a member unless it is the keep then. What names no member is ignored. Events meet members by the member
-    they name; resets and keeps, which are few for each group, reach all its members. A group without a keep
+    flips a member unless it is the keep then. What names no member is ignored. A group without a keep
     (``recommended_keep`` null) lets every member toggle.
+
+    Only a group's last reset and a member's own last ``set_keep`` matter: what was toggled before the later of the two
+    is undone, and until the group's next ``set_keep`` the member is the keep. So each event meets one member, and
+    members meet one row of their group.
     """
-    events = log.join(members.select("group_id", F.col("asset_id").alias("item_id")), ["group_id", "item_id"], "left_semi").unionByName(log.where("op in ('select_all', 'deselect_all')").select(*log.columns))
-    shared = events.where("op <> 'toggle'").select("group_id", "seq", "op", "item_id")
-    spread = members.select("group_id", "asset_id").join(shared, "group_id")
-    own = events.where("op = 'toggle'").select("group_id", F.col("item_id").alias("asset_id"), "seq", "op", "item_id")
-    line = spread.select("group_id", "asset_id", "seq", "op", "item_id").union(own.select("group_id", "asset_id", "seq", "op", "item_id"))
-    line = line.join(groups.select("group_id", "recommended_keep"), "group_id")
-    order = Window.partitionBy("group_id", "asset_id").orderBy("seq")
-    mine = F.col("item_id") == F.col("asset_id")
-    keep_event = F.when(F.col("op") == "set_keep", F.col("item_id"))
-    line = line.withColumn("keep", F.coalesce(F.last(keep_event, ignorenulls=True).over(order), F.col("recommended_keep")))
-    reset = F.when(F.col("op") == "select_all", F.col("asset_id") != F.coalesce("keep", F.lit(""))).when(F.col("op") == "deselect_all", F.lit(False)).when((F.col("op") == "set_keep") & mine, F.lit(False))
-    line = line.withColumn("reset", reset).withColumn("phase", F.sum(F.when(F.col("reset").isNotNull(), 1).otherwise(0)).over(order))
-    flips = F.when((F.col("op") == "toggle") & (F.coalesce("keep", F.lit("")) != F.col("asset_id")), 1).otherwise(0)
-    phases = line.groupBy("group_id", "asset_id", "phase").agg(F.bool_or("reset").alias("base"), F.sum(flips).alias("flips"))
-    last = phases.groupBy("group_id", "asset_id").agg(F.max(F.struct("phase", F.coalesce("base", F.lit(False)).alias("base"), "flips")).alias("s"))
-    state = last.select("group_id", "asset_id", (F.col("s.base") != (F.col("s.flips") % 2 == 1)).alias("selected"))
-    return members.select("group_id", "asset_id").join(state, ["group_id", "asset_id"], "left").select("group_id", "asset_id", F.coalesce("selected", F.lit(False)).alias("selected"))
+    named = log.join(members.select("group_id", F.col("asset_id").alias("item_id")), ["group_id", "item_id"], "left_semi")
+    resets = log.where("op in ('select_all', 'deselect_all')").groupBy("group_id").agg(F.max(F.struct("seq", "op")).alias("reset"))
+    keeps = named.where("op = 'set_keep'").select("group_id", "item_id", "seq")
+    keeps = keeps.withColumn("until", F.lead("seq").over(Window.partitionBy("group_id").orderBy("seq")))
+    first = keeps.groupBy("group_id").agg(F.min("seq").alias("first"))
+    own = keeps.groupBy("group_id", F.col("item_id").alias("asset_id")).agg(F.max(F.struct("seq", "until")).alias("own"))
+    facts = members.select("group_id", "asset_id").join(groups.select("group_id", "recommended_keep"), "group_id", "left")
+    facts = facts.join(resets, "group_id", "left").join(first, "group_id", "left").join(own, ["group_id", "asset_id"], "left")
+    recommended = F.coalesce(F.col("recommended_keep") == F.col("asset_id"), F.lit(False))
+    kept = F.col("own").isNotNull() | recommended
+    until = F.when(F.col("own").isNotNull(), F.col("own.until")).otherwise(F.col("first"))  # null: to the end of the log
+    facts = facts.select(
+        "group_id", "asset_id", F.greatest("reset.seq", "own.seq").alias("since"), kept.alias("kept"), until.alias("until"), F.col("reset.op").alias("op"), F.col("reset.seq").alias("at"), F.col("own.seq").alias("own_at"),
+    )
+    is_keep = lambda seq: F.col("kept") & (F.col("until").isNull() | (F.col("until") > seq))
+    toggles = named.where("op = 'toggle'").select("group_id", F.col("item_id").alias("asset_id"), "seq").join(facts, ["group_id", "asset_id"])
+    flips = toggles.where((F.col("since").isNull() | (F.col("seq") > F.col("since"))) & ~is_keep(F.col("seq"))).groupBy("group_id", "asset_id").agg(F.count("*").alias("flips"))
+    cleared = F.coalesce(F.col("own_at") > F.col("at"), F.lit(False))
+    base = F.coalesce(F.col("op") == "select_all", F.lit(False)) & ~cleared & ~is_keep(F.col("at"))
+    return facts.join(flips, ["group_id", "asset_id"], "left").select("group_id", "asset_id", (base != (F.coalesce("flips", F.lit(0)) % 2 == 1)).alias("selected"))
 
 
 def ranked(rows: DataFrame, item: str, *order: Column) -> DataFrame:

@@ -45,31 +45,36 @@ def contacts_raw(spark: SparkSession, d: str) -> DataFrame:
         padded("k").alias("contact_id"), F.expr("case when m = 8 then concat(if(b % 97 = 0, '', f), ',') when b % 97 = 0 then '' else g end").alias("given"),
         F.expr("case when b % 97 = 0 then '' when m = 8 then g else f end").alias("family"),
         F.array(F.expr(f"case when k % 100 = 9 then '(555) 000-0000' when m = 2 then concat('+1 ', {number}) when m = 3 then concat('+44 ', {number}) else {number} end")).alias("phones"),
-        F.expr("case when m in (4, 6) then array(concat('User', b, '@a.example')) when m in (5, 8) then array(concat('user', b, '@b.example')) else cast(array() as array<string>) end").alias("emails"),
+        F.expr("case when m in (4, 6) then array(concat('User', b, '@a.example')) when m in (5, 8) then array(concat('user', b, '@b.example')) when m = 7 then array(concat(' USER', b, '@A.example')) else cast(array() as array<string>) end").alias("emails"),
         F.expr("k % 2 = 0").alias("has_image"), "k",
     )
 
 
-def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"[ \t\n\r]+")).alias("token")).where("token <> ''")
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[ \t\n\r]+"), lambda w: w != "")
 
 
 def hashes(spark: SparkSession, d: str) -> DataFrame:
-    """``(asset_id, phash)``: the difference hash of an 8 x 9 grid of token counts."""
-    cell = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 4), 16, 10).cast("int") % 72
-    counts = _tokens(spark, d).groupBy("doc_id", cell.alias("cell")).agg(F.count("*").alias("n"))
-    cells = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("cells"))  # 72 cells at most
-    grid = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.sequence(F.lit(0), F.lit(8)), lambda c: F.coalesce(F.try_element_at("cells", (r * 9 + c).cast("int")), F.lit(0))))
-    return cells.select(padded("doc_id").alias("asset_id"), dhash(grid).alias("phash"))
-
-
-def signals(spark: SparkSession, d: str) -> DataFrame:
-    """``(asset_id, resolution, sharpness, exposure, byte_size, group_id)``."""
-    distinct = _tokens(spark, d).groupBy("doc_id").agg(F.countDistinct("token").cast("double").alias("sharpness"))
-    docs = table(spark, d, "documents")
+    """``(asset_id, phash)``: the difference hash of an 8 x 9 grid of word counts; a text without words has none.
+
+    Each word's cell is one character of a string, in which a cell's words are counted by length, all inside the row.
+    """
+    cell = lambda w: F.char(F.lit(48) + F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int") % 72)
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  a filter on the hash must not repeat what is below it
+    rows = table(spark, d, "documents").select("doc_id", once(F.array_join(F.transform(_words(F.col("text")), cell), "")).alias("cells")).where("cells <> ''")
+    count = lambda k: F.length("cells") - F.length(F.replace(F.col("cells"), F.char(F.lit(48) + k), F.lit("")))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.sequence(F.lit(0), F.lit(8)), lambda c: count(r * 9 + c)))
+    return rows.select("doc_id", once(grid).alias("grid")).select(padded("doc_id").alias("asset_id"), dhash(F.col("grid")).alias("phash"))
+
+
+def signals(spark: SparkSession, d: str, members: DataFrame | None = None) -> DataFrame:
+    """``(asset_id, resolution, sharpness, exposure, byte_size, group_id)``, of ``members`` (``asset_id``) or of all."""
+    docs = table(spark, d, "documents").withColumn("asset_id", padded("doc_id"))
+    if members is not None:
+        docs = docs.join(members, "asset_id", "left_semi")
     exposure = F.round(1 - F.length(F.regexp_replace("text", r"\p{L}", "")) / F.greatest(F.length("text"), F.lit(1)), 12)
-    return docs.join(distinct, "doc_id", "left").select(
-        padded("doc_id").alias("asset_id"), F.col("n_chars").cast("double").alias("resolution"), F.coalesce("sharpness", F.lit(0.0)).alias("sharpness"),
+    return docs.select(
+        "asset_id", F.col("n_chars").cast("double").alias("resolution"), F.coalesce(F.size(F.array_distinct(_words(F.col("text")))).cast("double"), F.lit(0.0)).alias("sharpness"),
         exposure.alias("exposure"), F.octet_length("text").cast("long").alias("byte_size"), F.concat("lang", F.lit("-"), (F.col("doc_id") % 40).cast("string")).alias("group_id"),
     )
 
@@ -98,25 +103,25 @@ def everything(spark: SparkSession, d: str) -> DataFrame:
     return whole
 
 
-def selection(spark: SparkSession, d: str) -> DataFrame:
-    return everything(spark, d).where("n % 5 = 0").select("category", "item_id", "byte_size")
+def selection(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    return (rows or everything(spark, d)).where("n % 5 = 0").select("category", "item_id", "byte_size")
 
 
-def live(spark: SparkSession, d: str) -> DataFrame:
-    return everything(spark, d).where("n % 11 <> 0").select("item_id").distinct()
+def live(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    return (rows or everything(spark, d)).where("n % 11 <> 0").select("item_id").distinct()
 
 
-def outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return everything(spark, d).select("item_id", (F.col("n") % 23 != 0).alias("confirmed")).distinct()
+def outcomes(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    return (rows or everything(spark, d)).select("item_id", (F.col("n") % 23 != 0).alias("confirmed")).distinct()
 
 
 def grants(spark: SparkSession, d: str, contacts: bool = False) -> DataFrame:
     return spark.createDataFrame([("media", True), ("contacts", contacts)], "domain string, usable boolean")
 
 
-def capacity(spark: SparkSession, d: str) -> DataFrame:
+def capacity(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
     """Capacity before and after, from the sizes of all items."""
-    total = everything(spark, d).agg(F.sum("byte_size").alias("b"))
+    total = (rows or everything(spark, d)).agg(F.sum("byte_size").alias("b"))
     return total.select(F.lit("before").alias("phase"), (F.col("b") * 2).alias("total"), F.col("b").alias("available")).union(total.select(F.lit("after"), F.col("b") * 2, F.col("b") + 12345))
 
 
@@ -127,7 +132,7 @@ def selection_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_grids(spark: SparkSession, d: str) -> DataFrame:
-    """``(asset_id, grid)``: 8 x 8 brightness values from each embedding."""
+    """``(asset_id, grid)``: 8 x 8 brightness values from each embedding of 64 components; others make no such grid."""
     value = lambda v: F.floor((v.cast("double") + 0.5) * 255).cast("int")
     e = table(spark, d, "embeddings").where("size(embedding) = 64")
     return e.select(padded("vec_id").alias("asset_id"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.slice("embedding", r * 8 + 1, 8), value)).alias("grid"))
@@ -143,7 +148,7 @@ SQL = {
     "contacts_1": f"""SELECT *, {GIVEN}[CAST(b % 7 AS INT) + 1] AS g, {FAMILY}[CAST((b // 7) % 5 AS INT) + 1] AS f, '555-' || lpad(CAST(CASE WHEN m IN (1, 3) THEN b ELSE k END AS VARCHAR), 7, '0') AS num FROM contacts_0""",
     "contacts_raw": """SELECT lpad(CAST(k AS VARCHAR), 12, '0') AS contact_id, CASE WHEN m = 8 THEN CASE WHEN b % 97 = 0 THEN '' ELSE f END || ',' WHEN b % 97 = 0 THEN '' ELSE g END AS given, CASE WHEN b % 97 = 0 THEN '' WHEN m = 8 THEN g ELSE f END AS family,
  CASE WHEN k % 100 = 9 THEN '(555) 000-0000' WHEN m = 2 THEN '+1 ' || num WHEN m = 3 THEN '+44 ' || num ELSE num END AS phone,
- CASE WHEN m IN (4, 6) THEN 'User' || b || '@a.example' WHEN m IN (5, 8) THEN 'user' || b || '@b.example' END AS email, k % 2 = 0 AS has_image, k FROM contacts_1""",
+ CASE WHEN m IN (4, 6) THEN 'User' || b || '@a.example' WHEN m IN (5, 8) THEN 'user' || b || '@b.example' WHEN m = 7 THEN ' USER' || b || '@A.example' END AS email, k % 2 = 0 AS has_image, k FROM contacts_1""",
     "contacts": r"""SELECT contact_id, given, family, CASE WHEN trim(phone) LIKE '+%' THEN '+' ELSE '' END || regexp_replace(phone, '[^\p{N}]', '', 'g') AS phone, lower(trim(email)) AS email,
  CAST(given <> '' AS INT) + CAST(family <> '' AS INT) + 1 + CAST(email IS NOT NULL AS INT) + CAST(has_image AS INT) AS field_count,
  CASE WHEN given = '' AND family = '' THEN '(No Name)' ELSE trim(given || ' ' || family) END AS name, CASE WHEN family <> '' THEN lower(family[1]) WHEN given <> '' THEN lower(given[1]) ELSE '#' END AS letter, k FROM contacts_raw""",

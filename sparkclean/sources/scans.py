@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import committed, remove
+
 #: Version of the snapshot layout; another version is not read.
 SCHEMA_VERSION = 1
 _TYPES = ["photo", "fullSizePhoto", "video", "fullSizeVideo"]
@@ -57,13 +64,48 @@ def in_scope(assets: DataFrame, granted: DataFrame | None = None) -> DataFrame:
 
 
 def save_snapshot(rows: DataFrame, path: str, columns: list[str], version: int = SCHEMA_VERSION) -> None:
-    """Replace the snapshot at ``path`` by the named columns, marked with the layout's version."""
-    rows.select(*columns).withColumn("schema_version", F.lit(version)).write.mode("overwrite").parquet(path)
+    """Replace the snapshot at ``path`` by the named columns, marked with the layout's version.
+
+    The rows are written to a folder of their own beside the old ones, which counts from its commit on; then the old
+    ones go. A job that dies on the way leaves the old snapshot in place.
+    """
+    spark = rows.sparkSession
+    old = committed(spark, path)
+    rows.select(*columns).withColumn("schema_version", F.lit(version)).write.parquet(f"{path}/{time.time_ns():020}-{uuid.uuid4().hex}")
+    for folder in old:
+        remove(spark, folder)
 
 
 def load_snapshot(spark: SparkSession, path: str, schema: str, version: int = SCHEMA_VERSION) -> DataFrame:
-    """The snapshot's rows; none if its version is another, so that a full scan follows."""
-    return spark.read.schema(f"{schema}, schema_version int").parquet(path).where(F.col("schema_version") == version).drop("schema_version")
+    """The snapshot's rows; none if it is missing, unreadable or of another version, so that a full scan follows."""
+    nothing = spark.createDataFrame([], schema)
+    try:
+        folder = committed(spark, path)[-1]
+        there = spark.read.option("mergeSchema", "true").parquet(folder).columns  # looks at every file's footer
+    except (IndexError, PySparkException, Py4JError):
+        return nothing
+    if not {*nothing.columns, "schema_version"} <= set(there):
+        return nothing
+    return spark.read.schema(f"{schema}, schema_version int").parquet(folder).where(F.col("schema_version") == version).drop("schema_version")
+
+
+def drop_snapshot(spark: SparkSession, path: str) -> bool:
+    """Delete the snapshot; False if there was none."""
+    return remove(spark, path)
+
+
+def source_lines(spark: SparkSession, folder: str, extensions: list[str], skipped: list[str] | None = None) -> DataFrame:
+    """``(item, lineno, line)`` of all files under ``folder`` with one of the ``extensions``, but for ``skipped`` folder names.
+
+    ``item`` is the path below ``folder``.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    top = folder.rstrip("/").split("://")[-1].split("/", 1)[-1]
+    files = files.withColumn("item", F.regexp_replace(F.url_decode(F.substring_index("path", f"/{top}/", -1)), "^/+", ""))
+    on = F.lower(F.regexp_extract("item", r"\.([^./]+)$", 1)).isin([e.lower().lstrip(".") for e in extensions])
+    for name in skipped or []:
+        on &= ~F.array_contains(F.slice(F.split("item", "/"), 1, F.greatest(F.size(F.split("item", "/")) - 1, F.lit(0))), name)
+    return files.where(on).select("item", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("pos", "line")).select("item", (F.col("pos") + 1).alias("lineno"), "line")
 
 
 def apply_deletes(live: DataFrame, requested: DataFrame, item: str = "asset_id") -> tuple[DataFrame, DataFrame]:

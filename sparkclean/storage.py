@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the input tables, ``<folder>/<name>.parquet``."""
@@ -14,10 +16,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests, one machine), a new temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a new temporary one, on a single machine only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -26,4 +31,38 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged() -> list[str]:
+    """The tables staged by this driver and not dropped yet, oldest first."""
+    return list(_made)
+
+
+def drop_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables once nothing reads them any more, as after a job's result was written."""
+    for path in paths:
+        remove(spark, path)
+        if path in _made:
+            _made.remove(path)
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder in any store; False if there was none."""
+    store, place = _place(spark, path)
+    return bool(store.delete(place, True))
+
+
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """The folders in ``path`` whose writing ended well, by name."""
+    store, place = _place(spark, path)
+    if not store.exists(place):
+        return []
+    found = [s.getPath() for s in store.listStatus(place) if s.isDirectory()]
+    return sorted(str(p) for p in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))

@@ -250,3 +250,48 @@ def test_scan_library(spark):
     s = spark.createDataFrame([(i, 1.0, 1.0, 1.0, 1) for i in "abcd"], "asset_id string, resolution double, sharpness double, exposure double, byte_size long")
     found = scan_library(df, h, s)
     assert rows(found["exact"].select("asset_id")) == [("a",), ("b",)] and rows(found["similar"].select("asset_id")) == [("c",), ("d",)] and found["videos"].count() == 0
+
+
+# --- snapshots, files, staged tables ---
+
+
+def test_snapshots_missing_unreadable_and_replaced(spark, tmp_path):
+    from pathlib import Path
+
+    from sparkclean.sources import scans
+
+    path, schema = str(tmp_path / "snapshot"), "asset_id string, byte_size long"
+    load = lambda: sorted(map(tuple, scans.load_snapshot(spark, path, schema).collect()))
+    assert load() == [] and not scans.drop_snapshot(spark, path)
+    scans.save_snapshot(spark.createDataFrame([("a", 1), ("b", 2)], schema), path, ["asset_id", "byte_size"])
+    assert load() == [("a", 1), ("b", 2)]
+    (tmp_path / "snapshot" / "99999999999999999999-dead").mkdir()  # a job that died while it wrote
+    scans.save_snapshot(scans.load_snapshot(spark, path, schema).where("byte_size > 1"), path, ["asset_id", "byte_size"])
+    assert load() == [("b", 2)]
+    for part in Path(path).rglob("part-*"):
+        part.write_bytes(b"broken")
+    for crc in Path(path).rglob(".*.crc"):
+        crc.unlink()
+    assert load() == []
+    assert scans.drop_snapshot(spark, path) and load() == []
+
+
+def test_source_lines(spark, tmp_path):
+    from sparkclean.sources import scans
+
+    for name, text in {"a.swift": "x\ny", "sub/b.PY": "z", "build/c.swift": "no", "sub/d.txt": "no", "e e.py": "one"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = sorted(map(tuple, scans.source_lines(spark, str(tmp_path), ["swift", ".py"], ["build"]).collect()))
+    assert got == [("a.swift", 1, "x"), ("a.swift", 2, "y"), ("e e.py", 1, "one"), ("sub/b.PY", 1, "z")]
+
+
+def test_staged_tables_go(spark):
+    from sparkclean import storage
+
+    kept = storage.stage(spark.range(3))
+    gone = storage.stage(spark.range(4))
+    path = storage.staged()[-1]
+    storage.drop_staged(spark, [path])
+    assert path not in storage.staged() and kept.count() == 3 and not spark._jvm.java.io.File(path.removeprefix("file:")).exists()
+    assert gone is not None
