@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import table
-from . import context_mixing, html_text, licenses, packing, permutation_index, piece_scan, pii, quality, simhash, suffix_dedup
+from . import ball_kmeans, context_mixing, decontaminate, html_text, licenses, packing, permutation_index, phrases, piece_scan, pii, quality, simhash, suffix_dedup
 
 
 def vocabulary() -> tuple[str, str]:
@@ -73,6 +73,19 @@ def op10_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", "part", F.col("numbers").alias("ids"), "text")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest(decontaminate.marked(docs, table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_html_text": op2_html_text,
@@ -84,8 +97,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_permutation_index": op8_permutation_index,
     "op10_piece_scan": op10_piece_scan,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_ball_kmeans": op12_ball_kmeans,
+    "op13_benchmark_windows": op13_benchmark_windows,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_license_sentences": licenses.scan_sql(),
+    "op11_phrase_collocations": phrases.collocations_sql(),
+    "op12_ball_kmeans": ball_kmeans.compressed_sql(),
+    "op13_benchmark_windows": decontaminate.digest_sql(),
 }
