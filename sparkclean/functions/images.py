@@ -6,6 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def grey_cells(image: Column, width: int, height: int) -> Column:
+    """``height`` rows of ``width`` cells, each the rounded mean of its box of pixels; null for an image smaller than that.
+
+    ``image`` is an array of equally long rows. The sums of a row's boxes are taken first, then those of a box's rows, so
+    each pixel is read once and nothing leaves the row.
+    """
+    bind = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))  # noqa: E731  worked out once, used often
+    edges = lambda n, cells: F.transform(F.sequence(F.lit(0), F.lit(cells)), lambda i: F.ceil(i * n / cells).cast("int"))
+    boxes = lambda n, cells: bind(edges(n, cells), lambda e: F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.struct((F.get(e, i) + 1).alias("at"), (F.get(e, i + 1) - F.get(e, i)).alias("n"))))
+    zero = F.lit(0).cast("long")
+
+    def cells(b: Column) -> Column:
+        sums = F.transform(b["image"], lambda row: F.transform(b["columns"], lambda x: F.aggregate(F.slice(row, x["at"], x["n"]), zero, lambda acc, v: acc + v)))
+        box = lambda s, y, c: F.aggregate(F.slice(s, y["at"], y["n"]), zero, lambda acc, row: acc + F.get(row, c))
+        mean = lambda s, y, x, c: F.round(box(s, y, c) / (y["n"] * x["n"])).cast("int")
+        return bind(sums, lambda s: F.transform(b["rows"], lambda y: F.transform(b["columns"], lambda x, c: mean(s, y, x, c))))
+
+    def fits(i: Column) -> Column:
+        parts = F.struct(i.alias("image"), boxes(F.size(i), height).alias("rows"), boxes(F.size(F.get(i, F.lit(0))), width).alias("columns"))
+        return F.when((F.size(i) >= height) & (F.size(F.get(i, F.lit(0))) >= width), bind(parts, cells))
+
+    return bind(image, fits)
+
+
 def dhash(grid: Column) -> Column:
     """64 bits: bit ``8 * row + col`` is one where a cell is darker than its right neighbour; null unless 8 x 9 cells."""
     whole = (F.size(grid) == 8) & F.forall(grid, lambda row: F.size(row) == 9)

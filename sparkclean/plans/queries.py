@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import images, keys
-from ..operators import audit, cleanup, contacts, exact, near, review, scoring, sessions
+from ..operators import audit, cleanup, contacts, exact, growing, near, review, scoring, sessions
 from ..operators.components import connected_components
 from ..sources import scans
 from ..storage import shared_folder, stage, table
@@ -86,6 +86,15 @@ def a6(spark, d):
     return scans.content_hashes(v.assets(spark, d))
 
 
+@query("a6_chunk_hash", sql("assets", "SELECT asset_id, sha256(content) AS content_hash, byte_size FROM assets"))
+def a6_chunks(spark, d):
+    """The same digests from chunks of 1,000 bytes."""
+    content = v.assets(spark, d).select("asset_id", F.encode("content", "UTF-8").alias("content"))
+    last = F.floor(F.greatest(F.octet_length("content") - 1, F.lit(0)) / 1000).cast("int")
+    chunks = content.select("asset_id", "content", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
+    return scans.chunk_hashes(chunks.select("asset_id", "pos", F.substring("content", F.col("pos") * 1000 + 1, F.lit(1000)).alias("chunk")))
+
+
 @query("a7_assets_still_there", sql("assets", "SELECT asset_id FROM assets WHERE doc_id % 5 = 0 AND doc_id % 11 <> 0"))
 def a7(spark, d):
     return scans.still_there(ids(spark, d, 5), not_in(spark, d, 11), "asset_id")
@@ -277,9 +286,8 @@ def s2(spark, d):
 
 @query("s3_grey_grid", sql("vectors", "SELECT asset_id, y // 2 AS row_no, x // 2 AS col_no, CAST(round(avg(v)) AS BIGINT) AS luma FROM vectors GROUP BY 1, 2, 3"))
 def s3(spark, d):
-    pixels = v.vector_grids(spark, d).select("asset_id", F.posexplode("grid").alias("y", "cells")).select("asset_id", "y", F.posexplode("cells").alias("x", "luma"))
-    grid = near.grey_grid(pixels, 4, 4).select("asset_id", F.posexplode("grid").alias("row_no", "cells"))
-    return grid.select("asset_id", "row_no", F.posexplode("cells").alias("col_no", "luma"))
+    grids = v.vector_grids(spark, d).select("asset_id", images.grey_cells(F.col("grid"), 4, 4).alias("grid"))
+    return grids.select("asset_id", F.posexplode("grid").alias("row_no", "cells")).select("asset_id", "row_no", F.posexplode("cells").alias("col_no", "luma"))
 
 
 @query("s4_difference_hash", sql("hashes", "SELECT asset_id, phash FROM hashes"))
@@ -329,6 +337,17 @@ def s8(spark, d):
     return found.select(F.col("node").alias("asset_id"), F.col("component").alias("group_id"))
 
 
+@query("s8_growing_components", sql("hashes", "SELECT * FROM components", pairs=_PAIRS, reach=_REACH, components=_COMPONENTS))
+def s8_growing(spark, d):
+    """The same components from three batches of edges, the second of which is given twice."""
+    pairs = near.similar_pairs(_hashed(spark, d), ["library_id"]).select(F.col("left_id").alias("u"), F.col("right_id").alias("v"))
+    pairs = stage(pairs, "pairs")
+    path = f"{shared_folder(spark)}/components-{spark.range(1).select(F.uuid()).first()[0]}"
+    for batch in (0, 1, 1, 2):
+        growing.grow(spark, path, pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(3)) == batch), batch)
+    return growing.components(spark, path).select(F.col("node").alias("asset_id"), F.col("component").alias("group_id"))
+
+
 @query("s9_group_confidence", sql("hashes", "SELECT group_id, round(1 - avg(distance) / 64, 9) AS confidence FROM pairs JOIN components ON left_id = asset_id GROUP BY 1", pairs=_PAIRS, reach=_REACH, components=_COMPONENTS))
 def s9(spark, d):
     return near.hash_groups(_hashed(spark, d), ["library_id"]).select("group_id", F.round("confidence", 9).alias("confidence")).distinct()
@@ -485,6 +504,31 @@ for _name, _view, _f in (
     query(_name, sql(_view, f"SELECT u, v FROM {_view}"))(lambda spark, d, f=_f: f(customers(spark, d)))
 
 
+_WEAK_CLASSES = """SELECT contact_id, key, f AS full, min(contact_id) OVER (PARTITION BY key, f) AS class_id, count(*) OVER (PARTITION BY key, f) AS n_class,
+ count(*) OVER (PARTITION BY key) - count(*) OVER (PARTITION BY key, f) AS n_links FROM entries WHERE kind = '{kind}' AND key IS NOT NULL QUALIFY n_links > 0"""
+_ENTRIES = """SELECT contact_id, 'phone' AS kind, phone AS f, CASE WHEN length(replace(phone, '+', '')) >= 10 THEN right(replace(phone, '+', ''), 10) END AS key FROM contacts
+ UNION ALL SELECT contact_id, 'email', email, split_part(email, '@', 1) FROM contacts WHERE email IS NOT NULL"""
+
+
+@query("d11d_weak_phone_classes", sql("contacts", _WEAK_CLASSES.format(kind="phone"), entries=_ENTRIES))
+def d11d_classes(spark, d):
+    return contacts.weak_classes(contacts.entries(customers(spark, d)), "phone")
+
+
+@query("d11e_weak_email_classes", sql("contacts", _WEAK_CLASSES.format(kind="email"), entries=_ENTRIES))
+def d11e_classes(spark, d):
+    return contacts.weak_classes(contacts.entries(customers(spark, d)), "email")
+
+
+@query("d11f_probable_classes", sql("contacts named", "SELECT kind, key, letter, contact_id, min(other) AS class_id FROM closed GROUP BY 1, 2, 3, 4", entries=_ENTRIES,
+    blocks="SELECT DISTINCT kind, key, letter, contact_id, plain, sorted FROM entries JOIN (SELECT kind, key FROM entries WHERE key IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT f) > 1) USING (kind, key) JOIN named USING (contact_id)",
+    close_names="""SELECT a.kind, a.key, a.letter, a.contact_id AS u, b.contact_id AS v FROM blocks a JOIN blocks b USING (kind, key, letter) WHERE a.contact_id <> b.contact_id
+ AND greatest(1 - levenshtein(a.plain, b.plain) / greatest(length(a.plain), length(b.plain)), 1 - levenshtein(a.sorted, b.sorted) / greatest(length(a.sorted), length(b.sorted))) >= 0.9""",
+    closed="SELECT kind, key, letter, u AS contact_id, u AS other FROM close_names UNION SELECT c.kind, c.key, c.letter, c.contact_id, n.v FROM closed c JOIN close_names n ON n.kind = c.kind AND n.key = c.key AND n.letter = c.letter AND n.u = c.other"))
+def d11f_classes(spark, d):
+    return contacts.probable_classes(customers(spark, d)).withColumnRenamed("of", "kind")
+
+
 @query("d11c_block_letter", sql("contacts", "SELECT contact_id, letter FROM contacts"))
 def d11c(spark, d):
     return v.contacts_raw(spark, d).select("contact_id", keys.block_letter(F.col("given"), F.col("family")).alias("letter"))
@@ -818,12 +862,13 @@ def t1(spark, d):
 @query("t1_streamed_rescan", sql("assets", "SELECT asset_id FROM assets WHERE doc_id % 4 = 0 OR doc_id % 6 = 0"))
 def t1_stream(spark, d):
     """The same rescan over a stream of assets: what each micro-batch has to scan is written out."""
-    known = stage(v.assets(spark, d).where("doc_id % 4 <> 0").select("asset_id", F.when(F.col("doc_id") % 6 == 0, F.timestamp_seconds(F.lit(0))).otherwise(F.col("modification_ts")).alias("modification_ts"), F.lit(scans.SCHEMA_VERSION).alias("schema_version")), "known")
+    known = v.assets(spark, d).where("doc_id % 4 <> 0").select("asset_id", F.when(F.col("doc_id") % 6 == 0, F.timestamp_seconds(F.lit(0))).otherwise(F.col("modification_ts")).alias("modification_ts"))
     stream = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/documents.parquet*")
     assets = stream.select(v.padded("doc_id").alias("asset_id"), F.timestamp_seconds(F.lit(v._EPOCH) + F.col("doc_id")).alias("modification_ts"))
-    out = f"{shared_folder(spark)}/rescan-{spark.range(1).select(F.uuid()).first()[0]}"
-    streams.rescans(assets, lambda: known, lambda rows: rows.select("asset_id").write.mode("append").parquet(out), f"{out}-state").awaitTermination()
-    return spark.read.schema("asset_id string").parquet(out)
+    path = f"{shared_folder(spark)}/rescan-{spark.range(1).select(F.uuid()).first()[0]}"
+    streams.rescan_batch(known, -1, path, lambda rows: rows.select("asset_id").where("false"))
+    streams.rescans(assets, path, lambda rows: rows.select("asset_id"), f"{path}-state").awaitTermination()
+    return streams.scan_results(spark, path)
 
 
 @query("t2_streamed_bursts", f"""SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, count(*) AS session_size FROM ({_GAPS.format(p='PARTITION BY user_id', g=3600)}) GROUP BY user_id, s HAVING count(*) > 1 AND max(ts) + INTERVAL 3600 SECOND < (SELECT max(ts) - INTERVAL 600 SECOND FROM events)""")
@@ -835,3 +880,15 @@ def t2(spark, d):
     found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(out).select("user_id", F.unix_micros("session_start").alias("start_us"), "session_size")
 
+
+@query("t2_growing_bursts", f"""SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, CAST(epoch_us(max(ts)) AS BIGINT) AS end_us, count(*) AS session_size FROM ({_GAPS.format(p='PARTITION BY user_id', g=3600)}) GROUP BY user_id, s HAVING count(*) > 1""")
+def t2_growing(spark, d):
+    """How all bursts stand after the stream: closed ones and those still open."""
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(d).withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "ts")
+    streams.use_rocksdb(spark)
+    out = f"{shared_folder(spark)}/growing-{spark.range(1).select(F.uuid()).first()[0]}"
+    found = streams.growing_bursts(stream, ["user_id"], "ts", 3600)
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    standing = streams.latest_bursts(spark.read.schema(found.schema).parquet(out), ["user_id"])
+    return standing.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "session_size")

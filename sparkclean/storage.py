@@ -48,21 +48,13 @@ def drop_staged(spark: SparkSession, paths: list[str]) -> None:
             _made.remove(path)
 
 
-def _place(spark: SparkSession, path: str) -> tuple:
+def place_of(spark: SparkSession, path: str) -> tuple:
+    """The store that holds ``path``, and the path in its terms."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def remove(spark: SparkSession, path: str) -> bool:
     """Delete a folder in any store; False if there was none."""
-    store, place = _place(spark, path)
+    store, place = place_of(spark, path)
     return bool(store.delete(place, True))
-
-
-def committed(spark: SparkSession, path: str) -> list[str]:
-    """The folders in ``path`` whose writing ended well, by name."""
-    store, place = _place(spark, path)
-    if not store.exists(place):
-        return []
-    found = [s.getPath() for s in store.listStatus(place) if s.isDirectory()]
-    return sorted(str(p) for p in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))

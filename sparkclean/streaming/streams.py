@@ -1,15 +1,22 @@
-"""Streaming forms: bursts as they close, and rescans of what changed."""
+"""Streaming forms: bursts as they close, bursts as they grow, and rescans of what changed."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..sources import generations
 from ..sources.scans import SCHEMA_VERSION, changed_since
 
+#: Deltas of a snapshot after which a rescan folds them into one table.
+DELTAS = 16
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def bursts(stream: DataFrame, keys: list[str], ts: str = "creation_ts", gap: str = "120 seconds", late: str = "10 minutes") -> DataFrame:
     """``(keys, session_start, session_end, session_size)`` of bursts of two and more.
@@ -20,10 +27,163 @@ def bursts(stream: DataFrame, keys: list[str], ts: str = "creation_ts", gap: str
     return sessions.where("session_size > 1").select(*keys, F.col("w.start").alias("session_start"), "session_end", "session_size")
 
 
-def rescans(stream: DataFrame, snapshot: Callable[[], DataFrame], scan: Callable[[DataFrame], None], checkpoint: str, version: int = SCHEMA_VERSION) -> StreamingQuery:
-    """Call ``scan`` with the new and changed assets of each micro-batch; ``snapshot`` is read anew each time."""
+# --- bursts that are shown while they grow ---
+
+_OPEN = "id long, first long, last long, size long, revision int, shown boolean"
+
+
+class _Bursts(StatefulProcessor):
+    """Holds a key's open bursts and tells of each one that a micro-batch or the watermark has changed."""
+
+    def __init__(self, keys: list[str], gap_us: int):
+        self.keys, self.gap = keys, gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", _OPEN)
+
+    def _rows(self, key: tuple[Any, ...], told: list[tuple]) -> pd.DataFrame:
+        columns = ["burst_id", "revision", "state", "first_us", "last_us", "session_size", "into"]
+        out = pd.DataFrame(told, columns=columns)
+        for i, name in enumerate(self.keys):
+            out.insert(i, name, [key[i]] * len(out))
+        return out.astype({"into": "Int64"})
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        times = sorted(t for part in rows for t in part["at_us"].tolist())
+        before = sorted((list(b) for b in self.open.get()), key=lambda b: b[1]) if self.open.exists() else []
+        # an open burst is one piece, a new row another; pieces no further apart than the gap are one burst
+        pieces = sorted([(b[1], b[2], b[3], b) for b in before] + [(t, t, 1, None) for t in times], key=lambda p: p[:2])
+        bursts: list[list] = []  # first, last, size, what they were before, whether anything is new
+        for first, last, size, old in pieces:
+            if bursts and first - bursts[-1][1] <= self.gap:
+                own = bursts[-1]
+                own[1], own[2] = max(own[1], last), own[2] + size
+                own[3] += [old] if old else []
+                own[4] += old is None
+            else:
+                bursts.append([first, last, size, [old] if old else [], int(old is None)])
+        told, kept = [], []
+        for first, last, size, olds, new in bursts:
+            if not new and len(olds) == 1:
+                kept.append(tuple(olds[0]))
+                continue
+            main = min(olds, key=lambda b: (not b[5], b[0])) if olds else [first, 0, 0, 0, 0, False]
+            shown = main[5] or size > 1
+            told += [(b[0], b[4] + 1, "merged", b[1], b[2], b[3], main[0]) for b in olds if b is not main and b[5]]
+            told += [(main[0], main[4] + 1, "open", first, last, size, None)] if shown else []
+            kept.append((main[0], first, last, size, main[4] + int(shown), shown))
+            self.handle.registerTimer(self._ends(last))
+        self.open.put(kept)
+        if told:
+            yield self._rows(key, told)
+
+    def _ends(self, last_us: int) -> int:
+        """The first millisecond at which no row that is on time can still belong to a burst with this last row."""
+        return (last_us + self.gap) // 1000 + 1
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        bursts = [tuple(b) for b in self.open.get()] if self.open.exists() else []
+        over = [b for b in bursts if self._ends(b[2]) <= now]
+        kept = [b for b in bursts if self._ends(b[2]) > now]
+        if over:
+            self.open.put(kept) if kept else self.open.clear()
+        told = [(b[0], b[4] + 1, "closed", b[1], b[2], b[3], None) for b in over if b[5]]
+        if told:
+            yield self._rows(key, told)
+
+    def close(self) -> None:
+        pass
+
+
+def growing_bursts(stream: DataFrame, keys: list[str], ts: str = "creation_ts", gap_s: int = 120, late: str = "10 minutes") -> DataFrame:
+    """Revisions of bursts: published with their second row, revised with each micro-batch that changes them, until closed.
+
+    Columns: the keys, ``burst_id`` (microseconds of its first row when it began), ``revision`` from 1, ``state`` (``open``,
+    ``closed``, or ``merged`` when a late row joined it to the burst ``into``), ``session_start``, ``session_end`` and
+    ``session_size``. The highest revision of each burst is how it stands, those that were merged left out; closed ones do
+    not change any more. A gap of exactly ``gap_s`` seconds does not split. Rows without a time are dropped, and rows that
+    come ``late`` after the newest one. A key's rows of one micro-batch and its open bursts, which span no more than
+    ``late``, meet in one task.
+
+    Append mode; needs the RocksDB state store (``use_rocksdb``).
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    rows = stream.where(F.col(ts).isNotNull()).withWatermark(ts, late).select(*keys, ts, F.unix_micros(ts).alias("at_us"))
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", burst_id long, revision int, state string, first_us long, last_us long, session_size long, into long"
+    found = rows.groupBy(*keys).transformWithStateInPandas(_Bursts(keys, gap_s * 1_000_000), schema, "Append", "EventTime")
+    at = lambda c, name: F.timestamp_micros(c).alias(name)
+    return found.select(*keys, "burst_id", "revision", "state", at("first_us", "session_start"), at("last_us", "session_end"), "session_size", "into")
+
+
+def latest_bursts(revisions: DataFrame, keys: list[str]) -> DataFrame:
+    """How the bursts stand: the highest revision of each, without those that became part of another."""
+    rest = [c for c in revisions.columns if c not in (*keys, "burst_id", "revision")]
+    last = revisions.groupBy(*keys, "burst_id").agg(F.max(F.struct("revision", *rest)).alias("r"))
+    return last.select(*keys, "burst_id", "r.*").where("state <> 'merged'")
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """State of streams started from now on is kept in RocksDB, which state with timers needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+# --- rescans ---
+
+
+def known_assets(spark: SparkSession, path: str, of: DataFrame | None = None) -> DataFrame:
+    """``(asset_id, modification_ts)`` as last scanned; with ``of`` only for its ``asset_id``s, which are found before any shuffle."""
+    state = generations.current(spark, path)
+    if state is None or "known" not in state.tables:
+        return spark.createDataFrame([], "asset_id string, modification_ts timestamp")
+    rows = generations.read(spark, path, state, "known")
+    rows = rows if of is None else rows.join(of.select("asset_id").distinct(), "asset_id", "left_semi")
+    last = rows.groupBy("asset_id").agg(F.max(F.struct("generation", "modification_ts")).alias("last"))
+    return last.select("asset_id", "last.modification_ts")
 
-    def batch(rows: DataFrame, _: int) -> None:
-        scan(changed_since(rows, snapshot(), version))
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def scan_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """All rows that committed batches have scanned; None before the first one."""
+    state = generations.current(spark, path)
+    return generations.read(spark, path, state, "results") if state and "results" in state.tables else None
+
+
+def rescan_batch(rows: DataFrame, number: int, path: str, scan: Callable[[DataFrame], DataFrame], version: int = SCHEMA_VERSION) -> bool:
+    """Scan what is new or changed in a batch of assets and note it as known, in one commit; False if the batch was done before.
+
+    Of an asset that is in the batch several times the newest version counts. What a batch wrote before it failed belongs
+    to no generation, so a replay starts over; after the commit a replay changes nothing. With another ``version`` than
+    the stored one nothing counts as known.
+    """
+    spark = rows.sparkSession
+    state = generations.current(spark, path)
+    if state and state.marks.get("version") == version and state.marks.get("batch", -1) >= number:
+        return False
+    fresh = state is None or state.marks.get("version") != version
+    newest = rows.groupBy("asset_id").agg(F.max_by(F.struct(*rows.columns), "modification_ts").alias("r")).select("r.*")
+    known = known_assets(spark, path, rows)
+    known = known.where("false") if fresh else known
+    changed = changed_since(newest, known.withColumn("schema_version", F.lit(version)), version)
+    done = generations.write(changed, path)
+    changed = spark.read.schema(changed.schema).parquet(f"{path}/data/{done.folder}")  # what is scanned is what is noted
+    results = scan(changed)
+    generation = (state.number if state else 0) + 1
+    note = changed.select("asset_id", "modification_ts").withColumn("generation", F.lit(generation).cast("long"))
+    olds = [] if fresh else state.tables.get("known", [])
+    if len(olds) >= DELTAS:
+        merged = known_assets(spark, path).join(note, "asset_id", "left_anti").withColumn("generation", F.lit(generation).cast("long")).unionByName(note)
+        notes = [generations.write(merged, path)]
+    else:
+        notes = [*olds, generations.write(note, path)]
+    written = [*([] if fresh else state.tables.get("results", [])), generations.write(results, path)]
+    generations.commit(spark, path, state, {"known": (notes, note.schema), "results": (written, results.schema)}, {"batch": number, "version": version})
+    return True
+
+
+def rescans(stream: DataFrame, path: str, scan: Callable[[DataFrame], DataFrame], checkpoint: str, version: int = SCHEMA_VERSION) -> StreamingQuery:
+    """Scan the new and changed assets of each micro-batch; ``scan_results`` has the rows, ``known_assets`` the snapshot.
+
+    ``path`` belongs to this stream and its checkpoint: batches are told apart by their number.
+    """
+    return stream.writeStream.foreachBatch(lambda rows, number: rescan_batch(rows, number, path, scan, version) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
