@@ -25,7 +25,7 @@ from .spread import spread_join
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Vectors that are compared together.
-TOGETHER = 2048
+TOGETHER = 1 << 14
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -150,8 +150,10 @@ def _sums(rows: DataFrame, width: int, entries: int) -> tuple[np.ndarray, np.nda
             x = _numbers(batch, width, np.int64)
             codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, PARTS)
             for p in range(PARTS):
-                counts[p] += np.bincount(codes[:, p], minlength=entries)
-                np.add.at(sums[p], codes[:, p], x[:, p])
+                own = np.bincount(codes[:, p], minlength=entries)
+                begin, used = np.cumsum(own) - own, own > 0
+                counts[p] += own
+                sums[p, used] += np.add.reduceat(x[np.argsort(codes[:, p], kind="stable"), p], begin[used]) if len(x) else 0
         p, e = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(counts[p, e]), pa.array(sums[p, e].tolist(), pa.list_(pa.int64()))], ["part", "entry", "n", "sums"])
 
