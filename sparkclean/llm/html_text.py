@@ -26,15 +26,19 @@ TRAINING_PAGES = 500
 #: Tags that end a block, that hold no text, and whose content is no text: fixed values of the HTML standard.
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("head title textarea select button object canvas svg math audio video".split())
+HIDDEN = set("head title textarea select button object canvas svg audio video".split())
 #: Tags that leave an open head open; any other starts the body.
 _IN_HEAD = set("base basefont bgsound head html link meta noframes title".split())
 _CLOSES_P = BLOCK - set("body html td th tr tbody thead tfoot caption option legend summary".split())
 _SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|iframe)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
+#: Comments and raw text, which end with the page at the latest, and tags without ``<`` or ``>`` in their values.
+_PLAIN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|iframe)\b.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>\"']*)(?P<rest>(?>[^'\"<>]|\"[^\"<>]*\"|'[^'<>]*')*+)>",
     re.S | re.I,
 )
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile(r"[\"'>]")
 _NAMED = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
@@ -83,6 +87,49 @@ def _hides(attributes: str) -> bool:
     return False
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """``(begin, end, closing, tag, attributes)`` of the markup of a page; other markup than tags has no tag.
+
+    A ``>`` inside quotes does not end a tag, unless the quotes or the tag would never end. Where each quote leads is
+    remembered, so a page takes time in proportion to its length whatever is left open in it.
+    """
+    last_end, leads = page.rfind(">"), {}
+
+    def tag_end(at: int) -> int:
+        """The first ``>`` from ``at`` on that is in no quotes, or -1."""
+        found, met = -1, []
+        while m := _SPECIAL.search(page, at):
+            if m[0] == ">":
+                found = m.start()
+                break
+            if m.start() in leads:
+                found = leads[m.start()]
+                break
+            met.append(m.start())
+            close = page.find(m[0], m.end())
+            if close < 0:
+                break
+            at = close + 1
+        leads.update(dict.fromkeys(met, found))
+        return found
+
+    at = page.find("<")
+    while at >= 0:
+        stop = at + 1
+        if m := _PLAIN.match(page, at):
+            stop = m.end()
+            yield at, stop, bool(m["end"]), (m["tag"] or "").lower(), m["rest"] or ""
+        elif at < last_end and (m := _OPEN.match(page, at)):
+            end = tag_end(m.end())
+            end = page.find(">", m.end()) if end < 0 else end
+            stop = end + 1
+            yield at, stop, bool(m[1]), m[2].lower(), page[m.end() : end]
+        elif at < last_end and page[at + 1] in "!?/":
+            stop = page.find(">", at) + 1
+            yield at, stop, False, "", ""
+        at = page.find("<", stop)
+
+
 def leaf_blocks(page: str) -> list[tuple[str, frozenset[int], int]]:
     """``(text, ancestor marks, characters in links)`` of each leaf block in page order; blank blocks are left out."""
     stack: list[tuple[str, frozenset[int], bool]] = []  # tag, marks of it and all above, hidden
@@ -98,60 +145,67 @@ def leaf_blocks(page: str) -> list[tuple[str, frozenset[int], int]]:
                 out.append((text, stack[-1][1] if stack else nothing, min(linked, len(text))))
             parts, linked = [], 0
 
+    where: dict[str, list[int]] = {"": []}  # places in the stack by tag, under no tag those of blocks
+
+    def last_of(*tags: str) -> int:
+        """The highest place of any of these tags, or -1: found without going through the stack."""
+        return max((where[t][-1] for t in tags if where.get(t)), default=-1)
+
     def pop_to(k: int) -> None:
         nonlocal links
         for tag, *_ in stack[k:]:
             links -= tag == "a"
+            where[tag].pop()
+            if tag in BLOCK:
+                where[""].pop()
         del stack[k:]
 
     def in_head() -> bool:
         return bool(stack) and stack[-1][0] == "head"
 
     last = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > last and in_head() and not page[last : m.start()].isspace():
+    for begin, end, closing, tag, attributes in tokens(page):
+        if begin > last and in_head() and not page[last:begin].isspace():
             pop_to(len(stack) - 1)
-        if m.start() > last and not (stack and stack[-1][2]):
-            text = html.unescape(page[last : m.start()])
+        if begin > last and not (stack and stack[-1][2]):
+            text = html.unescape(page[last:begin])
             parts.append(text)
             linked += len(text) if links > 0 else 0
-        last = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        last = end
         if not tag:
             continue
-        if m[2] or m[5]:
+        if closing:
             if in_head() and tag in ("body", "html", "br"):
                 pop_to(len(stack) - 1)
             if tag in BLOCK:
                 close_block()
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if at is not None and not (tag not in BLOCK and any(t in BLOCK for t, *_ in stack[at + 1 :])):
+            at = last_of(tag)
+            if at >= 0 and (tag in BLOCK or last_of("") < at):
                 pop_to(at)
             continue
-        attributes = m[4] or m[7] or ""
-        if tag == "head" and any(t != "html" for t, *_ in stack):
+        if tag == "head" and len(stack) > len(where.get("html", [])):
             continue
         if in_head() and tag not in _IN_HEAD:
             pop_to(len(stack) - 1)
         if tag in BLOCK or tag in HIDDEN:
             close_block()
             if tag in _CLOSES_P:
-                at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][0] in BLOCK and stack[k][0] != "p"), None)
-                if at is not None and stack[at][0] == "p":
+                at = last_of("")
+                if at >= 0 and stack[at][0] == "p":
                     pop_to(at)
             if tag in _SAME:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in _SAME[tag]:
-                        break
-                    if stack[k][0] == tag or {stack[k][0], tag} <= {"dt", "dd"} or {stack[k][0], tag} <= {"td", "th"}:
-                        pop_to(k)
-                        break
+                at = last_of(*next((pair for pair in (("dt", "dd"), ("td", "th")) if tag in pair), (tag,)))
+                if at > last_of(*_SAME[tag]):
+                    pop_to(at)
         if tag == "br":
             parts.append("\n")
         if tag in VOID or attributes.endswith("/") and tag in ("svg", "path", "g"):
             continue
         above = stack[-1] if stack else ("", nothing, False)
         stack.append((tag, above[1] | _marks(tag, attributes), above[2] or tag in HIDDEN or bool(attributes) and _hides(attributes)))
+        where.setdefault(tag, []).append(len(stack) - 1)
+        if tag in BLOCK:
+            where[""].append(len(stack) - 1)
         links += tag == "a"
     if last < len(page) and in_head() and not page[last:].isspace():
         pop_to(len(stack) - 1)
