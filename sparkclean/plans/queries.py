@@ -689,13 +689,16 @@ def r5(spark, d):
     return members.join(groups.select("group_id", review.effective_keep().alias("keep")), "group_id").select("group_id", "asset_id", "selected", "keep")
 
 
-@query("r8_selection_replay", sql("log", """SELECT m.group_id, m.asset_id, coalesce(selected, false) AS selected FROM m LEFT JOIN (
+_REPLAY = sql("log", """SELECT m.group_id, m.asset_id, coalesce(selected, false) AS selected FROM m LEFT JOIN (
  SELECT group_id, asset_id, (arg_max(base, seq) != (arg_max(flips, seq) % 2 = 1)) AS selected FROM s GROUP BY 1, 2) USING (group_id, asset_id)""",
     m="SELECT DISTINCT CAST(user_id AS VARCHAR) AS group_id, CAST(i AS VARCHAR) AS asset_id FROM events, (SELECT unnest(range(5)) AS i)",
     k="SELECT m.group_id, m.asset_id, seq, op, item, coalesce(last_value(CASE WHEN op = 'set_keep' THEN item END IGNORE NULLS) OVER (PARTITION BY m.group_id, m.asset_id ORDER BY seq ROWS UNBOUNDED PRECEDING), '0') AS keep FROM m JOIN log ON log.group_id = m.group_id",
     r="SELECT *, CASE WHEN op = 'select_all' THEN asset_id <> keep WHEN op = 'deselect_all' THEN false WHEN op = 'set_keep' AND item = asset_id THEN false END AS reset, CAST(op = 'toggle' AND item = asset_id AND keep <> asset_id AS INT) AS flip FROM k",
     p="SELECT *, count(reset) OVER (PARTITION BY group_id, asset_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS phase FROM r",
-    s="SELECT *, coalesce(bool_or(reset) OVER (PARTITION BY group_id, asset_id, phase), false) AS base, sum(flip) OVER (PARTITION BY group_id, asset_id, phase) AS flips FROM p"))
+    s="SELECT *, coalesce(bool_or(reset) OVER (PARTITION BY group_id, asset_id, phase), false) AS base, sum(flip) OVER (PARTITION BY group_id, asset_id, phase) AS flips FROM p")
+
+
+@query("r8_selection_replay", _REPLAY)
 def r8(spark, d):
     log = v.selection_log(spark, d)
     groups = log.select("group_id", F.lit("0").alias("recommended_keep")).distinct()
@@ -703,6 +706,20 @@ def r8(spark, d):
     return review.replay(log, members, groups)
 
 
+@query("r8_streamed_selection", _REPLAY)
+def r8_stream(spark, d):
+    """The same selection from the log as a stream, with each group's state in the state store."""
+    log = v.selection_log(spark, d)
+    groups = stage(log.select("group_id", F.lit("0").alias("recommended_keep")).distinct(), "groups")
+    members = groups.select("group_id", F.explode(F.array(*[F.lit(str(i)) for i in range(5)])).alias("asset_id"))
+    streams.use_rocksdb(spark)
+    stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events*").parquet(d)
+    out = f"{shared_folder(spark)}/selection-{spark.range(1).select(F.uuid()).first()[0]}"
+    found = streams.selection_changes(v.logged(stream), members, groups)
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return streams.standing_selection(spark.read.schema(found.schema).parquet(out), members)
+
+
 @query("r9_revalidate", sql("selection live", "SELECT category, s.item_id, l.item_id IS NOT NULL AS is_valid FROM selection s LEFT JOIN live l USING (item_id)"))
 def r9(spark, d):
     return cleanup.revalidate(v.selection(spark, d), v.live(spark, d)).select("category", "item_id", "is_valid")

@@ -126,7 +126,11 @@ def capacity(spark: SparkSession, d: str, rows: DataFrame | None = None) -> Data
 
 
 def selection_log(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
+    return logged(table(spark, d, "events"))
+
+
+def logged(e: DataFrame) -> DataFrame:
+    """Events as a selection log."""
     op = F.expr("case when event_type in ('click', 'view', 'purchase') then 'toggle' when event_type = 'signup' then 'select_all' when event_id % 2 = 1 then 'deselect_all' else 'set_keep' end")
     return e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("group_id"), op.alias("op"), F.when(op.isin("toggle", "set_keep"), (F.col("event_id") % 5).cast("string")).alias("item_id"))
 

@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[str] = []
+_own = threading.local()
+
+
+def _made() -> list[str]:
+    """The tables staged by this thread, so that jobs in other threads of the driver keep theirs."""
+    if not hasattr(_own, "made"):
+        _own.made = []
+    return _own.made
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,21 +39,21 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append(path)
+    _made().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def staged() -> list[str]:
-    """The tables staged by this driver and not dropped yet, oldest first."""
-    return list(_made)
+    """The tables staged by this thread of the driver and not dropped yet, oldest first."""
+    return list(_made())
 
 
 def drop_staged(spark: SparkSession, paths: list[str]) -> None:
     """Delete staged tables once nothing reads them any more, as after a job's result was written."""
     for path in paths:
         remove(spark, path)
-        if path in _made:
-            _made.remove(path)
+        if path in _made():
+            _made().remove(path)
 
 
 def place_of(spark: SparkSession, path: str) -> tuple:

@@ -187,3 +187,71 @@ def rescans(stream: DataFrame, path: str, scan: Callable[[DataFrame], DataFrame]
     ``path`` belongs to this stream and its checkpoint: batches are told apart by their number.
     """
     return stream.writeStream.foreachBatch(lambda rows, number: rescan_batch(rows, number, path, scan, version) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# --- selection ---
+
+
+class _Selection(StatefulProcessor):
+    """Holds a group's keep, its last reset and the members changed since, and tells of each change."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.keep = handle.getValueState("keep", "keep string")
+        self.reset = handle.getValueState("reset", "epoch int, all boolean, keep string")
+        self.items = handle.getMapState("items", "item string", "epoch int, selected boolean")
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        log = pd.concat(list(rows)).sort_values("seq")
+        epoch, everything, spared = self.reset.get() if self.reset.exists() else (0, False, None)
+        chosen = self.keep.get()[0] if self.keep.exists() else None
+        told = []
+
+        def selected(item: str) -> bool:
+            at, now = self.items.getValue((item,)) if self.items.containsKey((item,)) else (-1, False)
+            return bool(now) if at == epoch else everything and item != spared
+
+        for seq, item, op, recommended in zip(log["seq"].tolist(), log["item_id"], log["op"], log["recommended_keep"]):
+            keep = chosen if chosen is not None else recommended
+            if op in ("select_all", "deselect_all"):
+                epoch, everything, spared = epoch + 1, op == "select_all", keep
+                self.reset.update((epoch, everything, spared))
+                told.append((key[0], seq, None, everything, spared))
+                continue
+            if op == "set_keep":
+                chosen, now = item, False
+                self.keep.update((chosen,))
+            elif item != keep:
+                now = not selected(item)
+            else:
+                continue
+            self.items.updateValue((item,), (epoch, now))
+            told.append((key[0], seq, item, now, None))
+        if told:
+            yield pd.DataFrame(told, columns=["group_id", "seq", "item_id", "selected", "keep"])
+
+    def close(self) -> None:
+        pass
+
+
+def selection_changes(log: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(group_id, seq, item_id, selected, keep)``: what each event of a streamed log changes; a reset has a null item.
+
+    The rules are those of ``review.replay``: a reset selects all but the keep of that moment, or none. A group's state
+    is its keep, its last reset and the members that were changed since the reset, looked up one by one, so it
+    does not grow with a group's size; the events of a group in one micro-batch meet in one task. ``members`` and
+    ``groups`` are tables. Append mode; needs the RocksDB state store (``use_rocksdb``).
+    """
+    known = members.select("group_id", F.col("asset_id").alias("item_id"), F.lit(True).alias("known")).distinct()
+    named = log.join(known, ["group_id", "item_id"], "left").where("known or op in ('select_all', 'deselect_all')")
+    rows = named.join(groups.select("group_id", "recommended_keep"), "group_id", "left").select("group_id", "seq", "item_id", "op", "recommended_keep")
+    return rows.groupBy("group_id").transformWithStateInPandas(_Selection(), "group_id string, seq long, item_id string, selected boolean, keep string", "Append", "None")
+
+
+def standing_selection(changes: DataFrame, members: DataFrame) -> DataFrame:
+    """``(group_id, asset_id, selected)`` of all members after the ``changes`` so far."""
+    resets = changes.where("item_id is null").groupBy("group_id").agg(F.max(F.struct("seq", "selected", "keep")).alias("reset"))
+    own = changes.where("item_id is not null").groupBy("group_id", F.col("item_id").alias("asset_id")).agg(F.max(F.struct("seq", "selected")).alias("own"))
+    rows = members.select("group_id", "asset_id").join(resets, "group_id", "left").join(own, ["group_id", "asset_id"], "left")
+    later = F.col("own").isNotNull() & (F.col("reset").isNull() | (F.col("own.seq") > F.col("reset.seq")))
+    base = F.coalesce(F.col("reset.selected"), F.lit(False)) & ~F.coalesce(F.col("reset.keep") == F.col("asset_id"), F.lit(False))
+    return rows.select("group_id", "asset_id", F.when(later, F.col("own.selected")).otherwise(base).alias("selected"))

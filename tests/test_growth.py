@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkclean.functions import images, keys
-from sparkclean.operators import contacts, growing, near, sessions, similar_text
+from sparkclean.operators import contacts, growing, near, review, sessions, similar_text
 from sparkclean.operators.components import connected_components, contracted
 from sparkclean.sources import generations, scans
 from sparkclean.streaming import streams
@@ -246,6 +246,19 @@ def test_a_failing_store_is_no_missing_snapshot(spark, tmp_path):
         scans.load_snapshot(spark, str(path), SNAP)
 
 
+def test_jobs_in_other_threads_keep_their_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from sparkclean import storage
+
+    mine = storage.stage(spark.range(3))
+    with ThreadPoolExecutor(1) as pool:
+        assert pool.submit(storage.staged).result() == []
+        other = pool.submit(lambda: (storage.stage(spark.range(5)), storage.staged())).result()
+        pool.submit(lambda: storage.drop_staged(spark, storage.staged())).result()
+    assert mine.count() == 3 and other[1][0] not in storage.staged()
+
+
 # --- components that grow ---
 
 
@@ -364,6 +377,27 @@ def test_growing_bursts_equal_the_batch_form(spark, tmp_path):
         assert rows(standing, "lib", "session_start", "session_size") == rows(want)
 
 
+# --- selection ---
+
+
+def test_streamed_selection_equals_the_replay_of_each_prefix(spark, tmp_path):
+    rng = random.Random(11)
+    streams.use_rocksdb(spark)
+    schema, source, out = "seq long, group_id string, item_id string, op string", tmp_path / "in", str(tmp_path / "out")
+    groups = spark.createDataFrame([(f"g{i}", ["a", "b", None][i % 3]) for i in range(6)], "group_id string, recommended_keep string")
+    members = groups.crossJoin(spark.createDataFrame([(x,) for x in "abcd"], "asset_id string")).select("group_id", "asset_id")
+    log = []
+    for seq in range(180):
+        op = rng.choice(["toggle", "toggle", "toggle", "set_keep", "select_all", "deselect_all"])
+        log.append((seq, f"g{rng.randint(0, 5)}", rng.choice("abcde") if op in ("toggle", "set_keep") else None, op))
+    for k in range(0, 180, 60):
+        spark.createDataFrame(rng.sample(log[k : k + 60], 60), schema).coalesce(1).write.mode("append").parquet(str(source))
+        found = streams.selection_changes(spark.readStream.schema(schema).parquet(str(source)), members, groups)
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-c").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        want = review.replay(spark.createDataFrame(log[: k + 60], schema), members, groups)
+        assert rows(streams.standing_selection(spark.read.schema(found.schema).parquet(out), members)) == rows(want, "group_id", "asset_id", "selected")
+
+
 # --- contents and files ---
 
 
