@@ -4,9 +4,9 @@ Every window of ``length`` bytes names one anchor, the smallest hashed gram insi
 anchors at the same place. Windows of one anchor that follow each other form a stretch of text. Equal stretches of an
 anchor are one, marked as doubled if it occurs more than once. The stretches of all anchors that occur
 again meet in blocks, whose suffix array and transform are built; breadth-first backward extension of intervals yields
-the common prefix lengths by increasing value and stops at ``length``: what has no value by then repeats, and so does
-a suffix of a doubled stretch, whose twin would stand beside it at full length. An anchor of
-very many stretches is split by further anchors of its windows, each by a hash of its own, into groups of its own.
+the common prefix lengths by increasing value and stops at ``length``: what has no value by then repeats. A suffix of a
+doubled stretch weighs two: its common prefix with its twin gets its value from the same extension, which reaches
+it from the stretch's end mark. An anchor of very many stretches is split by further anchors of its windows, each by a hash of its own, into groups of its own.
 """
 
 from __future__ import annotations
@@ -158,9 +158,19 @@ def repeated_starts(texts: list[bytes], length: int = LENGTH, doubled: list[bool
     hi = np.concatenate([lo[1:] - 1, [n - 1]])
     unknown[0] = False
     unknown[hi + 1] = False
-    for _ in range(1, length):
+    # a doubled suffix stands for two, whose common prefix ends with the text: its value comes from the end mark backwards
+    twins = np.flatnonzero(doubled) if doubled else np.zeros(0, np.int64)
+    at, alone = place[marks[twins]], np.ones(n, bool)
+    for k in twins.tolist():
+        alone[place[marks[k] - sizes[k] : marks[k]]] = False
+    for value in range(1, length):
+        more = sizes[twins] >= value
+        twins, at = twins[more], step[at[more]]
+        alone[at] = True
         if not len(lo):
-            break
+            if not len(twins):
+                break
+            continue
         wide = hi - lo + 1
         ends = np.cumsum(wide)
         low = np.repeat(lo, wide)
@@ -171,9 +181,7 @@ def repeated_starts(texts: list[bytes], length: int = LENGTH, doubled: list[bool
         lo, hi = new_lo[found], new_hi[found]
         unknown[hi + 1] = False
     repeated = np.zeros(n, bool)
-    repeated[order] = unknown[:-1] | unknown[1:]
-    for k in np.flatnonzero(doubled) if doubled else ():  # the twin's common prefix ends with the text
-        repeated[marks[k] - sizes[k] : max(marks[k] - sizes[k], marks[k] - length + 1)] = True
+    repeated[order] = unknown[:-1] | unknown[1:] | ~alone
     return repeated
 
 
