@@ -5,8 +5,10 @@ the encoder is a shortest-path problem over pieces: a path scores the sum of its
 neighbours. Where no piece can reach over a word start, the path breaks into words, whose ids are remembered.
 A giant document is split into chunks; the states at a chunk's border are the pieces that begin before it and end at or
 after it. Each chunk gives a max-plus matrix from its entry to its exit states, matrices are combined associatively
-in blocks and over blocks, and each chunk, told its entry and exit, traces its own pieces back. The words that lie
-whole inside a chunk are one factor of its matrix; only the pieces around its borders are searched.
+in blocks and over blocks, and each chunk, told its entry and exit, traces its own pieces back. A word that lies whole
+inside a chunk has one state before it and one after it: it is a factor of one row and column, searched once in each
+process and remembered. So every id of a giant document comes from the search. Documents of less than a chunk are
+encoded by the library.
 """
 
 from __future__ import annotations
@@ -52,6 +54,12 @@ class Pieces:
         self.whole: dict[str, bool] = {}
         self.words: dict[str, bytes] = {}
         self.score_of = np.array([model.get_score(k) for k in range(size)])
+        self.factors: dict[str, tuple[bytes, float]] = {}
+        self.good = {p: s for p, s in self.scores.items() if len(p) > 1 and self.is_piece(p)}
+        self.begun = {p[:k] for p in self.good for k in range(2, len(p))}
+        sample = "Ａ ﬁ e\u0301  x\t½ "
+        if model.normalize(sample) != escaped(sample):
+            raise ValueError("this model changes texts before it cuts them; only models that leave them alone are read")
 
     def merged(self, text: str) -> list[str]:
         """The encoder's pieces of a short text by its own rule: join the best-scored neighbours, leftmost first."""
@@ -103,6 +111,47 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
+    def factor(self, word: str) -> tuple[bytes, float]:
+        """Ids and score of the best path through a whole word with the blanks before it."""
+        text = word.replace(" ", SPACE)
+        good, begun, pairs = self.good, self.begun, self.pairs
+        ending: dict[int, list[tuple]] = {0: [("", 0.0, None)]}  # by end: piece, best score, the state before
+        for j in range(len(text)):
+            before = ending.get(j)
+            if not before:
+                continue
+            for i in range(j + 1, min(len(text), j + self.longest) + 1):
+                piece = text[j:i]
+                score = good.get(piece)
+                if score is None:
+                    if i > j + 1:
+                        if piece in begun:
+                            continue
+                        break
+                    score = self.score(piece)
+                best = None
+                for p in before:
+                    if (best is None or p[1] > best[1]) and (not p[0] or (pairs[p[0], piece] if (p[0], piece) in pairs else self.fits(p[0], piece))):
+                        best = p
+                if best:
+                    ending.setdefault(i, []).append((piece, best[1] + score, best))
+        state = max(ending[len(text)], key=lambda p: p[1])
+        score, pieces = state[1], []
+        while state[2] is not None:
+            pieces.append(state[0])
+            state = state[2]
+        return np.array(self.numbers(pieces[::-1]), "<i4").tobytes(), score
+
+    def product(self, words: list[str]) -> tuple[bytes, float]:
+        """The max-plus product of the factors of words that follow each other: their ids, and their scores' sum."""
+        known = self.factors
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = self.factor(w)
+        found = [known[w] for w in words]
+        return b"".join(ids for ids, _ in found), sum(score for _, score in found)
+
     def encode(self, texts: list[list[str]]) -> list[bytes]:
         """Ids (little-endian 32-bit) of texts given as words with the blanks before them; words are encoded once."""
         known = self.words
@@ -308,9 +357,9 @@ def _giants(docs: DataFrame, path: str, chunk: int) -> DataFrame:
             for row, doc_id, part, begin, end, first, last, text in zip(*(c.to_pylist() for c in batch.columns)):
                 own = Chunk(text, begin, end, first, last, model)
                 a, b = own.inside()
-                ids = encode(text[a:b], model)
+                ids, score = model.product(words(text[a:b]))
                 own = own.without(a, b)
-                m = own.matrix() + model.score_of[np.frombuffer(ids, "<i4")].sum()
+                m = own.matrix() + score
                 out.append((row, doc_id, part, own.begin, own.end, first, last, own.text, a, ids, len(m), m.tobytes()))
             yield _table(out, _arrow(_MATRIX))
 
@@ -357,8 +406,8 @@ def _giants(docs: DataFrame, path: str, chunk: int) -> DataFrame:
 def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """``(doc_id, row, part, ids)``: the ids of every row of ``docs`` (``doc_id``, ``text``), little-endian 32-bit.
 
-    A document of more than ``chunk`` characters has a row for each chunk, any other one row, part 0; ``row`` tells
-    repeated documents apart. The ids in order of parts are those of the model's own encoder. A null or empty text has
+    A document of ``chunk`` characters or more goes through the scan, which settles all of it, and has a row for each
+    chunk; any other is encoded by the library and has one row, part 0. ``row`` tells repeated documents apart. The ids in order of parts are those of the model's own encoder. A null or empty text has
     no ids; null doc_ids are kept; other columns are ignored; an empty table gives an empty result.
     """
 

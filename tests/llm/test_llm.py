@@ -620,6 +620,25 @@ def test_chunks_of_any_size():
         assert np.frombuffer(piece_scan.encode(piece_scan.escaped(t), model), "<i4").tolist() == model.model.encode(t)
 
 
+def test_word_factors_are_the_encoders_own():
+    model, rng = piece_scan.pieces_of(registry.piece_model()), random.Random(6)
+    parts = [*"abcdefgh  \n\t19.,é日x=-aaaa", "the ", "ing", "tion", "Ünder", "    "]
+    for _ in range(300):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))
+        ids, score = model.product(piece_scan.words(piece_scan.escaped(t)))
+        assert ids == piece_scan.encode(piece_scan.escaped(t), model)
+        known = [k for k in np.frombuffer(ids, "<i4").tolist() if model.model.id_to_piece(k) in model.scores]
+        assert len(known) < len(ids) // 4 or score == pytest.approx(model.score_of[known].sum())
+
+
+def test_models_that_change_texts_are_refused(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "normalize", lambda self, text, *a: text.lower())
+    with pytest.raises(ValueError, match="leave them alone"):
+        piece_scan.Pieces(registry.piece_model())
+
+
 # --- pipeline ---
 
 
