@@ -13,6 +13,7 @@ from ..operators.components import connected_components
 from ..sources import scans
 from ..storage import shared_folder, stage, table
 from ..streaming import streams
+from . import scan
 from . import views as v
 from .views import sql
 
@@ -170,6 +171,20 @@ def a15(spark, d):
     return lines(spark, d).select("item", "lineno", F.length("line").alias("n"))
 
 
+@query("a4_a15_files", """SELECT lang, count(*) AS n_lines, count(*) AS last_numbers, CAST(sum(length(line)) AS BIGINT) AS n_chars, CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes
+ FROM (SELECT lang, unnest(string_split(replace(text, chr(13), ' '), chr(10))) AS line FROM documents) GROUP BY 1""")
+def a4_files(spark, d):
+    """All lines of the documents as text files by language: their sizes from the file system, their lines numbered over splits."""
+    path = f"{shared_folder(spark)}/files-{spark.range(1).select(F.uuid()).first()[0]}"
+    every = table(spark, d, "documents").select("lang", F.explode(F.split(F.translate("text", "\r", " "), "\n")).alias("line"))
+    every.write.partitionBy("lang").text(path)
+    lang = F.regexp_extract("item", "^lang=([^/]*)/", 1).alias("lang")
+    sizes = scans.file_sizes(spark, path).groupBy(lang).agg(F.sum("byte_size").alias("n_bytes"))
+    files = scans.numbered_lines(spark, path).groupBy("item").agg(F.count("*").alias("n"), F.max("lineno").alias("last"), F.sum(F.length("line")).alias("chars"))
+    found = files.groupBy(lang).agg(F.sum("n").alias("n_lines"), F.sum("last").alias("last_numbers"), F.sum("chars").alias("n_chars"))
+    return found.join(sizes, "lang")
+
+
 # --- filters, projections, exclusions ---
 
 
@@ -375,6 +390,17 @@ def c5(spark, d):
     return _similar(spark, d).groupBy("group_id", "kind").agg(F.count("*").alias("n"), F.round(F.max("confidence"), 9).alias("confidence"))
 
 
+@query("scan_phases", sql("sessions hashes signals videos", """SELECT 'screenshots' AS phase, count(*) AS n_items, true AS done FROM assets WHERE is_screenshot UNION ALL SELECT 'exact', count(*), true FROM exact_members
+ UNION ALL SELECT 'similar', count(*), true FROM components UNION ALL SELECT 'videos', count(*), true FROM videos""", **_BUCKET))
+def scan_phases(spark, d):
+    """The whole scan of photos and videos, its phases committed one by one, and what each has found."""
+    photos = v.assets(spark, d).drop("doc_id")
+    whole = photos.unionByName(v.videos(spark, d).drop("k", "duration_s"), allowMissingColumns=True)
+    path = f"{shared_folder(spark)}/scan-{spark.range(1).select(F.uuid()).first()[0]}"
+    scan.scan_in_phases(path, whole, v.hashes(spark, d), lambda members: v.signals(spark, d, members).drop("group_id"))
+    return scan.phase_counts(spark, path)
+
+
 # --- quality signals and keep choice ---
 
 _LAPLACE = """SELECT c.asset_id, CAST(u.v + w.v + l.v + r.v - 4 * c.v AS DOUBLE) AS x FROM vectors c JOIN vectors u ON u.asset_id = c.asset_id AND u.x = c.x AND u.y = c.y - 1 JOIN vectors w ON w.asset_id = c.asset_id AND w.x = c.x AND w.y = c.y + 1
@@ -681,6 +707,11 @@ def r4(spark, d):
 _CHOICE = "SELECT group_id, min(asset_id) AS choice FROM members WHERE member_pos % 9 = 0 GROUP BY 1"
 
 
+@query("r4_deselect_all", sql("members", "SELECT group_id, asset_id, false AS selected FROM members"))
+def r4_deselect(spark, d):
+    return review.deselect_all(v.reviewed(spark, d)[1]).select("group_id", "asset_id", "selected")
+
+
 @query("r5_override_keep", sql("members", "SELECT group_id, asset_id, selected AND asset_id <> coalesce(choice, user_keep, recommended_keep) AS selected, coalesce(choice, user_keep, recommended_keep) AS keep FROM members JOIN groups USING (group_id) LEFT JOIN choices USING (group_id)", choices=_CHOICE))
 def r5(spark, d):
     groups, members = v.reviewed(spark, d)

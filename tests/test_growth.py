@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sparkclean.functions import images, keys
 from sparkclean.operators import contacts, growing, near, review, sessions, similar_text
 from sparkclean.operators.components import connected_components, contracted
+from sparkclean.plans import scan
 from sparkclean.sources import generations, scans
 from sparkclean.streaming import streams
 
@@ -259,6 +260,24 @@ def test_jobs_in_other_threads_keep_their_tables(spark):
     assert mine.count() == 3 and other[1][0] not in storage.staged()
 
 
+def test_a_stopped_scan_goes_on(spark, tmp_path, monkeypatch):
+    data = [("l", i, T0 + timedelta(seconds=s), 10, 10, n, False, "photo", T0, c) for i, s, n, c in [("a", 0, 3, "abc"), ("b", 1, 3, "abc"), ("c", 2, 5, "x"), ("d", 60, 6, "y")]] + [("l", "v", T0, None, None, 9, False, "video", T0, None)]
+    assets = spark.createDataFrame(data, "library_id string, asset_id string, creation_ts timestamp, width int, height int, byte_size long, is_screenshot boolean, media_type string, modification_ts timestamp, content string")
+    hashes = spark.createDataFrame([(i, 5) for i in "abcd"], "asset_id string, phash long")
+    signals = spark.createDataFrame([(i, 1.0, 1.0, 1.0, 1) for i in "abcd"], "asset_id string, resolution double, sharpness double, exposure double, byte_size long")
+    path = str(tmp_path / "scan")
+    with monkeypatch.context() as m:
+        m.setattr(scan, "similar_groups", lambda *a, **k: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            scan.scan_in_phases(path, assets, hashes, signals)
+    assert rows(scan.phase_counts(spark, path)) == [("exact", 2, True), ("screenshots", 0, True), ("similar", 0, False), ("videos", 0, False)]
+    with monkeypatch.context() as m:
+        m.setattr(scan, "exact_duplicates", lambda *a, **k: (_ for _ in ()).throw(AssertionError("done before")))
+        found = scan.scan_in_phases(path, assets, hashes, signals)
+    assert rows(found["similar"], "asset_id") == [("c",), ("d",)] and rows(found["videos"], "asset_id") == [("v",)]
+    assert rows(scan.phase_counts(spark, path)) == [("exact", 2, True), ("screenshots", 0, True), ("similar", 2, True), ("videos", 1, True)]
+
+
 # --- components that grow ---
 
 
