@@ -14,6 +14,7 @@ encoded by the library.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -54,9 +55,11 @@ class Pieces:
         self.whole: dict[str, bool] = {}
         self.words: dict[str, bytes] = {}
         self.score_of = np.array([model.get_score(k) for k in range(size)])
-        self.factors: dict[str, tuple[bytes, float]] = {}
-        self.good = {p: s for p, s in self.scores.items() if len(p) > 1 and self.is_piece(p)}
+        self.factors: dict[str, bytes] = {}
+        # the number of each piece of several characters that the encoder leaves whole, and what such pieces begin with
+        self.good = {p: k for p, k in self.ids.items() if len(p) > 1 and self.is_piece(p)}
         self.begun = {p[:k] for p in self.good for k in range(2, len(p))}
+        self.close: dict[int, bool] = {}
         sample = "Ａ ﬁ e\u0301  x\t½ "
         if model.normalize(sample) != escaped(sample):
             raise ValueError("this model changes texts before it cuts them; only models that leave them alone are read")
@@ -111,46 +114,68 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
-    def factor(self, word: str) -> tuple[bytes, float]:
-        """Ids and score of the best path through a whole word with the blanks before it."""
+    def single(self, letter: str) -> tuple[float, int]:
+        """Score and number of one character; one that is no piece has a number beyond all pieces."""
+        return self.singles.setdefault(letter, (self.score(letter), self.ids.get(letter, len(self.score_of) + ord(letter))))
+
+    def steps(self, text: str, at: int) -> list[tuple[int, str, int]]:
+        """``(end, piece, number)`` of the pieces that begin at ``at``, the longest last."""
+        letter = text[at]
+        found = [(at + 1, letter, self.ids.get(letter, len(self.score_of) + ord(letter)))]  # one that is no piece has a number beyond all
+        good, begun = self.good, self.begun
+        for end in range(at + 2, min(len(text), at + self.longest) + 1):
+            piece = text[at:end]
+            k = good.get(piece)
+            if k is not None:
+                found.append((end, piece, k))
+            elif piece not in begun:
+                break
+        return found
+
+    def factor(self, word: str) -> bytes:
+        """Ids of the path through a whole word with the blanks before it.
+
+        There is one path of compatible pieces, so the first that is found is the best; longer pieces are tried first,
+        and a piece from which the end was not reached is not tried again.
+        """
         text = word.replace(" ", SPACE)
-        good, begun, pairs = self.good, self.begun, self.pairs
-        ending: dict[int, list[tuple]] = {0: [("", 0.0, None)]}  # by end: piece, best score, the state before
-        for j in range(len(text)):
-            before = ending.get(j)
-            if not before:
-                continue
-            for i in range(j + 1, min(len(text), j + self.longest) + 1):
-                piece = text[j:i]
-                score = good.get(piece)
-                if score is None:
-                    if i > j + 1:
-                        if piece in begun:
-                            continue
-                        break
-                    score = self.score(piece)
-                best = None
-                for p in before:
-                    if (best is None or p[1] > best[1]) and (not p[0] or (pairs[p[0], piece] if (p[0], piece) in pairs else self.fits(p[0], piece))):
-                        best = p
-                if best:
-                    ending.setdefault(i, []).append((piece, best[1] + score, best))
-        state = max(ending[len(text)], key=lambda p: p[1])
-        score, pieces = state[1], []
-        while state[2] is not None:
-            pieces.append(state[0])
-            state = state[2]
-        return np.array(self.numbers(pieces[::-1]), "<i4").tobytes(), score
+        close, many = self.close, len(self.score_of) + 0x110000
+        if len(close) > 2 * REMEMBERED:
+            close.clear()
+        at, path, tried = 0, [("", -1)], set()
+        left = [self.steps(text, 0)]
+        while at < len(text):
+            last, k = path[-1]
+            while left[-1]:
+                end, piece, own = left[-1].pop()
+                if (at, end) in tried:
+                    continue
+                if k >= 0:
+                    fits = close.get(key := k * many + own)
+                    if fits is None:
+                        fits = close[key] = self.merged(last + piece) == [last, piece]
+                    if not fits:
+                        continue
+                tried.add((at, end))
+                path.append((piece, own))
+                at = end
+                if at < len(text):
+                    left.append(self.steps(text, at))
+                break
+            else:
+                left.pop()
+                at -= len(path.pop()[0])
+        return array("i", self.numbers([piece for piece, _ in path[1:]])).tobytes()
 
     def product(self, words: list[str]) -> tuple[bytes, float]:
-        """The max-plus product of the factors of words that follow each other: their ids, and their scores' sum."""
+        """The max-plus product of the factors of words that follow each other: their ids, and the scores of these summed."""
         known = self.factors
         if len(known) > REMEMBERED:
             known.clear()
         for w in set(words).difference(known):
             known[w] = self.factor(w)
-        found = [known[w] for w in words]
-        return b"".join(ids for ids, _ in found), sum(score for _, score in found)
+        ids = b"".join(map(known.__getitem__, words))
+        return ids, float(self.score_of[np.frombuffer(ids, "<i4")].sum())
 
     def encode(self, texts: list[list[str]]) -> list[bytes]:
         """Ids (little-endian 32-bit) of texts given as words with the blanks before them; words are encoded once."""
