@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text that are worked on together.
 PART = 1 << 20
@@ -21,3 +23,15 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, most: int = PART) ->
         for a, b in zip(edges, edges[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """What is run inside hands Arrow batches of about ``size`` to Python; the session's own setting comes back after it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
