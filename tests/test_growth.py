@@ -117,10 +117,10 @@ def test_close_texts(spark, limit, piece):
 
 
 def test_a_hot_address_gives_links_not_pairs(spark):
-    """100,000 contacts share the first part of their addresses; names fall into 500 families and 10,000 single ones."""
+    """100,000 contacts share the first part of their addresses; names fall into 100 families and 10,000 single ones."""
     n = 100_000
     i = F.col("id")
-    family = F.lpad((i % 500).cast("string"), 3, "0")
+    family = F.lpad((i % 100).cast("string"), 3, "0")
     given = F.when(i % 10 != 1, F.concat(F.lit("Desk "), family, F.lit(" Berlin Office "), F.translate(F.lpad((i % 7).cast("string"), 1, "0"), "0123456", "abcdefg")))
     given = F.coalesce(given, F.concat(F.lit("P"), F.substring(F.md5(i.cast("string")), 1, 14)))
     raw = spark.range(n).select(
