@@ -45,7 +45,8 @@ def close_hashes(hashes: DataFrame, keys: list[str], limit: int = 5) -> DataFram
     """``(keys, a, b, distance, n_a, n_b)``: pairs of different hashes within ``limit`` bits under the same keys.
 
     Equal hashes are one row with a count before anything is compared. Of ``limit`` + 2 blocks of bits at least two are
-    equal in such a pair, so an equality join on each pair of blocks misses none.
+    equal in such a pair, so an equality join on each pair of blocks misses none. Neither side is ever small: each hash is
+    a row for each pair of blocks, which Spark's estimate leaves out.
     """
     distinct = hashes.where("phash is not null").groupBy(*keys, "phash").agg(F.count("*").alias("n"))
     both = [m - (1 << 64) if m >> 63 else m for m in _bands(limit)]
@@ -53,7 +54,7 @@ def close_hashes(hashes: DataFrame, keys: list[str], limit: int = 5) -> DataFram
     banded = distinct.withColumn("band", F.explode(bands))
     left = banded.select(*keys, "band", F.col("phash").alias("a"), F.col("n").alias("n_a"))
     right = banded.select(*keys, "band", F.col("phash").alias("b"), F.col("n").alias("n_b"))
-    pairs = left.join(right, [*keys, "band"]).where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= limit))
+    pairs = left.join(right.hint("merge"), [*keys, "band"]).where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= limit))
     return pairs.drop("band").distinct().withColumn("distance", hamming(F.col("a"), F.col("b")))
 
 

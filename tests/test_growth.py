@@ -475,3 +475,15 @@ def test_name_scores_agree_with_the_join(spark):
     letters = [a[0].lower() == b[0].lower() for a, b in pairs]
     want = [(f"{i}a", f"{i}b") for i in range(3) if scored[i] and letters[i]]
     assert rows(contacts.name_links(found, contacts.entries(found)), "u", "v") == want and want == [("0a", "0b")]
+
+
+def test_hashes_that_pack_well_are_not_taken_for_a_small_side(spark):
+    """60,000 hashes are less than 1 MB in files; as 21 rows each they must not be collected by the driver."""
+    hashed = spark.range(60_000).select(F.lit("all").alias("library_id"), F.lpad(F.col("id").cast("string"), 12, "0").alias("asset_id"), F.xxhash64("id").alias("phash"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        plan = near.similar_pairs(hashed, ["library_id"])._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
