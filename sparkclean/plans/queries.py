@@ -311,7 +311,7 @@ def s4(spark, d):
 
 
 def _neighbours(spark, d):
-    own = v.hashes(spark, d).select(F.col("asset_id").cast("long").alias("n"), F.col("phash").alias("a"))
+    own = stage(v.hashes(spark, d).select(F.col("asset_id").cast("long").alias("n"), F.col("phash").alias("a")), "hashes")  # read for both sides
     return own.join(own.select((F.col("n") - 1).alias("n"), F.col("a").alias("b")), "n")
 
 
@@ -428,24 +428,24 @@ _TOTALS = "SELECT *, r * 0.35 + p * 0.45 + e * 0.15 + b * 0.05 AS total FROM sco
 
 @query("c1_normalized_signals", sql("signals", "SELECT asset_id, round(r, 9) AS r, round(p, 9) AS p, round(e, 9) AS e, round(b, 9) AS b FROM scores", scores=_SCORES))
 def c1(spark, d):
-    return scoring.normalized(v.signals(spark, d)).select("asset_id", *[F.round(f"{s}_score", 9).alias(n) for s, n in zip(scoring.WEIGHTS, "rpeb")])
+    return scoring.normalized(stage(v.signals(spark, d), "signals")).select("asset_id", *[F.round(f"{s}_score", 9).alias(n) for s, n in zip(scoring.WEIGHTS, "rpeb")])
 
 
 @query("c2_weighted_score", sql("signals", "SELECT asset_id, round(total, 9) AS total FROM totals", scores=_SCORES, totals=_TOTALS))
 def c2(spark, d):
-    return scoring.weighted(v.signals(spark, d)).select("asset_id", F.round("total", 9).alias("total"))
+    return scoring.weighted(stage(v.signals(spark, d), "signals")).select("asset_id", F.round("total", 9).alias("total"))
 
 
 @query("c3_recommended_keep", sql("signals", "SELECT DISTINCT group_id, first_value(asset_id) OVER (PARTITION BY group_id ORDER BY total DESC, asset_id) AS recommended_keep FROM totals", scores=_SCORES, totals=_TOTALS))
 def c3(spark, d):
-    return scoring.scored(scoring.weighted(v.signals(spark, d))).select("group_id", "recommended_keep").distinct()
+    return scoring.scored(scoring.weighted(stage(v.signals(spark, d), "signals"))).select("group_id", "recommended_keep").distinct()
 
 
 @query("c4_reason", sql("signals", """SELECT asset_id, CASE WHEN total < max(total) OVER (PARTITION BY group_id) THEN 'Lower overall quality than the recommended photo in this group of ' || group_size || '.'
  WHEN r >= 0.99 AND p >= 0.99 THEN 'Highest resolution, sharpest of ' || group_size || '.' WHEN r >= 0.99 THEN 'Highest resolution of ' || group_size || '.' WHEN p >= 0.99 THEN 'Sharpest of ' || group_size || '.'
  WHEN e >= 0.99 THEN 'Best exposed of ' || group_size || '.' ELSE 'Best overall balance of resolution and sharpness of ' || group_size || '.' END AS reason FROM totals""", scores=_SCORES, totals=_TOTALS))
 def c4(spark, d):
-    return scoring.scored(scoring.weighted(v.signals(spark, d))).select("asset_id", "reason")
+    return scoring.scored(scoring.weighted(stage(v.signals(spark, d), "signals"))).select("asset_id", "reason")
 
 
 # --- contact linkage ---

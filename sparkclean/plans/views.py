@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +16,8 @@ from ..storage import table
 GIVEN = ["John", "Jon", "Maria", "Marie", "Alex", "Wei", "Anna"]
 FAMILY = ["Smith", "Smyth", "Garcia", "Morgan", "Chen"]
 _EPOCH = 1704067200
+#: Words whose cells a task remembers at once.
+KNOWN_WORDS = 1 << 19
 
 
 def padded(column: str) -> Column:
@@ -54,17 +61,35 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[ \t\n\r]+"), lambda w: w != "")
 
 
-def hashes(spark: SparkSession, d: str) -> DataFrame:
-    """``(asset_id, phash)``: the difference hash of an 8 x 9 grid of word counts; a text without words has none.
+class _Cells(dict):
+    """The cell of each word, by the first two bytes of its digest."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        cell = self[word] = int.from_bytes(md5(word.encode()).digest()[:2], "big") % 72
+        return cell
+
 
-    Each word's cell is one character of a string, in which a cell's words are counted by length, all inside the row.
-    """
-    cell = lambda w: F.char(F.lit(48) + F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int") % 72)
-    once = lambda c: F.explode(F.array(c))  # noqa: E731  a filter on the hash must not repeat what is below it
-    rows = table(spark, d, "documents").select("doc_id", once(F.array_join(F.transform(_words(F.col("text")), cell), "")).alias("cells")).where("cells <> ''")
-    count = lambda k: F.length("cells") - F.length(F.replace(F.col("cells"), F.char(F.lit(48) + k), F.lit("")))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.sequence(F.lit(0), F.lit(8)), lambda c: count(r * 9 + c)))
-    return rows.select("doc_id", once(grid).alias("grid")).select(padded("doc_id").alias("asset_id"), dhash(F.col("grid")).alias("phash"))
+def _word_grids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(doc_id, grid)`` of lower-cased texts with words: an 8 x 9 grid of how many words fall into each cell."""
+    cells = _Cells()
+    for batch in batches:
+        ids, grids = [], []
+        for doc_id, text in zip(batch.column(0), batch.column(1)):
+            words = (text.as_py() or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
+            found = bytes(map(cells.__getitem__, filter(None, words)))
+            if found:
+                ids.append(doc_id.as_py())
+                grids.append(np.bincount(np.frombuffer(found, np.uint8), minlength=72).reshape(8, 9).tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(grids, pa.list_(pa.list_(pa.int32())))], ["doc_id", "grid"])
+
+
+def hashes(spark: SparkSession, d: str) -> DataFrame:
+    """``(asset_id, phash)``: the difference hash of an 8 x 9 grid of word counts; a text without words has none."""
+    rows = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    grids = rows.mapInArrow(_word_grids, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, grid array<array<int>>")
+    return grids.select(padded("doc_id").alias("asset_id"), dhash(F.col("grid")).alias("phash"))
 
 
 def signals(spark: SparkSession, d: str, members: DataFrame | None = None) -> DataFrame:
@@ -72,7 +97,7 @@ def signals(spark: SparkSession, d: str, members: DataFrame | None = None) -> Da
     docs = table(spark, d, "documents").withColumn("asset_id", padded("doc_id"))
     if members is not None:
         docs = docs.join(members, "asset_id", "left_semi")
-    exposure = F.round(1 - F.length(F.regexp_replace("text", r"\p{L}", "")) / F.greatest(F.length("text"), F.lit(1)), 12)
+    exposure = F.round(1 - F.length(F.regexp_replace("text", r"\p{L}+", "")) / F.greatest(F.length("text"), F.lit(1)), 12)
     return docs.select(
         "asset_id", F.col("n_chars").cast("double").alias("resolution"), F.coalesce(F.size(F.array_distinct(_words(F.col("text")))).cast("double"), F.lit(0.0)).alias("sharpness"),
         exposure.alias("exposure"), F.octet_length("text").cast("long").alias("byte_size"), F.concat("lang", F.lit("-"), (F.col("doc_id") % 40).cast("string")).alias("group_id"),

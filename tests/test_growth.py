@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import time
 from collections import defaultdict
 from datetime import datetime, timedelta
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from sparkclean.functions import images, keys
 from sparkclean.operators import contacts, growing, near, review, sessions, similar_text
 from sparkclean.operators.components import connected_components, contracted
-from sparkclean.plans import scan
+from sparkclean.plans import queries, scan, views
 from sparkclean.sources import generations, scans
 from sparkclean.streaming import streams
 
@@ -487,3 +488,26 @@ def test_hashes_that_pack_well_are_not_taken_for_a_small_side(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_hashes_of_odd_texts_are_counted_in_one_pass(spark, tmp_path):
+    texts = ["", None, " \t\n", "one", "One  TWO\tthree\r\nfour\n\n", "x y z\x0bz", "İΣ Σa", " ".join(f"w{i % 37}" for i in range(500))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def plain(text):
+        cells = [0] * 72
+        for word in re.split(r"[ \t\n\r]+", text):
+            if word:
+                cells[int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % 72] += 1
+        bits = sum(1 << (8 * r + c) for r in range(8) for c in range(8) if cells[9 * r + c] < cells[9 * r + c + 1])
+        return bits - (1 << 64) if bits >> 63 else bits
+
+    lower = [r.t for r in spark.read.parquet(f"{tmp_path}/documents.parquet").orderBy("doc_id").select(F.lower("text").alias("t")).collect()]
+    found = views.hashes(spark, str(tmp_path))
+    assert rows(found) == [(str(i).zfill(12), plain(t)) for i, t in enumerate(lower) if t and re.sub(r"[ \t\n\r]", "", t)]
+    assert "replace(" not in plan_of(found)
+
+
+def test_texts_are_read_once_for_hashes_and_signals(spark):
+    data = "/root/testdata/sf0.001"
+    assert "documents.parquet" not in plan_of(queries.QUERIES["s6_is_similar"](spark, data)) and "regexp_replace" not in plan_of(queries.QUERIES["c2_weighted_score"](spark, data))
