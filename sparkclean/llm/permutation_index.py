@@ -2,7 +2,8 @@
 
 A vector is represented by its nearest pivots in order and posted, with that order, in the inverted files of the first
 few. A query reads the files of its own first pivots, ranks what they hold by the footrule distance between the two
-orders, and computes exact inner products of the best ranked.
+orders, and computes exact inner products of the best ranked. Vectors stay where they are stored: the queries go to them,
+a bounded number in each pass, and only each shard's best are shuffled.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ PIVOTS_BY_ROOT, MOST_PIVOTS = 2.26, 32_767
 PREFIX, POSTED, RERANKED = 96, 4, 0.3
 #: How many files a query reads: this many times the pivots' number to this power, 96 of 229.
 READ, READ_POWER = 1.63, 0.75
-#: Postings and queries that meet in one piece.
-PIECE, QUERIES = 4096, 512
+#: Vectors whose files are read together; queries of one pass, which go to all shards; shards of which each tells its best.
+BLOCK, QUERIES, SHARDS = 16_384, 16_384, 24
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows ``(vec_id, v)`` whose vector is not null, not zero and of finite components."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    whole = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.transform("embedding", lambda x: x.cast("double"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
     return rows.where(F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
 
 
@@ -49,7 +51,7 @@ def footrule(orders: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def _ordered(rows: DataFrame, pivots: np.ndarray, top: float, prefix: int) -> DataFrame:
-    """``(vec_id, v binary, o binary, files)``: a vector, its pivots in order, and the same order as an array.
+    """``(vec_id, v binary, o binary)``: a vector as stored, and its pivots in order; the first ones are its files.
 
     A vector gets one more component that makes all norms ``top``, so that the nearest in angle has the largest product.
     """
@@ -57,50 +59,83 @@ def _ordered(rows: DataFrame, pivots: np.ndarray, top: float, prefix: int) -> Da
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                stored = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                v = stored.astype(np.float64)
                 wide = np.concatenate([v, np.sqrt(np.maximum(0, top**2 - (v * v).sum(axis=1)))[:, None]], axis=1)
-                found = orders(pivots, wide, prefix)
-                columns = [pa.array([x.tobytes() for x in v], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary()), pa.array(found.tolist(), pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *columns], ["vec_id", "v", "o", "files"])
+                columns = [pa.array([x.tobytes() for x in c], pa.binary()) for c in (stored, orders(pivots, wide, prefix))]
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *columns], ["vec_id", "v", "o"])
 
-    return rows.mapInArrow(order, "vec_id long, v binary, o binary, files array<int>")
+    return rows.mapInArrow(order, "vec_id long, v binary, o binary")
 
 
-def _meet(postings: DataFrame, queries: DataFrame, k: int, pivots: int, share: float) -> DataFrame:
-    """``(query_id, vec_id, score)``: each query's ``k`` best in each piece of the files it reads.
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest scores, ties to the smaller id; an id with the same score counts once."""
+    if len(ids) > k:
+        likely = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+        ids, scores = ids[likely], scores[likely]
+    order = np.lexsort((ids, -scores))
+    ids, scores = ids[order], scores[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])
+    return ids[new][:k], scores[new][:k]
 
-    ``postings`` and ``queries`` are ``(file, vec_id, v, o)``. A file is cut into pieces of about ``PIECE`` postings and
-    its queries into pieces of about ``QUERIES``; every piece of one meets every piece of the other.
+
+def _search(ordered: DataFrame, queries: DataFrame, k: int, pivots: int, posted: int, read: int, share: float, kind: str) -> DataFrame:
+    """``(query_id, vec_id, score, rank)``: each query's ``k`` best among the postings that it reads.
+
+    ``ordered`` and ``queries`` are ``(vec_id, v, o)``; the queries of one pass are collected and sent to the shards.
     """
-    pieces = lambda rows, size, name: rows.groupBy("file").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-    cut = pieces(postings, PIECE, "n_p").join(pieces(queries, QUERIES, "n_q"), "file")
-    numbered = lambda rows, n, own, other, m: rows.join(cut, "file").withColumn(own, F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")).withColumn(other, F.explode(F.expr(f"sequence(0, {m} - 1)"))).select("file", "p", "q", "vec_id", "v", "o")
-    left = numbered(postings, "n_p", "p", "q", "n_q")
-    right = numbered(queries, "n_q", "q", "p", "n_p").toDF("file", "p", "q", "vec_id", "v", "o")  # names of its own, as both come from one table
-
-    def search(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(own) and len(asked):
-            ids, vectors = own["vec_id"].to_numpy(), np.frombuffer(b"".join(own["v"]), np.float64).reshape(len(own), -1)
-            places = np.frombuffer(b"".join(own["o"]), np.int16).reshape(len(own), -1)
-            reranked = max(4 * k, math.ceil(share * len(own)))
-            for query, v, order in zip(asked["vec_id"], asked["v"], asked["o"]):
-                best = np.arange(len(own))
-                if len(own) > reranked:
-                    order = np.frombuffer(order, np.int16)
+    spark, rows = ordered.sparkSession, queries.distinct().toArrow()
+    asked = rows.column("vec_id").to_numpy()
+    v, o = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t).reshape(len(asked), -1) for c, t in (("v", kind), ("o", np.int16)))
+    sent = spark.sparkContext.broadcast((asked, v, o))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        waiting, size = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.num_rows
+            if size >= BLOCK:
+                yield pa.Table.from_batches(waiting)
+                waiting, size = [], 0
+        if size:
+            yield pa.Table.from_batches(waiting)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, wanted, known = sent.value
+        wanted = wanted.astype(np.float64)
+        found = [(np.empty(0, np.int64), np.empty(0))] * len(asked)
+        for block in blocks(batches):
+            block = block.group_by(["vec_id", "v", "o"]).aggregate([])  # equal rows count once
+            ids = block.column("vec_id").to_numpy()
+            vectors, places = (np.frombuffer(b"".join(block.column(c).to_pylist()), t).reshape(len(ids), -1) for c, t in (("v", kind), ("o", np.int16)))
+            vectors = vectors.astype(np.float64)
+            files = places[:, :posted]
+            sizes = np.bincount(files.ravel(), minlength=pivots)
+            taken = np.minimum(sizes, np.maximum(4 * k, np.ceil(share * sizes)))  # of a file alone
+            for q, (query, vector, order) in enumerate(zip(asked, wanted, known)):
+                reads = np.full(pivots, read >= pivots)
+                reads[order[:read]] = True
+                held = np.flatnonzero(reads[files].any(axis=1))
+                reranked = max(4 * k, math.ceil(len(held) * taken[reads].sum() / max(1, sizes[reads].sum())))
+                if len(held) > reranked:
                     rank = np.full(pivots, len(order), np.int16)
                     rank[order] = np.arange(len(order), dtype=np.int16)
-                    best = np.argpartition(footrule(places, rank), reranked)[:reranked]
-                best = best[ids[best] != query]
-                scores = (vectors[best] * np.frombuffer(v, np.float64)).sum(axis=1)
-                top = np.lexsort((ids[best], -scores))[:k]
-                out["query_id"].append(np.full(len(top), query))
-                out["vec_id"].append(ids[best][top])
-                out["score"].append(scores[top])
-        return pd.DataFrame({c: np.concatenate(x) if x else np.array([], np.float64 if c == "score" else np.int64) for c, x in out.items()})
-
-    keys = ["file", "p", "q"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: search(a, b), "query_id long, vec_id long, score double")
+                    held = held[np.argpartition(footrule(places[held], rank), reranked)[:reranked]]
+                held = held[ids[held] != query]
+                if len(held):
+                    own_ids, own_scores = _best(ids[held], vectors[held] @ vector, k)
+                    found[q] = _best(np.concatenate([found[q][0], own_ids]), np.concatenate([found[q][1], own_scores]), k)
+        counts = [len(f[0]) for f in found]
+        if sum(counts):
+            columns = [np.repeat(asked, counts), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
+    told = ordered.coalesce(SHARDS).mapInArrow(search, "query_id long, vec_id long, score double").distinct()
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    done = stage(told.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "found")
+    sent.destroy()
+    return done
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, by_root: float = PIVOTS_BY_ROOT, prefix: int = PREFIX, posted: int = POSTED, read: float = READ, share: float = RERANKED) -> DataFrame:
@@ -121,22 +156,30 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, by_root: float = P
 
 def _nearest(rows: DataFrame, k: int, every: int, by_root: float, prefix: int, posted: int, read: float, share: float) -> DataFrame:
     """The same for usable vectors of one length, of which there is one at least."""
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).first()
+    double = F.transform("v", lambda x: x.cast("double"))
+    facts = rows.agg(F.count("*").alias("n"), F.max(F.aggregate(double, F.lit(0.0), lambda a, x: a + x * x)).alias("square"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("asked")).first()
     top = math.sqrt(facts["square"])
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(MOST_PIVOTS, max(32, round(by_root * math.sqrt(facts["n"]))))).collect()
     base = np.array([r["v"] for r in sample])
     pivots = np.concatenate([base, np.sqrt(np.maximum(0, top**2 - (base * base).sum(axis=1)))[:, None]], axis=1)
     n, prefix = len(pivots), min(prefix, len(pivots))
-    files_read = math.ceil(read * n**READ_POWER)
-    ordered = stage(_ordered(rows, pivots, top, prefix), "ordered")
+    files_read, kind = math.ceil(read * n**READ_POWER), "float32" if dict(rows.dtypes)["v"] == "array<float>" else "float64"
+    ordered = _ordered(rows, pivots, top, prefix)  # worked out again in each pass rather than stored
     queries = stage(_ordered(rows.where(F.col("vec_id") % every == 0), pivots, top, min(n, max(prefix, files_read))), "queries")
-    files = lambda r, m: r.select(F.explode(F.slice("files", 1, m)).alias("file"), "vec_id", "v", "o")
-    found = stage(_meet(files(ordered, posted), files(queries, files_read), k, n, share).distinct(), "found")
-    full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
+
+    def passes(queries: DataFrame, count: int, read: int, share: float) -> list[DataFrame]:
+        n_passes = -(-count // QUERIES)
+        part = F.pmod(F.xxhash64("vec_id"), F.lit(n_passes or 1))
+        return [_search(ordered, queries.where(part == i), k, n, posted, read, share, kind) for i in range(n_passes)]
+
+    found = passes(queries, facts["asked"], files_read, share)
+    if not found:
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
+    whole = reduce(DataFrame.unionByName, found)
+    full = whole.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
     short = stage(queries.join(full, "vec_id", "left_anti"), "short")
-    if not short.isEmpty():
-        one = lambda r: r.select(F.lit(0).alias("file"), "vec_id", "v", "o")
-        rest = _meet(one(ordered), one(short), k, n, 1.0)
-        found = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest.distinct())
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    n_short = short.count()
+    if n_short:
+        rest = reduce(DataFrame.unionByName, passes(short, n_short, n, 1.0))
+        whole = whole.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest)
+    return whole.select("query_id", "rank", "vec_id", "score")

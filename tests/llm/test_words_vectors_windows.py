@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkclean.llm import ball_kmeans, decontaminate, phrases
+from sparkclean.llm import ball_kmeans, decontaminate, permutation_index, phrases
 from sparkclean.llm.spread import spread_join
 from sparkclean.llm.words import Fingerprints, polynomials, words_of
 
@@ -247,3 +247,22 @@ def test_leaks_of_empty_tables(spark, leaks):
     docs, bench = spark.createDataFrame(leaks[0], "doc_id long, text string"), spark.createDataFrame(leaks[1], "item_id long, text string")
     assert decontaminate.marked(docs.limit(0), bench).collect() == []
     assert shown(decontaminate.digest(decontaminate.marked(docs, bench.limit(0))), *LEAK) == plain_leaks(leaks[0], [])
+
+
+def test_queries_go_to_the_shards_in_passes(spark, monkeypatch):
+    """Each pass tells no more than each shard's best: vectors and queries are not copied to the files that they meet in."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(rng.normal(size=(900, 8)))]
+    df = spark.createDataFrame(rows + rows[:30], "vec_id long, embedding array<float>, label int").repartition(7)
+    shown = lambda: sorted(tuple(r) for r in permutation_index.nearest(df, read=1000.0, share=1.0).collect())
+    e = np.array([v for _, v, _ in rows])
+    want = {}
+    for q in range(0, 900, 20):
+        s = e @ e[q]
+        s[q] = -np.inf
+        want[q] = np.lexsort((np.arange(900), -s))[:20].tolist()
+    for name, value in {"QUERIES": 1 << 14, "BLOCK": 1 << 14, "SHARDS": 24}.items():
+        assert getattr(permutation_index, name) == value
+        monkeypatch.setattr(permutation_index, name, value // 500 or 2)
+    got = shown()
+    assert {q: [v for _, _, v, _ in sorted(r for r in got if r[0] == q)] for q in want} == want and len(got) == 20 * len(want)
