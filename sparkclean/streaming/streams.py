@@ -73,8 +73,8 @@ class _Bursts(StatefulProcessor):
             told += [(b[0], b[4] + 1, "merged", b[1], b[2], b[3], main[0]) for b in olds if b is not main and b[5]]
             told += [(main[0], main[4] + 1, "open", first, last, size, None)] if shown else []
             kept.append((main[0], first, last, size, main[4] + int(shown), shown))
-            self.handle.registerTimer(self._ends(last))
         self.open.put(kept)
+        self._wake(kept)
         if told:
             yield self._rows(key, told)
 
@@ -82,13 +82,19 @@ class _Bursts(StatefulProcessor):
         """The first millisecond at which no row that is on time can still belong to a burst with this last row."""
         return (last_us + self.gap) // 1000 + 1
 
+    def _wake(self, kept: list[tuple]) -> None:
+        """One timer for the open burst that ends first: it closes all that are over by then and sets the next."""
+        if kept:
+            self.handle.registerTimer(min(self._ends(b[2]) for b in kept))
+
     def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         bursts = [tuple(b) for b in self.open.get()] if self.open.exists() else []
         over = [b for b in bursts if self._ends(b[2]) <= now]
         kept = [b for b in bursts if self._ends(b[2]) > now]
         if over:
             self.open.put(kept) if kept else self.open.clear()
+        self._wake(kept)
         told = [(b[0], b[4] + 1, "closed", b[1], b[2], b[3], None) for b in over if b[5]]
         if told:
             yield self._rows(key, told)
@@ -202,30 +208,37 @@ class _Selection(StatefulProcessor):
 
     def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         log = pd.concat(list(rows)).sort_values("seq")
-        epoch, everything, spared = self.reset.get() if self.reset.exists() else (0, False, None)
-        chosen = self.keep.get()[0] if self.keep.exists() else None
-        told = []
+        epoch, everything, spared = before = self.reset.get() if self.reset.exists() else (0, False, None)
+        chosen = given = self.keep.get()[0] if self.keep.exists() else None
+        told, items, changed = [], {}, set()  # each member's state is read once and written once in a micro-batch
 
         def selected(item: str) -> bool:
-            at, now = self.items.getValue((item,)) if self.items.containsKey((item,)) else (-1, False)
+            if item not in items:
+                items[item] = self.items.getValue((item,)) if self.items.containsKey((item,)) else (-1, False)
+            at, now = items[item]
             return bool(now) if at == epoch else everything and item != spared
 
         for seq, item, op, recommended in zip(log["seq"].tolist(), log["item_id"], log["op"], log["recommended_keep"]):
             keep = chosen if chosen is not None else recommended
             if op in ("select_all", "deselect_all"):
                 epoch, everything, spared = epoch + 1, op == "select_all", keep
-                self.reset.update((epoch, everything, spared))
                 told.append((key[0], seq, None, everything, spared))
                 continue
             if op == "set_keep":
                 chosen, now = item, False
-                self.keep.update((chosen,))
             elif item != keep:
                 now = not selected(item)
             else:
                 continue
-            self.items.updateValue((item,), (epoch, now))
+            items[item] = (epoch, now)
+            changed.add(item)
             told.append((key[0], seq, item, now, None))
+        if epoch != before[0]:
+            self.reset.update((epoch, everything, spared))
+        if chosen != given:
+            self.keep.update((chosen,))
+        for item in changed:
+            self.items.updateValue((item,), items[item])
         if told:
             yield pd.DataFrame(told, columns=["group_id", "seq", "item_id", "selected", "keep"])
 
