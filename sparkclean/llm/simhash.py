@@ -167,6 +167,11 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def fingerprint_components(rows: DataFrame, limit: int = 3) -> DataFrame:
+    """``(fp, component)`` for each distinct fingerprint of ``rows``; links within ``limit`` bits join them."""
+    return _classes(rows, F.count("*"), limit).select("fp", "component")
+
+
 def _classes(rows: DataFrame, least: Column, limit: int) -> DataFrame:
     """``(fp, least, component)`` for each distinct fingerprint of ``rows``."""
     classes = stage(rows.groupBy("fp").agg(least.alias("least")), "classes")
