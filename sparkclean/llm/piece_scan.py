@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from .batches import sliced
 #: Characters of a chunk; documents of more are split. Chunks whose matrices are combined in one group.
 CHUNK, FAN = 1 << 14, 64
 SPACE = "▁"
-#: Words and pairs of pieces that one process remembers.
-REMEMBERED = 200_000
+#: Words, and pairs of pieces, that one process remembers.
+REMEMBERED, PAIRS = 300_000, 200_000
 #: A word with the blanks before it, or blanks at the end.
 _WORD = re.compile(r" *[^ ]+| +")
 
@@ -56,9 +57,10 @@ class Pieces:
         self.words: dict[str, bytes] = {}
         self.score_of = np.array([model.get_score(k) for k in range(size)])
         self.factors: dict[str, bytes] = {}
-        # the number of each piece of several characters that the encoder leaves whole, and what such pieces begin with
-        self.good = {p: k for p, k in self.ids.items() if len(p) > 1 and self.is_piece(p)}
-        self.begun = {p[:k] for p in self.good for k in range(2, len(p))}
+        # the number of each piece of several characters that the encoder leaves whole; -1 for what such pieces begin with
+        good = {p: k for p, k in self.ids.items() if len(p) > 1 and self.is_piece(p)}
+        self.grown = {p[:k]: -1 for p in good for k in range(2, len(p))} | good
+        self.letters: dict[str, int] = {}
         self.close: dict[int, bool] = {}
         sample = "Ａ ﬁ e\u0301  x\t½ "
         if model.normalize(sample) != escaped(sample):
@@ -66,23 +68,22 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """The encoder's pieces of a short text by its own rule: join the best-scored neighbours, leftmost first."""
-        symbols, scores = list(text), self.scores
-        while len(symbols) > 1:
-            best, at = None, -1
-            for k in range(len(symbols) - 1):
-                s = scores.get(symbols[k] + symbols[k + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if at < 0:
-                break
+        symbols, score, none = list(text), self.scores.get, -np.inf
+        joined = [score(a + b, none) for a, b in pairwise(symbols)]
+        while joined and (best := max(joined)) > none:
+            at = joined.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del joined[at]
+            for k in (at - 1, at):
+                if 0 <= k < len(joined):
+                    joined[k] = score(symbols[k] + symbols[k + 1], none)
         return symbols
 
     def fits(self, a: str, b: str) -> bool:
         """Whether the encoder leaves these two pieces apart."""
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) > 4 * REMEMBERED:
+            if len(self.pairs) > 4 * PAIRS:
                 self.pairs.clear()
             found = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return found
@@ -114,23 +115,9 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
-    def single(self, letter: str) -> tuple[float, int]:
-        """Score and number of one character; one that is no piece has a number beyond all pieces."""
-        return self.singles.setdefault(letter, (self.score(letter), self.ids.get(letter, len(self.score_of) + ord(letter))))
-
-    def steps(self, text: str, at: int) -> list[tuple[int, str, int]]:
-        """``(end, piece, number)`` of the pieces that begin at ``at``, the longest last."""
-        letter = text[at]
-        found = [(at + 1, letter, self.ids.get(letter, len(self.score_of) + ord(letter)))]  # one that is no piece has a number beyond all
-        good, begun = self.good, self.begun
-        for end in range(at + 2, min(len(text), at + self.longest) + 1):
-            piece = text[at:end]
-            k = good.get(piece)
-            if k is not None:
-                found.append((end, piece, k))
-            elif piece not in begun:
-                break
-        return found
+    def letter(self, letter: str) -> int:
+        """The number of one character; one that is no piece has a number beyond all pieces."""
+        return self.letters.setdefault(letter, self.ids.get(letter, len(self.score_of) + ord(letter)))
 
     def factor(self, word: str) -> bytes:
         """Ids of the path through a whole word with the blanks before it.
@@ -139,33 +126,46 @@ class Pieces:
         and a piece from which the end was not reached is not tried again.
         """
         text = word.replace(" ", SPACE)
-        close, many = self.close, len(self.score_of) + 0x110000
-        if len(close) > 2 * REMEMBERED:
+        close, size, n, number, letters = self.close, len(self.score_of), len(text), self.grown.get, self.letters
+        many = size + 0x110000
+        if len(close) > 2 * PAIRS:
             close.clear()
-        at, path, tried = 0, [("", -1)], set()
-        left = [self.steps(text, 0)]
-        while at < len(text):
-            last, k = path[-1]
-            while left[-1]:
-                end, piece, own = left[-1].pop()
-                if (at, end) in tried:
+        at, last, k, path, left, tried = 0, "", -1, [], [], set()
+        while at < n:
+            if len(left) == len(path):  # a new place: the pieces that begin here, the longest last
+                first = text[at]
+                found = [(first, letters[first] if first in letters else self.letter(first))]
+                for end in range(at + 2, n + 1):
+                    piece = text[at:end]
+                    own = number(piece)
+                    if own is None:
+                        break
+                    if own >= 0:
+                        found.append((piece, own))
+                left.append(found)
+            while found:
+                piece, own = found.pop()
+                if tried and (at, piece) in tried:
                     continue
                 if k >= 0:
                     fits = close.get(key := k * many + own)
                     if fits is None:
-                        fits = close[key] = self.merged(last + piece) == [last, piece]
+                        both = last + piece
+                        fits = close[key] = number(both, -1) < 0 and self.merged(both) == [last, piece]
                     if not fits:
                         continue
-                tried.add((at, end))
                 path.append((piece, own))
-                at = end
-                if at < len(text):
-                    left.append(self.steps(text, at))
+                at += len(piece)
+                last, k = piece, own
                 break
             else:
                 left.pop()
-                at -= len(path.pop()[0])
-        return array("i", self.numbers([piece for piece, _ in path[1:]])).tobytes()
+                found, (piece, _) = left[-1], path.pop()
+                at -= len(piece)
+                tried.add((at, piece))
+                last, k = path[-1] if path else ("", -1)
+        ids = [own for _, own in path]
+        return array("i", ids if max(ids) < size else self.numbers([piece for piece, _ in path])).tobytes()
 
     def product(self, words: list[str]) -> tuple[bytes, float]:
         """The max-plus product of the factors of words that follow each other: their ids, and the scores of these summed."""
@@ -184,8 +184,11 @@ class Pieces:
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = list({w for words in texts for w in words})
-        for w, ids in zip(new, self.model.encode([w[1:] for w in new], num_threads=1)):  # the encoder adds the first blank
-            known[w] = np.array(ids if w != " " else self.numbers([SPACE]), "<i4").tobytes()
+        ids = self.model.encode([w[1:] for w in new], num_threads=1)  # the encoder adds the first blank
+        if " " in new:
+            ids[new.index(" ")] = self.numbers([SPACE])
+        flat = array("i", chain.from_iterable(ids)).tobytes()
+        known.update(zip(new, (flat[a:b] for a, b in pairwise(accumulate((4 * len(x) for x in ids), initial=0)))))
         return [b"".join(map(known.__getitem__, words)) for words in texts]
 
 
@@ -205,7 +208,10 @@ def escaped(text: str | None) -> str:
 
 def words(text: str) -> list[str]:
     """The words of an escaped text, each with the marks before it as blanks; marks at the end are a word too."""
-    return _WORD.findall(text.replace(SPACE, " "))
+    text = text.replace(SPACE, " ")
+    if text[:1] == " " and text[-1] != " " and "  " not in text:
+        return [" " + w for w in text[1:].split(" ")]
+    return _WORD.findall(text)
 
 
 def encode(text: str, model: Pieces) -> bytes:
@@ -439,7 +445,7 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces_of(path)
         for batch in sliced(batches, "text"):
-            ids = model.encode([words(escaped(t)) for t in batch.column("text").to_pylist()])
+            ids = model.encode([words(" " + t) if t else [] for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(np.zeros(len(ids), np.int64)), pa.array(ids, pa.binary())], ["doc_id", "row", "part", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
@@ -457,13 +463,21 @@ def decoded(parts: DataFrame, path: str) -> DataFrame:
         model = pieces_of(path)
         texts = {k: p.replace(SPACE, " ").encode() for p, k in model.ids.items()} | {k: bytes([b]) for b, k in enumerate(model.bytes) if k != model.unknown}
         texts[model.unknown] = model.model.decode([model.unknown]).encode()
+        table = pa.array([texts.get(k) for k in range(len(model.score_of))], pa.large_binary())
         for batch in sliced(batches, "ids"):
             out, all_ids = [], batch.column("ids").to_pylist()
-            for part, ids in zip(batch.column("part").to_pylist(), all_ids):
-                text = b"".join(map(texts.__getitem__, np.frombuffer(ids, "<i4").tolist())).decode("utf-8", "replace")
-                out.append(text[1:] if part == 0 else text)
             ends = np.cumsum([0, *map(len, all_ids)]) // 4
-            numbers = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(all_ids), "<i4")))
+            flat = pa.array(np.frombuffer(b"".join(all_ids), "<i4"))
+            taken = table.take(flat)
+            if taken.null_count:
+                raise ValueError("an id of these parts is no piece")
+            _, edges, data = taken.buffers()
+            data = memoryview(data or b"")
+            edges = np.frombuffer(edges, np.int64, len(taken) + 1)[ends].tolist() if len(taken) else [0] * len(ends)
+            for part, a, b in zip(batch.column("part").to_pylist(), edges, edges[1:]):
+                text = str(data[a:b], "utf-8", "replace")
+                out.append(text[1:] if part == 0 else text)
+            numbers = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([*batch.columns, numbers, pa.array(out, pa.string())], [*batch.schema.names, "numbers", "text"])
 
     return parts.mapInArrow(decode, f"{_IDS}, numbers array<int>, text string")
