@@ -78,7 +78,8 @@ def probable_edges(contacts: DataFrame, name_limit: float = NAME_LIMIT) -> DataF
 def entries(contacts: DataFrame) -> DataFrame:
     """``(contact_id, of, full, key)``: each contact's distinct phones and emails with the weak key of each, or null; staged."""
     both = F.concat(F.transform("phones", lambda p: F.struct(F.lit("phone").alias("of"), p.alias("full"))), F.transform("emails", lambda e: F.struct(F.lit("email").alias("of"), e.alias("full"))))
-    rows = contacts.select("contact_id", F.explode(both).alias("e")).select("contact_id", "e.of", "e.full").distinct()
+    rows = contacts.select("contact_id", F.explode(both).alias("e")).select("contact_id", "e.of", "e.full")
+    rows = rows.repartition("contact_id").distinct()  # dealt first, as one packed file may bring most contacts into one task
     return stage(rows.withColumn("key", F.when(F.col("of") == "phone", phone_last10(F.col("full"))).otherwise(email_local_part(F.col("full")))), "entries")
 
 
