@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..dealing import together
 from ..storage import stage
 from .batches import sliced
 
@@ -424,7 +425,7 @@ def _giants(docs: DataFrame, path: str, chunk: int) -> DataFrame:
 
     # counts are given, as small matrices would else be put into one task
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lambda rows, *keys: rows.repartition(tasks, *keys)
+    dealt = lambda rows, *keys: together(rows, *keys, tasks=tasks)
     matrices = stage(dealt(docs.mapInArrow(split, _CUT), "row", "part").mapInArrow(transfer, _MATRIX).withColumn("block", F.floor(F.col("part") / FAN)), "matrices")
     slim = matrices.select("row", "block", "part", "rows", "m")
     blocks = dealt(slim, "row", "block").sortWithinPartitions("row", "block", "part").drop("part").mapInArrow(product, _PRODUCT)

@@ -20,6 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..dealing import together
 from ..storage import stage
 from .batches import sliced
 
@@ -284,7 +285,7 @@ def _by_transform(texts: DataFrame, length: int) -> DataFrame:
         if held:
             yield expand(held)
 
-    placed = texts.select("anchor", "stretch", "n", "text").repartition("anchor").sortWithinPartitions("anchor")
+    placed = together(texts.select("anchor", "stretch", "n", "text"), "anchor").sortWithinPartitions("anchor")
     return placed.mapInArrow(find, f"anchor long, stretch long, spans {_SPANS}")
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..dealing import together
 from ..storage import remove
 from . import generations
 from .generations import Generation
@@ -73,7 +74,7 @@ def chunk_hashes(chunks: DataFrame, item: str = "asset_id") -> DataFrame:
             yield told()
 
     kind = chunks.schema[item].dataType.simpleString()
-    placed = chunks.repartition(item).sortWithinPartitions(item, "pos").select(item, F.col("chunk").cast("binary").alias("chunk"))
+    placed = together(chunks, item).sortWithinPartitions(item, "pos").select(item, F.col("chunk").cast("binary").alias("chunk"))
     return placed.mapInArrow(digest, f"`{item}` {kind}, content_hash string, byte_size long")
 
 
